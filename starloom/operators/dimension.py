@@ -14,7 +14,7 @@ from starloom.contracts import MAX_DATE, MIN_DATE, DimContract
 from starloom.operators.joins import LookupValue, interval_lookup, not_exists_in
 from starloom.operators.ordered import SplitPolicy, lag_lead, running, split_points
 from starloom.operators.sequence import with_index
-from starloom.session import shared_dir
+from starloom.session import barrier
 
 NTZ = T.TimestampNTZType()
 
@@ -177,8 +177,7 @@ def load_dimension(
     if dim is None:
         return _number(result.drop(c.technical_key), c, highest).select(*result.columns)
     # Written once: the rows that keep their key and the rows that get one come from the same pass.
-    shared_dir(result.sparkSession)
-    result = result.checkpoint()
+    result = barrier(result, c.table)
     kept = result.where(F.col(c.technical_key).isNotNull())
     added = _number(result.where(F.col(c.technical_key).isNull()).drop(c.technical_key), c, highest)
     apart = unknown.select(*[F.col(n).cast(result.schema[n].dataType).alias(n) for n in result.columns])

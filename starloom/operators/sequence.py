@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from starloom.session import shared_dir
+from starloom.session import barrier
 
 _POSITION_BITS = 33  # monotonically_increasing_id keeps the row position in its low 33 bits
 
@@ -15,12 +15,11 @@ _POSITION_BITS = 33  # monotonically_increasing_id keeps the row position in its
 def with_index(df: DataFrame, order: Sequence[str | Column], output: str, start: int = 0) -> DataFrame:
     """Number the rows ``start, start + 1, ...`` by ``order``, ascending with NULLs first.
 
-    Rows are range-partitioned and sorted per partition, then written behind a reliable checkpoint,
-    because the row positions must be the same in the two passes that count and number them. The
+    Rows are range-partitioned, sorted per partition and written out with their partition and
+    position, because these must be the same in the two passes that count and number the rows. The
     only global step adds up one count per partition. Rows that tie in ``order`` are spread by their
     position, so a common value does not fill one task.
     """
-    shared_dir(df.sparkSession)
     names = [f"_o{i}" for i in range(len(order))]
     keyed = df.select(
         "*",
@@ -28,16 +27,16 @@ def with_index(df: DataFrame, order: Sequence[str | Column], output: str, start:
         F.monotonically_increasing_id().alias("_tie"),
     )
     sort = [F.col(n).asc_nulls_first() for n in [*names, "_tie"]]
-    placed = (
+    placed = barrier(
         keyed.repartitionByRange(*sort)
         .sortWithinPartitions(*sort)
-        .select(*df.columns, F.monotonically_increasing_id().alias("_at"))
-        .checkpoint()
+        .select(*df.columns, F.monotonically_increasing_id().alias("_at")),
+        "index",
     )
     part = F.shiftright("_at", _POSITION_BITS)
     position = F.col("_at").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
     sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
-    # One row per partition of the checkpoint.
+    # One row per partition of the written table.
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
     value = (F.lit(start) + F.col("_before") + position).cast("long")

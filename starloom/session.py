@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings the operators count on; all of them are safe to change on a live session.
 RUNTIME_SETTINGS = {
@@ -58,3 +58,14 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/starloom/{name}-{uuid.uuid4().hex}"
+
+
+def barrier(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a table below the shared folder and read it back.
+
+    What comes after does not depend on the work before, which runs once: losing an executor means
+    reading files again. As columns, so each later pass reads only what it needs.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
