@@ -6,7 +6,7 @@ import datetime as dt
 import functools
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,72 +91,66 @@ def load_dimension(
     cuts = split_points(rows, keys, order, policy)
 
     # 1. What each staged row changes, compared with the row before it.
-    rows = rows.withColumn("_state", F.struct("_kind", "_at", *attributes))
-    rows = lag_lead(rows, keys, order, [("_before", "_state", "LAG", 1)], cuts)
-    before = F.col("_before")
-    staged, follows = F.col("_kind") == 1, before.isNotNull()
-    differs = lambda names: _any([~F.col(n).eqNullSafe(F.col(f"_before.{n}")) for n in names])
-    problem = F.when(
-        staged & (F.col("_before._kind") == 1) & (F.col("_before._at") == F.col("_at")),
-        F.lit(f"{c.table}: two staged rows of one key share a date"),
-    ).when(
-        ~staged & (F.col("_before._kind") == 1),
-        F.lit(f"{c.table}: a staged row is older than a loaded version of its key"),
-    ).when(F.col("_at").isNull(), F.lit(f"{c.table}: a row has no effective date"))
+    seen = ["_kind", "_at", *attributes]
+    rows = lag_lead(rows, keys, order, [(f"_before_{n}", n, "LAG", 1) for n in seen], cuts)
+    staged, follows = F.col("_kind") == 1, F.col("_before__kind").isNotNull()
+    after_staged = follows & (F.col("_before__kind") == 1)
+    differs = lambda names: _any([~F.col(n).eqNullSafe(F.col(f"_before_{n}")) for n in names])
+    problem = (
+        F.when(F.col("_at").isNull(), F.lit(f"{c.table}: a row has no effective date"))
+        .when(~staged & after_staged, F.lit(f"{c.table}: a staged row is older than a loaded version of its key"))
+        .when(
+            staged & after_staged & (F.col("_before__at") == F.col("_at")),
+            F.lit(f"{c.table}: two staged rows of one key share a date"),
+        )
+    )
     opens = ~staged | ~follows | differs(c.attributes_scd2)
     rows = rows.select(
         *keys, *attributes, *technical, *order, "_sk", "_version", "_to",
-        F.when(problem.isNotNull(), F.raise_error(problem).cast("int")).when(opens, 1).otherwise(0).alias("_opens"),
-        (staged & ~follows).alias("_is_new_key"),
+        F.when(problem.isNotNull(), F.raise_error(problem).cast("boolean")).otherwise(opens).alias("_opens"),
+        (staged & ~follows).alias("_new_key"),
         (staged & follows & differs(attributes)).alias("_changed"),
         (staged & follows & differs(c.attributes_punch)).alias("_punched"),
     )
 
-    # 2. Rows up to the next opening one are one version; its last row holds the final attributes.
-    rows = running(rows, keys, order, sums={"_segment": F.col("_opens")}, cuts=cuts)
-    place = F.struct(*order)
-    versions = rows.groupBy(*keys, "_segment").agg(
-        F.max_by(F.struct(*attributes), place).alias("_last"),
-        F.min("_at").alias("_at"),
-        F.min("_kind").alias("_kind"),
-        *[F.max(n).alias(n) for n in ("_sk", "_version", "_to", *technical)],
-        F.max("_is_new_key").alias("_is_new_key"),
-        F.max(F.col("_changed") & (F.col("_opens") == 0)).alias("_updated"),
-    )
-
-    # 3. Version numbers and validity follow from the neighbours of the same key.
-    versions = lag_lead(versions, keys, order, [("_next", "_at", "LEAD", 1), ("_next_kind", "_kind", "LEAD", 1)], cuts)
-    fresh = F.col("_kind") == 1
-    versions = running(
-        versions, keys, order, sums={"_added": fresh.cast("int")}, lasts={"_base": F.col("_version")}, cuts=cuts
-    )
-    closed = (F.col("_next_kind") == 1) & (fresh | (F.col("_to") >= latest))
-    versions = versions.select(
-        *keys, "_sk", "_last", "_updated", *technical,
-        fresh.alias("_fresh"),
-        F.coalesce(F.col("_version"), F.coalesce(F.col("_base"), F.lit(0)) + F.col("_added").cast("int")).alias("_version"),
-        F.when(F.col("_is_new_key"), earliest).otherwise(F.col("_at")).alias("_from"),
-        F.when(closed, F.col("_next")).when(fresh, latest).otherwise(F.col("_to")).alias("_to"),
-        F.coalesce(closed, F.lit(False)).alias("_closed"),
+    # 2. A version runs from the row that opens it to the row before the next one that does. Its
+    #    last row holds the final attributes, its first row where it starts and what it was.
+    rows = running(
+        rows, keys, order,
+        sums={"_added": F.col("_opens") & staged, "_overwrites": F.col("_changed") & ~F.col("_opens")},
+        lasts={"_base": F.col("_version")},
+        cuts=cuts,
     )
+    first = F.struct("_at", "_kind", "_sk", "_version", "_to", "_new_key", "_overwrites", *technical)
+    rows = running(rows, keys, order, lasts={"_first": F.when(F.col("_opens"), first)}, cuts=cuts)
+    following = [("_next_opens", "_opens", "LEAD", 1), ("_next_at", "_at", "LEAD", 1), ("_next_kind", "_kind", "LEAD", 1)]
+    rows = lag_lead(rows, keys, order, following, cuts)
 
-    # 4. A punched attribute takes its last staged value in every version of the key.
-    final = {n: F.col(f"_last.{n}") for n in attributes}
+    # 3. A punched attribute takes its last staged value in every version of the key.
+    final = {n: F.col(n) for n in attributes}
     if c.attributes_punch:
-        punched = (
-            rows.groupBy(*keys)
-            .agg(
-                F.max("_punched").alias("_any"),
-                F.max_by(F.struct(*c.attributes_punch), place).alias("_punch"),
-            )
-            .where("_any")
-            .select(*[F.col(k).alias(f"_p_{k}") for k in keys], "_punch")
-        )
-        versions = versions.join(punched, _all([F.col(k) == F.col(f"_p_{k}") for k in keys]), "left")
+        rows = _with_punch(rows, keys, c.attributes_punch, F.struct(*order), cuts is None)
         hit = F.col("_punch").isNotNull()
         for n in c.attributes_punch:
-            final[n] = F.when(hit, F.col(f"_punch.{n}")).otherwise(final[n])
-        versions = versions.withColumn("_updated", F.col("_updated") | (hit & ~F.col("_fresh")))
+            final[n] = F.when(hit, F.col(f"_punch.{n}")).otherwise(F.col(n))
+    else:
+        hit = F.lit(False)
+
+    fresh = F.col("_first._kind") == 1
+    old_end = F.col("_first._to")
+    closed = F.coalesce((F.col("_next_kind") == 1) & (fresh | (old_end >= latest)), F.lit(False))
+    versions = rows.where(F.coalesce(F.col("_next_opens"), F.lit(True))).select(
+        *keys,
+        *[v.alias(n) for n, v in final.items()],
+        *[F.col(f"_first.{n}").alias(n) for n in technical],
+        F.col("_first._sk").alias("_sk"),
+        F.coalesce("_first._version", F.coalesce("_base", F.lit(0)) + F.col("_added").cast("int")).alias("_version"),
+        F.when(F.col("_first._new_key"), earliest).otherwise(F.col("_first._at")).alias("_from"),
+        F.when(closed, F.col("_next_at")).when(fresh, latest).otherwise(old_end).alias("_to"),
+        fresh.alias("_fresh"),
+        closed.alias("_closed"),
+        ((F.col("_overwrites") > F.col("_first._overwrites")) | (hit & ~fresh)).alias("_updated"),
+    )
 
     touched = F.col("_updated") | F.col("_closed")
     stamps = {
@@ -171,7 +165,7 @@ def load_dimension(
         F.col("_from").alias(c.date_from),
         F.col("_to").alias(c.date_to),
         *keys,
-        *[final[n].alias(n) for n in attributes],
+        *attributes,
         *[stamps[m](F.col(n)).alias(n) for n, m in c.technical_columns.items()],
     )
     if dim is None:
@@ -184,6 +178,22 @@ def load_dimension(
     return apart.unionByName(kept).unionByName(added)
 
 
+def _with_punch(rows: DataFrame, keys: list[str], names: Sequence[str], place: Column, whole_groups: bool) -> DataFrame:
+    """Add ``_punch``: the last values of ``names`` where a staged row of the key changed one."""
+    values = F.struct(*names)
+    if whole_groups:
+        group = Window.partitionBy(*keys)
+        return rows.withColumn("_punch", F.when(F.max("_punched").over(group), F.max_by(values, place).over(group)))
+    # Some key is too large for one task: find its last values by an aggregate.
+    punched = (
+        rows.groupBy(*keys)
+        .agg(F.max("_punched").alias("_any"), F.max_by(values, place).alias("_punch"))
+        .where("_any")
+        .select(*[F.col(k).alias(f"_p_{k}") for k in keys], "_punch")
+    )
+    return rows.join(punched, _all([F.col(k) == F.col(f"_p_{k}") for k in keys]), "left")
+
+
 def _number(new: DataFrame, c: DimContract, highest: int) -> DataFrame:
     """Technical keys after the highest one in use, by natural key and version."""
     return with_index(new, [*c.natural_keys, c.version_field], c.technical_key, start=highest + 1)
