@@ -13,8 +13,7 @@ from pyspark.sql import types as T
 from starloom.contracts import DimContract
 from starloom.operators.dimension import dimension_lookup
 from starloom.operators.joins import LookupValue, interval_lookup
-from starloom.operators.merge import one_per_key, upsert
-from starloom.operators.ordered import lag_lead
+from starloom.operators.merge import incomplete, one_per_key, upsert
 
 
 @dataclass(frozen=True)
@@ -51,7 +50,8 @@ def load_fact(
     incoming = stream.withColumn(loaded_at, now)
     if fact is None:
         values = [c for c in incoming.columns if c not in grain]
-        return one_per_key(incoming, grain, [], values, order).select(*incoming.columns)
+        whole = one_per_key(incoming, grain, [], values, order).select(*incoming.columns)
+        return whole.unionByName(incomplete(incoming, grain))
     return upsert(fact, incoming, grain, order=order)
 
 
@@ -70,11 +70,15 @@ def convert_currency(
     are NULL.
     """
     name, date, rate = rates.columns
-    ends = lag_lead(rates, [name], [date], [("_ends", date, "LEAD", 1)])
-    ends = ends.withColumn("_ends", F.coalesce("_ends", F.lit(dt.datetime(9999, 12, 31)).cast(rates.schema[date].dataType)))
-    ends = ends.withColumn("_rate", F.col(rate).cast(T.DecimalType(18, 8)))
+    # Open-ended: the lookup cuts each rate off where the next one starts.
+    spans = rates.select(
+        name,
+        date,
+        F.lit(dt.datetime(9999, 12, 31)).cast(rates.schema[date].dataType).alias("_ends"),
+        F.col(rate).cast(T.DecimalType(18, 8)).alias("_rate"),
+    )
     found = interval_lookup(
-        df, ends, {currency: name}, at, date, "_ends", [LookupValue("_rate", "tasa_cambio_aplicada")]
+        df, spans, {currency: name}, at, date, "_ends", [LookupValue("_rate", "tasa_cambio_aplicada")]
     )
     converted = F.try_multiply(F.col(amount).try_cast(T.DecimalType(18, 4)), F.col("tasa_cambio_aplicada"))
     return found.withColumn(output, converted.try_cast(T.DecimalType(20, scale)))

@@ -1,8 +1,11 @@
 """Joins, lookups, existence tests, unions and row-shape changes.
 
-No join here forces a broadcast of user data: Spark picks a broadcast from the sizes it knows and
-measures, and splits skewed partitions of shuffled joins at run time. Lookup tables are reduced to
-one row per key by an aggregate before they are joined, so a lookup never multiplies rows.
+No join here forces a broadcast of user data: Spark picks a broadcast from the sizes it knows.
+
+Lookup and existence tables are reduced to one row per key by an aggregate, so a lookup never
+multiplies rows, and the reduced table is written before the join. Spark then knows its size, and
+both join sides are plain shuffles, the form in which adaptive execution can split a partition that
+one frequent stream key has made too large. Joined straight to the aggregate it could not.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from pyspark.sql import types as T
 
 from starloom.functions.text import literal_pattern
 from starloom.operators.ordered import SplitPolicy, lag_lead, running, split_points
+from starloom.operators.sequence import spread
+from starloom.session import barrier
 
 
 def _free_names(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -29,6 +34,15 @@ def _equal(left_keys: Sequence[str], right_keys: Sequence[str]) -> Column:
     return functools.reduce(lambda a, b: a & b, [F.col(a) == F.col(b) for a, b in zip(left_keys, right_keys)])
 
 
+def _names(keys: Sequence[str]) -> list[str]:
+    return [f"_k{i}" for i in range(len(keys))]
+
+
+def _key_set(table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The distinct keys of a table, written out."""
+    return barrier(table.select(*[F.col(c).alias(n) for c, n in zip(keys, _names(keys))]).distinct(), "keys")
+
+
 def merge_join(
     left: DataFrame, right: DataFrame, left_keys: Sequence[str], right_keys: Sequence[str], how: str = "INNER"
 ) -> DataFrame:
@@ -38,9 +52,12 @@ def merge_join(
     keys = [f"{k}_1" if k in left.columns else k for k in right_keys]
     on = _equal(left_keys, keys)
     if how == "FULL":
-        # A full outer join cannot split a skewed key at run time, its two halves can.
+        # A full outer join cannot split a skewed key at run time, its two halves can. Rows with a
+        # NULL key match nothing and skip the second join.
         matched = left.join(side, on, "left")
-        unmatched = side.join(left.select(*left_keys), on, "left_anti")
+        complete = functools.reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+        other = side.where(complete).join(_key_set(left, left_keys), _equal(keys, _names(left_keys)), "left_anti")
+        unmatched = other.unionByName(side.where(~complete))
         return matched.unionByName(unmatched, allowMissingColumns=True).select(*matched.columns)
     kinds = {"INNER": "inner", "LEFT": "left", "RIGHT": "right"}
     return left.join(side, on, kinds[how])
@@ -95,7 +112,8 @@ def stream_lookup(
         *[F.col(n).alias(f"_v{i}") for i, n in enumerate(names)],
         F.lit(True).alias("_hit"),
     )
-    on = _equal(list(keys), [f"_k{i}" for i in range(len(keys))])
+    side = barrier(side, "lookup")
+    on = _equal(list(keys), _names(keys))
     outputs = {v.output for v in values}
     filled = [
         F.when(F.col("_hit"), F.col(f"_v{i}"))
@@ -110,44 +128,63 @@ def database_lookup(
     stream: DataFrame,
     table: DataFrame,
     equal: Mapping[str, str],
-    conditions: Sequence[tuple[str, str, str]],
+    comparison: tuple[str, str, str] | tuple[str, str, str, str],
     values: Sequence[LookupValue],
     order: Sequence[str],
-    row_key: Sequence[str],
+    policy: SplitPolicy = SplitPolicy(),
 ) -> DataFrame:
-    """Lookup on equality plus ``(stream_column, operator, table_column)`` comparisons.
+    """Lookup on equality keys, which may be empty, plus one comparison; at most one row comes back.
+
+    ``(stream_column, operator, table_column)`` with <, <=, > or >= gives the first match by
+    ``order``. ``(low, "BETWEEN", table_column, high)`` gives the match with the smallest table
+    value, ties by ``order``.
 
-    At most one row comes back per stream row, the first by ``order``. ``row_key`` identifies a
-    stream row; the best match is kept by an aggregate, so many matches are never held together.
-    For a BETWEEN on intervals use :func:`interval_lookup`, which does not compare all pairs.
+    Rows and candidates are put in one order per key and each row reads the best candidate on its
+    side of it, so candidates are never paired with rows and a large key is cut into chunks.
     """
-    if not equal:
-        raise ValueError("a comparison lookup needs an equality key; see interval_lookup")
-    compare = {
-        "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b,
-        ">=": lambda a, b: a >= b, "<>": lambda a, b: a != b, "=": lambda a, b: a == b,
-    }
-    used = list(dict.fromkeys([*equal.values(), *[c for _, _, c in conditions], *[v.name for v in values], *order]))
-    side = table.select(*[F.col(c).alias(f"_t_{c}") for c in used])
-    on = _equal(list(equal), [f"_t_{c}" for c in equal.values()])
-    for a, op, b in conditions:
-        on = on & compare[op](F.col(a), F.col(f"_t_{b}"))
-    best = (
-        stream.select(*row_key, *[c for c in dict.fromkeys([*equal, *[a for a, _, _ in conditions]]) if c not in row_key])
-        .join(side, on, "inner")
-        .groupBy(*[F.col(k).alias(f"_r_{k}") for k in row_key])
-        .agg(
-            F.min_by(
-                F.struct(*[F.col(f"_t_{v.name}").alias(f"_v{i}") for i, v in enumerate(values)]),
-                F.struct(*[F.col(f"_t_{o}") for o in order]),
-            ).alias("_best")
-        )
+    low, op, column, *high = comparison
+    if op not in ("<", "<=", ">", ">=", "BETWEEN") or (op == "BETWEEN") != bool(high):
+        raise ValueError(f"unsupported comparison: {comparison}")
+    keys = _names(equal)
+    upward = op in ("<", "<=", "BETWEEN")  # candidates lie above the row
+    # Where values are equal, strict operators have to meet the row before the candidates.
+    candidates_first = op in ("<=", ">=", "BETWEEN")
+    candidate_kind, row_kind = (0, 1) if candidates_first != upward else (1, 0)
+    rank = F.struct(*[F.col(o) for o in order])
+    picked = F.struct(*[F.col(v.name).alias(f"v{i}") for i, v in enumerate(values)])
+    candidates = table.where(F.col(column).isNotNull()).select(
+        *[F.col(c).alias(k) for c, k in zip(equal.values(), keys)],
+        F.col(column).alias("_value"),
+        F.lit(candidate_kind).alias("_kind"),
+        F.lit(0).cast("long").alias("_spread"),
+        rank.alias("_rank"),
+        F.struct(rank.alias("rank"), F.col(column).alias("value"), picked.alias("picked")).alias("_candidate"),
     )
+    for k in keys:
+        candidates = candidates.where(F.col(k).isNotNull())
+    rows = stream.select(
+        *[F.col(c).alias(k) for c, k in zip(equal, keys)],
+        F.col(low).cast(table.schema[column].dataType).alias("_value"),
+        F.lit(row_kind).alias("_kind"),
+        spread(stream).alias("_spread"),
+        F.struct(*[F.col(c) for c in stream.columns]).alias("_row"),
+    )
+    both = candidates.unionByName(rows, allowMissingColumns=True)
+    placing = ["_value", "_kind", "_spread", "_rank"]
+    found = {"_best": F.col("_candidate")}
+    # With BETWEEN the nearest candidate decides; otherwise the first by rank on that side.
+    kind = {"lasts": found} if op == "BETWEEN" else {"mins": found}
+    best = running(both, keys, placing, cuts=policy, reverse=upward, **kind).where(F.col("_kind") == row_kind)
+    hit = F.col("_best").isNotNull() & F.col("_value").isNotNull()
+    for k in keys:
+        hit = hit & F.col(k).isNotNull()
+    if high:
+        hit = hit & F.coalesce(F.col("_best.value") <= F.col(f"_row.{high[0]}"), F.lit(False))
     outputs = {v.output for v in values}
-    return stream.join(best, _equal(row_key, [f"_r_{k}" for k in row_key]), "left").select(
-        *[c for c in stream.columns if c not in outputs],
+    return best.select(
+        *[F.col(f"_row.{c}").alias(c) for c in stream.columns if c not in outputs],
         *[
-            F.when(F.col("_best").isNotNull(), F.col(f"_best._v{i}"))
+            F.when(hit, F.col(f"_best.picked.v{i}"))
             .otherwise(F.lit(v.default).cast(table.schema[v.name].dataType))
             .alias(v.output)
             for i, v in enumerate(values)
@@ -178,7 +215,7 @@ def interval_lookup(
     started before it; that way needs no pairing and cuts large keys into chunks.
     """
     names = list(dict.fromkeys(v.name for v in values))
-    keys = [f"_k{i}" for i in range(len(equal))]
+    keys = _names(equal)
     side = table.where(F.col(lower).isNotNull() & F.col(upper).isNotNull()).select(
         *[F.col(c).alias(k) for c, k in zip(equal.values(), keys)],
         F.col(lower).alias("_lower"),
@@ -204,14 +241,15 @@ def interval_lookup(
         inside = (here <= F.col("_upper")) if closed else (here < F.col("_upper"))
         on = _equal(list(equal), keys) & (here >= F.col("_lower")) & inside
         on = on & (F.col("_next").isNull() | (here < F.col("_next")))
-        return stream.join(clipped.drop("_tie"), on, "left").select(*kept, *filled)
+        clipped = barrier(clipped.drop("_tie"), "intervals")
+        return stream.join(clipped, on, "left").select(*kept, *filled)
 
     # One ordered stream: intervals (0) before the rows (1) that share their start.
     rows = stream.select(
         *[F.col(c).alias(k) for c, k in zip(equal, keys)],
         F.col(at).cast(side.schema["_lower"].dataType).alias("_lower"),
         F.lit(1).alias("_kind"),
-        F.xxhash64(*_hashable(stream)).alias("_spread"),
+        spread(stream).alias("_spread"),
         F.struct(*[F.col(c) for c in stream.columns]).alias("_row"),
     )
     starts = side.select(
@@ -235,10 +273,6 @@ def interval_lookup(
     ).select(*kept, *filled)
 
 
-def _hashable(df: DataFrame) -> list[Column]:
-    return [F.col(f.name) for f in df.schema if not isinstance(f.dataType, T.MapType)]
-
-
 def merge_rows(
     reference: DataFrame, compare: DataFrame, keys: Sequence[str], values: Sequence[str], flag: str = "flagfield"
 ) -> DataFrame:
@@ -265,14 +299,12 @@ def merge_rows(
 
 def exists_in(df: DataFrame, table: DataFrame, keys: Mapping[str, str]) -> DataFrame:
     """Rows whose key is in ``table``."""
-    side = table.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys.values())])
-    return df.join(side, _equal(list(keys), [f"_k{i}" for i in range(len(keys))]), "left_semi")
+    return df.join(_key_set(table, list(keys.values())), _equal(list(keys), _names(keys)), "left_semi")
 
 
 def not_exists_in(df: DataFrame, table: DataFrame, keys: Mapping[str, str]) -> DataFrame:
     """Rows whose key is not in ``table``, NULL keys included."""
-    side = table.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys.values())])
-    return df.join(side, _equal(list(keys), [f"_k{i}" for i in range(len(keys))]), "left_anti")
+    return df.join(_key_set(table, list(keys.values())), _equal(list(keys), _names(keys)), "left_anti")
 
 
 def union_streams(*streams: DataFrame) -> DataFrame:

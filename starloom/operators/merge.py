@@ -1,7 +1,7 @@
 """Insert, update and delete as DataFrame results: target and source in, new target out.
 
-The source is first reduced to one row per key by an aggregate, so both sides of every join here are
-unique on the key and no key can fill a task.
+The source is first reduced to one row per key by an aggregate, so both sides of an upsert are unique
+on the key and no key can fill a task.
 """
 
 from __future__ import annotations
@@ -12,21 +12,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from starloom.session import barrier
 
-def _any_null(keys: Sequence[str]) -> Column:
-    return functools.reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+
+def _complete(keys: Sequence[str]) -> Column:
+    return functools.reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
 
 
 def one_per_key(
     source: DataFrame, keys: Sequence[str], first: Sequence[str], last: Sequence[str], order: Sequence[str]
 ) -> DataFrame:
-    """One source row per key, as if its rows had been applied one after another by ``order``.
+    """One source row per complete key, as if its rows had been applied one after another by ``order``.
 
     ``first`` columns keep the value of the first row (set on insert only), ``last`` columns that of
-    the last. Without an order a repeated key is an error. Rows with a NULL key match nothing and
-    stay apart.
+    the last. Without an order a repeated key is an error.
     """
-    lone = F.when(_any_null(keys), F.monotonically_increasing_id()).alias("_lone")
     rank = F.struct(*[F.col(c) for c in order]) if order else F.lit(0)
     pick = lambda function, names: function(F.struct(*[F.col(c) for c in names]), rank)
     parts = []
@@ -34,19 +34,21 @@ def one_per_key(
         parts.append(pick(F.min_by, first).alias("_first"))
     if last:
         parts.append(pick(F.max_by, last).alias("_last"))
-    grouped = source.groupBy(*keys, lone).agg(F.count(F.lit(1)).alias("_rows"), *parts)
+    grouped = source.where(_complete(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *parts)
     if not order:
         message = F.lit(f"source has several rows for one key {list(keys)}; give an order")
         once = F.when(F.col("_rows") > 1, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
         grouped = grouped.where(once)  # a filter, so that unused columns cannot drop the test
     return grouped.select(
-        *keys,
-        *[F.col(f"_first.{c}").alias(c) for c in first],
-        *[F.col(f"_last.{c}").alias(c) for c in last],
-        F.lit(True).alias("_source"),
+        *keys, *[F.col(f"_first.{c}").alias(c) for c in first], *[F.col(f"_last.{c}").alias(c) for c in last]
     )
 
 
+def incomplete(source: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with a NULL in their key. They match nothing, so an upsert inserts each of them."""
+    return source.where(~_complete(keys))
+
+
 def upsert(
     target: DataFrame,
     source: DataFrame,
@@ -67,25 +69,38 @@ def upsert(
     update = incoming if update is None else list(update)
     reduced = one_per_key(source, keys, [c for c in incoming if c not in update], update, order)
     side = reduced.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys], *[F.col(c).alias(f"_s_{c}") for c in incoming], "_source"
+        *[F.col(k).alias(f"_k_{k}") for k in keys],
+        *[F.col(c).alias(f"_s_{c}") for c in incoming],
+        F.lit(True).alias("_source"),
     )
     on = functools.reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_k_{k}") for k in keys])
     have = target.withColumn("_target", F.lit(True))
     joined = have.join(side, on, "full_outer" if insert else "left")
     inserted, matched = F.col("_target").isNull(), F.col("_source").isNotNull()
     result = []
-    for name in target.columns:
-        old = F.col(name)
-        if name in keys:
-            value = F.when(inserted, F.col(f"_k_{name}")).otherwise(old)
-        elif name in update:
-            value = F.when(matched, F.col(f"_s_{name}")).otherwise(old)
-        elif name in incoming:
-            value = F.when(inserted, F.col(f"_s_{name}")).otherwise(old)
+    for f in target.schema:
+        old = F.col(f.name)
+        if f.name in keys:
+            value = F.when(inserted, F.col(f"_k_{f.name}")).otherwise(old)
+        elif f.name in update:
+            value = F.when(matched, F.col(f"_s_{f.name}")).otherwise(old)
+        elif f.name in incoming:
+            value = F.when(inserted, F.col(f"_s_{f.name}")).otherwise(old)
         else:
             value = old
-        result.append(value.cast(target.schema[name].dataType).alias(name))
-    return joined.select(*result)
+        result.append(value.cast(f.dataType).alias(f.name))
+    merged = joined.select(*result)
+    if not insert:
+        return merged
+    apart = incomplete(source, keys)
+    return merged.unionByName(
+        apart.select(
+            *[
+                (F.col(f.name) if f.name in source.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                for f in target.schema
+            ]
+        )
+    )
 
 
 def insert_new(target: DataFrame, source: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
@@ -107,13 +122,31 @@ def update_matching(
 def delete_matching(
     target: DataFrame, source: DataFrame, keys: Sequence[tuple[str, str, str]]
 ) -> DataFrame:
-    """Remove target rows for which some source row meets every ``(target, operator, source)`` test."""
-    compare = {
-        "=": lambda a, b: a == b, "<>": lambda a, b: a != b, "<": lambda a, b: a < b,
-        "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b,
-    }
-    side = source.select(*[F.col(s).alias(f"_d{i}") for i, (_, _, s) in enumerate(keys)])
-    on = functools.reduce(
-        lambda a, b: a & b, [compare[op](F.col(t), F.col(f"_d{i}")) for i, (t, op, _) in enumerate(keys)]
-    )
-    return target.join(side, on, "left_anti")
+    """Remove target rows for which some source row meets every ``(target, operator, source)`` test.
+
+    Equality tests and at most one other comparison: whether any source value of a key is larger,
+    smaller or different shows in its minimum and maximum, so the source becomes one row per key.
+    """
+    equal = [(t, s) for t, op, s in keys if op == "="]
+    other = [(t, op, s) for t, op, s in keys if op != "="]
+    if len(other) > 1:
+        raise ValueError("delete on equality and at most one other comparison")
+    names = [f"_d{i}" for i in range(len(equal))]
+    side = source.select(
+        *[F.col(s).alias(n) for n, (_, s) in zip(names, equal)], *[F.col(s).alias("_v") for _, _, s in other]
+    ).groupBy(*names).agg(*([F.min("_v").alias("_low"), F.max("_v").alias("_high")] if other else []), F.lit(1).alias("_one"))
+    meets = F.lit(True)
+    for name, (t, _) in zip(names, equal):
+        meets = meets & (F.col(t) == F.col(name))
+    for t, op, _ in other:
+        value, low, high = F.col(t), F.col("_low"), F.col("_high")
+        tests = {
+            "<": value < high, "<=": value <= high, ">": value > low, ">=": value >= low,
+            "<>": (value != low) | (value != high),
+        }
+        meets = meets & tests[op]
+    if not equal:
+        side = F.broadcast(side)  # a global aggregate: one row
+    else:
+        side = barrier(side, "delete")
+    return target.join(side, meets, "left_anti")

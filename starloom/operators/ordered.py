@@ -113,8 +113,8 @@ def _chunked(df: DataFrame, group: Sequence[str], order: Sequence[str], cuts: Da
     return joined.withColumn(_CHUNK, chunk).drop(_CUTS, *[f"_cut_{name}" for name in group])
 
 
-def _ordered(order: Sequence[str]) -> list[Column]:
-    return [F.col(name).asc_nulls_first() for name in order]
+def _ordered(order: Sequence[str], reverse: bool = False) -> list[Column]:
+    return [F.col(name).desc_nulls_last() if reverse else F.col(name).asc_nulls_first() for name in order]
 
 
 def _auto(df: DataFrame, group, order, cuts) -> DataFrame | None:
@@ -178,55 +178,61 @@ def running(
     order: Sequence[str],
     sums: Mapping[str, Column] | None = None,
     lasts: Mapping[str, Column] | None = None,
+    mins: Mapping[str, Column] | None = None,
     cuts: DataFrame | SplitPolicy | None = SplitPolicy(),
+    reverse: bool = False,
 ) -> DataFrame:
-    """Add running sums and last-non-null values from the start of each group up to the row."""
-    sums, lasts = dict(sums or {}), dict(lasts or {})
-    base = df.columns
+    """Add running sums, last-non-null values and minima from the start of each group to the row.
+
+    ``reverse`` runs from the end of the group instead.
+    """
+    sums, lasts, mins = dict(sums or {}), dict(lasts or {}), dict(mins or {})
+    base, added = df.columns, [*sums, *lasts, *mins]
     prepared = df.select(
         "*",
-        *[F.coalesce(c.cast("long"), F.lit(0)).alias(f"_s_{n}") for n, c in sums.items()],
-        *[c.alias(f"_l_{n}") for n, c in lasts.items()],
+        *[F.coalesce(c.cast("long"), F.lit(0)).alias(f"_in_{n}") for n, c in sums.items()],
+        *[c.alias(f"_in_{n}") for n, c in [*lasts.items(), *mins.items()]],
     )
     cuts = _auto(df, group, order, cuts)
     parts = [*group] if cuts is None else [*group, _CHUNK]
     if cuts is not None:
         prepared = _chunked(prepared, group, order, cuts)
-    upto = (
-        Window.partitionBy(*parts)
-        .orderBy(*_ordered(order))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    rows = prepared.select(
-        "*",
-        *[F.sum(f"_s_{n}").over(upto).alias(n) for n in sums],
-        *[F.last(f"_l_{n}", ignorenulls=True).over(upto).alias(n) for n in lasts],
-    )
+
+    def over(window) -> list[Column]:
+        return [
+            *[F.sum(f"_in_{n}").over(window).alias(n) for n in sums],
+            *[F.last(f"_in_{n}", ignorenulls=True).over(window).alias(n) for n in lasts],
+            *[F.min(f"_in_{n}").over(window).alias(n) for n in mins],
+        ]
+
+    upto = Window.partitionBy(*parts).orderBy(*_ordered(order, reverse)).rowsBetween(Window.unboundedPreceding, 0)
+    rows = prepared.select("*", *over(upto))
     if cuts is None:
-        return rows.select(*base, *sums, *lasts)
+        return rows.select(*base, *added)
 
-    # One row per chunk: its total and its last value, turned into what earlier chunks bring along.
+    # One row per chunk: its total, last value and minimum, turned into what earlier chunks bring.
     here = F.struct(*[F.col(name) for name in order])
+    latest = F.min_by if reverse else F.max_by
     totals = (
         prepared.where(F.col(_CHUNK).isNotNull())
         .groupBy(*group, _CHUNK)
         .agg(
             F.count(F.lit(1)).alias("_size"),
-            *[F.sum(f"_s_{n}").alias(f"_s_{n}") for n in sums],
-            *[
-                F.max_by(f"_l_{n}", F.when(F.col(f"_l_{n}").isNotNull(), here)).alias(f"_l_{n}")
-                for n in lasts
-            ],
+            *[F.sum(f"_in_{n}").alias(f"_in_{n}") for n in sums],
+            *[latest(f"_in_{n}", F.when(F.col(f"_in_{n}").isNotNull(), here)).alias(f"_in_{n}") for n in lasts],
+            *[F.min(f"_in_{n}").alias(f"_in_{n}") for n in mins],
         )
     )
     before = (
-        Window.partitionBy(*group).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*group)
+        .orderBy(*_ordered([_CHUNK], reverse))
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
     carry = totals.select(
-        *[F.col(name).alias(f"_c_{name}") for name in group],
-        F.col(_CHUNK).alias("_c_chunk"),
-        *[F.sum(f"_s_{n}").over(before).alias(f"_cs_{n}") for n in sums],
-        *[F.last(f"_l_{n}", ignorenulls=True).over(before).alias(f"_cl_{n}") for n in lasts],
+        *[F.col(name).alias(f"_c_{name}") for name in group], F.col(_CHUNK).alias("_c_chunk"), *over(before)
+    )
+    carry = carry.select(
+        *[f"_c_{name}" for name in group], "_c_chunk", *[F.col(n).alias(f"_carried_{n}") for n in added]
     )
     match = F.col(_CHUNK) == F.col("_c_chunk")
     for name in group:
@@ -234,6 +240,7 @@ def running(
     joined = rows.join(F.broadcast(carry), match, "left")
     return joined.select(
         *base,
-        *[(F.col(n) + F.coalesce(F.col(f"_cs_{n}"), F.lit(0))).alias(n) for n in sums],
-        *[F.coalesce(F.col(n), F.col(f"_cl_{n}")).alias(n) for n in lasts],
+        *[(F.col(n) + F.coalesce(F.col(f"_carried_{n}"), F.lit(0))).alias(n) for n in sums],
+        *[F.coalesce(F.col(n), F.col(f"_carried_{n}")).alias(n) for n in lasts],
+        *[F.least(F.col(n), F.col(f"_carried_{n}")).alias(n) for n in mins],
     )

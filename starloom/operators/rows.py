@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from starloom.contracts import spark_type
 from starloom.functions.casting import cast_to
 from starloom.functions.text import join_text, literal_pattern, normalise, replace_text
-from starloom.operators.sequence import with_index
+from starloom.operators.sequence import spread, with_index
 
 # -- projection and casts ------------------------------------------------------------------------
 
@@ -109,12 +109,12 @@ def sort_key(column: str, dtype: T.DataType, ascending: bool = True) -> Column:
 def sort_rows(df: DataFrame, columns: Sequence[str | tuple[str, bool]]) -> DataFrame:
     """Total order of the table.
 
-    The row position is the last sort key, so rows that tie are spread over the sort's ranges
+    A hash of the row is the last sort key, so rows that tie are spread over the sort's ranges
     instead of all going to one task.
     """
     pairs = [(c, True) if isinstance(c, str) else c for c in columns]
     keys = [sort_key(c, df.schema[c].dataType, asc) for c, asc in pairs]
-    return df.withColumn("_tie", F.monotonically_increasing_id()).orderBy(*keys, "_tie").drop("_tie")
+    return df.withColumn("_tie", spread(df)).orderBy(*keys, "_tie").drop("_tie")
 
 
 def sorted_position(df: DataFrame, columns: Sequence[str], output: str = "position") -> DataFrame:

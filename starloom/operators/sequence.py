@@ -6,25 +6,35 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from starloom.session import barrier
 
 _POSITION_BITS = 33  # monotonically_increasing_id keeps the row position in its low 33 bits
 
 
+def spread(df: DataFrame) -> Column:
+    """A hash of the whole row, to place rows with equal keys.
+
+    Taken from the content, not from the row's position or a random number: a task that runs again
+    after a lost executor has to place each row where it was before.
+    """
+    return F.xxhash64(*[F.col(f.name) for f in df.schema if not isinstance(f.dataType, T.MapType)])
+
+
 def with_index(df: DataFrame, order: Sequence[str | Column], output: str, start: int = 0) -> DataFrame:
     """Number the rows ``start, start + 1, ...`` by ``order``, ascending with NULLs first.
 
     Rows are range-partitioned, sorted per partition and written out with their partition and
     position, because these must be the same in the two passes that count and number the rows. The
-    only global step adds up one count per partition. Rows that tie in ``order`` are spread by their
-    position, so a common value does not fill one task.
+    only global step adds up one count per partition. Rows that tie in ``order`` are spread by a hash
+    of their content, so a common value does not fill one task.
     """
     names = [f"_o{i}" for i in range(len(order))]
     keyed = df.select(
         "*",
         *[(F.col(c) if isinstance(c, str) else c).alias(n) for c, n in zip(order, names)],
-        F.monotonically_increasing_id().alias("_tie"),
+        spread(df).alias("_tie"),
     )
     sort = [F.col(n).asc_nulls_first() for n in [*names, "_tie"]]
     placed = barrier(

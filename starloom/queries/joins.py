@@ -10,7 +10,6 @@ from starloom.operators.aggregate import Aggregate
 from starloom.operators.joins import LookupValue, Pivot
 from starloom.queries.registry import day, double, query, table
 from starloom.queries.rows import CHANGES, customer_changes
-from starloom.sources.readers import generate_rows
 
 # Orders above a price and customers in credit, so that every join type has unmatched rows.
 JOIN_SQL = """SELECT o_orderkey, o_custkey, c_custkey, c_name FROM (SELECT * FROM orders WHERE o_totalprice > 100000) o
@@ -109,17 +108,41 @@ def db_lookup_compare(spark, sf):
         table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal"),
         table(spark, sf, "supplier"),
         {"c_nationkey": "s_nationkey"},
-        [("c_acctbal", "<", "s_acctbal")],
+        ("c_acctbal", "<", "s_acctbal"),
         [LookupValue("s_name", "supplier", "none")],
         ["s_acctbal", "s_suppkey"],
-        ["c_custkey"],
     ).select("c_custkey", "supplier")
 
 
-BANDS = """bands AS (
-    SELECT CAST(o_orderkey AS DOUBLE) * 0 + o_totalprice AS lo,
-           coalesce(lead(o_totalprice) OVER (ORDER BY o_totalprice, o_orderkey), 1e12) AS hi, o_orderkey AS band
-    FROM orders WHERE o_orderpriority = '1-URGENT')"""
+@query(
+    "db_lookup_compare_any",
+    """SELECT p_partkey, coalesce(first_order, -1) AS first_order FROM part LEFT JOIN (
+         SELECT p_partkey AS k, min(o_orderkey) AS first_order FROM part JOIN orders ON o_totalprice <= 2 * p_retailprice GROUP BY 1) ON k = p_partkey""",
+)
+def db_lookup_compare_any(spark, sf):
+    """The first order that costs no more than twice the part, over all orders: no equality key."""
+    parts = table(spark, sf, "part").select("p_partkey", (F.col("p_retailprice") * 2).alias("limit"))
+    return joins.database_lookup(
+        parts, table(spark, sf, "orders"), {}, ("limit", ">=", "o_totalprice"),
+        [LookupValue("o_orderkey", "first_order", -1)], ["o_orderkey"],
+    ).select("p_partkey", "first_order")
+
+
+@query(
+    "db_lookup_between_values",
+    """SELECT c_custkey, coalesce(next_order, -1) AS next_order FROM customer LEFT JOIN (
+         SELECT c_custkey AS k, min_by(o_orderkey, (o_totalprice, o_orderkey)) AS next_order FROM customer
+         JOIN orders ON o_custkey = c_custkey AND o_totalprice BETWEEN 20 * c_acctbal AND 40 * c_acctbal GROUP BY 1) ON k = c_custkey""",
+)
+def db_lookup_between_values(spark, sf):
+    """The customer's cheapest order between twenty and forty times the balance."""
+    customers = table(spark, sf, "customer").select(
+        "c_custkey", (F.col("c_acctbal") * 20).alias("low"), (F.col("c_acctbal") * 40).alias("high")
+    )
+    return joins.database_lookup(
+        customers, table(spark, sf, "orders"), {"c_custkey": "o_custkey"}, ("low", "BETWEEN", "o_totalprice", "high"),
+        [LookupValue("o_orderkey", "next_order", -1)], ["o_orderkey"],
+    ).select("c_custkey", "next_order")
 
 
 @query(

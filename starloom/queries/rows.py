@@ -281,6 +281,14 @@ def delete_matching(spark, sf):
     ).select("c_custkey", "c_name")
 
 
+@query("delete_older", "SELECT o_orderkey FROM orders WHERE NOT o_orderdate < (SELECT max(l_shipdate) - INTERVAL 1000 DAY FROM lineitem)")
+def delete_older(spark, sf):
+    """Orders older than some cut-off date: a comparison without an equality key."""
+    cutoffs = table(spark, sf, "lineitem").select((F.col("l_shipdate") - F.expr("INTERVAL 1000 DAYS")).alias("cutoff"))
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
+    return merge.delete_matching(orders, cutoffs, [("o_orderdate", "<", "cutoff")]).select("o_orderkey")
+
+
 # -- projection and casts ------------------------------------------------------------------------
 
 
