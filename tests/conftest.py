@@ -13,7 +13,7 @@ def spark(tmp_path_factory):
 
     warehouse = str(tmp_path_factory.mktemp("warehouse"))
     session = local_session(
-        "tests", "8", "6g", spark__sql__shuffle__partitions="8", spark__sql__warehouse__dir=warehouse
+        "tests", "8", "6g", spark__sql__shuffle__partitions="4", spark__sql__codegen__wholeStage="false", spark__sql__warehouse__dir=warehouse
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
