@@ -46,7 +46,7 @@ HEADLINE = [
     "rejected_rows",
     "check_fanout",
     "distinct_counts",
-    "profile_stats",
+    "profile_table",
     "time_series",
 ]
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +20,17 @@ DATE_LAYOUTS = {
 }
 
 
+def literal(value: object) -> Column:
+    """A literal; a datetime is wall-clock time, whatever zone the session or the machine is in."""
+    if isinstance(value, dt.datetime):
+        return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+    return F.lit(value)
+
+
+def utc_now() -> dt.datetime:
+    return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+
+
 def parse_date(value: Column, layout: str = "YYYY-MM-DD") -> Column:
     """Text to date."""
     return F.try_to_date(F.trim(value), DATE_LAYOUTS[layout])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from starloom.contracts import MAX_DATE, MIN_DATE, DimContract
+from starloom.functions.casting import literal, utc_now
 from starloom.operators.joins import LookupValue, interval_lookup, not_exists_in
 from starloom.operators.ordered import SplitPolicy, lag_lead, running, split_points
 from starloom.operators.sequence import with_index
@@ -19,10 +20,6 @@ from starloom.session import barrier
 NTZ = T.TimestampNTZType()
 
 
-def _instant(value: dt.datetime) -> Column:
-    return F.lit(value).cast(NTZ)
-
-
 
 def _any(tests: Sequence[Column]) -> Column:
     return functools.reduce(lambda a, b: a | b, tests, F.lit(False))
@@ -56,9 +53,9 @@ def load_dimension(
     keys, attributes = list(c.natural_keys), list(c.attributes)
     if not attributes:
         raise ValueError(f"{c.table}: no attributes; use load_junk_dimension")
-    at = F.col(ref_date) if isinstance(ref_date, str) else F.lit(ref_date)
-    now = _instant(run_time or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))
-    earliest, latest = _instant(MIN_DATE), _instant(MAX_DATE)
+    at = F.col(ref_date) if isinstance(ref_date, str) else literal(ref_date)
+    now = literal(run_time or utc_now())
+    earliest, latest = literal(MIN_DATE), literal(MAX_DATE)
     technical = {n: T.BooleanType() if m == "LastVersion" else NTZ for n, m in c.technical_columns.items()}
 
     rows = stage.where(_all([F.col(k).isNotNull() for k in keys])).select(
@@ -206,8 +203,8 @@ def seed_unknown(dim: DataFrame, contract: DimContract, required: Sequence[str]
     fixed = {
         c.technical_key: F.lit(c.unknown_key_value),
         c.version_field: F.lit(1),
-        c.date_from: _instant(MIN_DATE),
-        c.date_to: _instant(MAX_DATE),
+        c.date_from: literal(MIN_DATE),
+        c.date_to: literal(MAX_DATE),
     }
 
     def value(f: T.StructField) -> Column:
@@ -219,10 +216,11 @@ def seed_unknown(dim: DataFrame, contract: DimContract, required: Sequence[str]
             return F.lit(0)
         if isinstance(f.dataType, T.BooleanType):
             return F.lit(False)
-        return _instant(MIN_DATE) if isinstance(f.dataType, (T.DateType, T.TimestampNTZType, T.TimestampType)) else F.lit("DESCONOCIDO")
+        return literal(MIN_DATE) if isinstance(f.dataType, (T.DateType, T.TimestampNTZType, T.TimestampType)) else F.lit("DESCONOCIDO")
 
     row = dim.sparkSession.range(1).select(*[value(f).cast(f.dataType).alias(f.name) for f in dim.schema])
-    return dim.unionByName(not_exists_in(row, dim, {c.technical_key: c.technical_key}))
+    have = dim.where(F.col(c.technical_key) == c.unknown_key_value).select(c.technical_key)
+    return dim.unionByName(row.join(have, c.technical_key, "left_anti").select(*dim.columns))
 
 
 def inferred_members(
@@ -284,7 +282,7 @@ def dimension_lookup(
     """
     c = contract
     if ref_date is None:
-        moment = F.lit(run_time or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))
+        moment = literal(run_time or utc_now())
     else:
         moment = F.when(F.col(ref_date).isNull(), F.raise_error(F.lit(f"{c.table}: NULL in {ref_date}"))).otherwise(
             F.col(ref_date)
@@ -309,6 +307,11 @@ def dimension_lookup(
     return found.drop("_ref")
 
 
+def date_key(column: str | Column) -> Column:
+    """A date as the number yyyymmdd, the calendar's key."""
+    return (F.year(column) * 10_000 + F.month(column) * 100 + F.dayofmonth(column)).cast("long")
+
+
 def calendar(
     spark: SparkSession,
     first: dt.date,
@@ -322,7 +325,7 @@ def calendar(
     pick = lambda names, i: F.element_at(F.array(*[F.lit(n) for n in names]), i)
     weekday = F.weekday("fecha") + 1
     return spark.range(days).select(date.alias("fecha")).select(
-        F.date_format("fecha", "yyyyMMdd").cast("long").alias("sk_tiempo"),
+        date_key("fecha").alias("sk_tiempo"),
         "fecha",
         F.year("fecha").alias("anio"),
         F.quarter("fecha").alias("trimestre"),

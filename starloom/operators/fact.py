@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from starloom.contracts import DimContract
+from starloom.functions.casting import literal, utc_now
 from starloom.operators.dimension import dimension_lookup
 from starloom.operators.joins import LookupValue, interval_lookup
 from starloom.operators.merge import incomplete, one_per_key, upsert
+from starloom.operators.quality import duplicate_keys
 
 
 @dataclass(frozen=True)
@@ -45,14 +47,34 @@ def load_fact(
     run_time: dt.datetime | None = None,
     loaded_at: str = "dwh_fecha_carga",
 ) -> DataFrame:
-    """Upsert on the degenerate key of the declared grain, so loading a period twice changes nothing."""
-    now = F.lit(run_time or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)).cast(T.TimestampNTZType())
+    """Upsert on the degenerate key of the declared grain, so loading a period twice changes nothing.
+
+    With an ``order``, repeated keys in the stream act one after another. Without one, keys must be
+    unique: an upsert fails if they are not, and a first load is checked with :func:`checked_grain`
+    once it is written.
+    """
+    now = literal(run_time or utc_now())
     incoming = stream.withColumn(loaded_at, now)
-    if fact is None:
-        values = [c for c in incoming.columns if c not in grain]
-        whole = one_per_key(incoming, grain, [], values, order).select(*incoming.columns)
-        return whole.unionByName(incomplete(incoming, grain))
-    return upsert(fact, incoming, grain, order=order)
+    if fact is not None:
+        return upsert(fact, incoming, grain, order=order)
+    if not order:
+        return incoming
+    values = [c for c in incoming.columns if c not in grain]
+    whole = one_per_key(incoming, grain, [], values, order).select(*incoming.columns)
+    return whole.unionByName(incomplete(incoming, grain))
+
+
+class GrainViolation(RuntimeError):
+    pass
+
+
+def checked_grain(fact: DataFrame, grain: Sequence[str]) -> DataFrame:
+    """The written fact itself, after counting rows per key; reads the key columns only."""
+    complete = fact.dropna(how="any", subset=list(grain))
+    repeated = duplicate_keys(complete, grain).take(1)
+    if repeated:
+        raise GrainViolation(f"several rows for one key: {repeated[0].asDict()}")
+    return fact
 
 
 def convert_currency(
@@ -74,7 +96,7 @@ def convert_currency(
     spans = rates.select(
         name,
         date,
-        F.lit(dt.datetime(9999, 12, 31)).cast(rates.schema[date].dataType).alias("_ends"),
+        literal(dt.datetime(9999, 12, 31)).cast(rates.schema[date].dataType).alias("_ends"),
         F.col(rate).cast(T.DecimalType(18, 8)).alias("_rate"),
     )
     found = interval_lookup(

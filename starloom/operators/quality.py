@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from starloom.contracts import MAX_DATE, Check, DimContract
 from starloom.contracts import Column as TargetColumn
-from starloom.functions.casting import cast_to, parse_datetime
+from starloom.functions.casting import cast_to, literal, parse_datetime
 from starloom.operators.joins import not_exists_in
 from starloom.operators.ordered import SplitPolicy, lag_lead
 
@@ -49,9 +49,9 @@ class Rule:
             tests.append(parse_datetime(text, self.mask).isNull())
         comparable = cast_to(value, source, self.type, self.mask) if self.type is not None else value
         if self.minimum is not None:
-            tests.append(comparable < F.lit(self.minimum))
+            tests.append(comparable < literal(self.minimum))
         if self.maximum is not None:
-            tests.append(comparable > F.lit(self.maximum))
+            tests.append(comparable > literal(self.maximum))
         if self.regex is not None:
             tests.append(~text.rlike(f"^(?:{self.regex})$"))
         failed = functools.reduce(lambda a, b: a | b, [F.coalesce(t, F.lit(False)) for t in tests], F.lit(False))
@@ -211,7 +211,7 @@ def interval_problems(dim: DataFrame, contract: DimContract, policy: SplitPolicy
 
 def open_versions(dim: DataFrame, contract: DimContract) -> DataFrame:
     """The versions in force now."""
-    return dim.where(F.col(contract.date_to) >= F.lit(MAX_DATE))
+    return dim.where(F.col(contract.date_to) >= literal(MAX_DATE))
 
 
 # -- control -------------------------------------------------------------------------------------

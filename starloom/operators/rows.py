@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from starloom.contracts import spark_type
-from starloom.functions.casting import cast_to
+from starloom.functions.casting import cast_to, literal
 from starloom.functions.text import join_text, literal_pattern, normalise, replace_text
 from starloom.operators.sequence import spread, with_index
 
@@ -65,7 +65,7 @@ class Condition:
             return left.isNull()
         if self.operator == "IS NOT NULL":
             return left.isNotNull()
-        right = F.col(self.other) if self.other else F.lit(self.value)
+        right = F.col(self.other) if self.other else literal(self.value)
         compare: dict[str, Callable[[], Column]] = {
             "=": lambda: left == right,
             "<>": lambda: left != right,
@@ -323,8 +323,9 @@ def regex_evaluation(
 
 
 def system_date(df: DataFrame, output: str, run_time: Column | None = None) -> DataFrame:
-    """The run's timestamp, one value for every row."""
-    now = F.current_timestamp().cast("timestamp_ntz") if run_time is None else run_time
+    """The run's UTC timestamp, one value for every row."""
+    utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.localtimestamp())
+    now = utc if run_time is None else run_time
     return df.withColumn(output, now)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from starloom.contracts import INSERT, PUNCH, DimContract
+from starloom.functions.casting import literal
 from starloom.operators.dimension import dimension_lookup, load_dimension
 from starloom.operators.fact import load_fact
 from starloom.operators.rows import Calculation, Condition, calculate, filter_rows, formula
@@ -55,7 +56,7 @@ def load_inventory(
         at,
     )
     dim = written(dim, f"{path}/dim_producto")
-    rows = valued.withColumn("_at", F.lit(at).cast("timestamp_ntz"))
+    rows = valued.withColumn("_at", literal(at))
     rows = dimension_lookup(rows, dim, PRODUCT, {"id_producto_origen": "id_producto_origen"}, "_at", "fk_producto")
     rows = dimension_lookup(rows, dim_category, CATEGORY, {"categoria": "id_categoria_origen"}, "_at", "fk_categoria")
     stream = rows.select(

@@ -13,8 +13,8 @@ from starloom.contracts import DimContract
 from starloom.functions.casting import money
 from starloom.functions.text import normalise
 from starloom.operators.aggregate import frequency_segment
-from starloom.operators.dimension import calendar_for, load_dimension, seed_unknown
-from starloom.operators.fact import DimensionRef, load_fact, resolve_keys
+from starloom.operators.dimension import calendar_for, date_key, load_dimension, seed_unknown
+from starloom.operators.fact import DimensionRef, checked_grain, load_fact, resolve_keys
 from starloom.operators.joins import LookupValue, merge_join, stream_lookup
 from starloom.operators.rows import Condition, filter_rows
 from starloom.sinks.writers import written
@@ -95,30 +95,32 @@ def build_sales_star(
         ).alias("monto_total"),
     )
     headers = staged["orders"].select(
-        F.col("o_orderkey").alias("orden"), F.col("o_custkey").alias("id_cliente"), F.col("o_orderdate").alias("fecha")
+        F.col("o_orderkey").alias("orden"),
+        F.col("o_custkey").alias("id_cliente"),
+        F.col("o_orderdate").alias("fecha"),
+        date_key("o_orderdate").alias("fk_tiempo"),
     )
-    lines = merge_join(sold, headers, ["id_orden"], ["orden"]).drop("orden")
-    lines = lines.withColumn("sk_tiempo", F.date_format("fecha", "yyyyMMdd").cast("long"))
-    keyed = resolve_keys(
-        lines,
-        [
-            DimensionRef(customers, CUSTOMER, {"id_cliente": "id_cliente_origen"}, "fk_cliente", "fecha", {"segmento": "segmento"}),
-            DimensionRef(products, PRODUCT, {"id_producto": "id_producto_origen"}, "fk_producto", "fecha"),
-        ],
+    # The customer is looked up per order, before orders meet their lines.
+    by_customer = DimensionRef(
+        customers, CUSTOMER, {"id_cliente": "id_cliente_origen"}, "fk_cliente", "fecha", {"segmento": "segmento"}
     )
-    fact = written(load_fact(None, keyed.drop("id_cliente"), GRAIN, run_time=run_time), f"{path}/fact_ventas")
-    return SalesStar(customers, products, calendar_for(orders, "o_orderdate"), fact)
+    by_product = DimensionRef(products, PRODUCT, {"id_producto": "id_producto_origen"}, "fk_producto", "fecha")
+    headers = resolve_keys(headers, [by_customer]).drop("id_cliente")
+    lines = merge_join(sold, headers, ["id_orden"], ["orden"]).drop("orden")
+    keyed = resolve_keys(lines, [by_product])
+    fact = written(load_fact(None, keyed, GRAIN, run_time=run_time), f"{path}/fact_ventas")
+    return SalesStar(customers, products, calendar_for(orders, "o_orderdate"), checked_grain(fact, GRAIN))
 
 
 def revenue_by_segment_and_month(star: SalesStar) -> DataFrame:
     """The mart: revenue, quantity and lines per customer segment and calendar month."""
-    days = star.calendar.select(F.col("sk_tiempo").alias("_day"), "anio", "mes")
+    days = star.calendar.select(F.col("sk_tiempo").alias("fk_tiempo"), "anio", "mes")
     # Lines are summed per day and segment first, so the calendar joins a small table.
-    daily = star.fact.groupBy("segmento", "sk_tiempo").agg(
+    daily = star.fact.groupBy("segmento", "fk_tiempo").agg(
         F.sum("monto_total").alias("monto"), F.sum("cantidad").alias("cantidad"), F.count(F.lit(1)).alias("n_lineas")
     )
     return (
-        daily.join(days, F.col("sk_tiempo") == F.col("_day"))
+        daily.join(days, "fk_tiempo")
         .groupBy("segmento", "anio", "mes")
         .agg(
             F.sum("monto").cast("double").alias("monto_total"),

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from starloom.contracts import Check, Column, DimContract
-from starloom.operators import dimension, marts, profiling, quality, rows
+from starloom.operators import dimension, marts, profiling, quality
 from starloom.operators.joins import union_streams
 from starloom.operators.quality import Rule
-from starloom.queries.registry import day, moment, query, table
+from starloom.queries.registry import day, query, table
 from starloom.queries.warehouse import HISTORY, _history
 
 RULES = [
@@ -297,6 +297,22 @@ for _name, _columns in {
     _register_profile(_name, _columns)
 
 
+LINE_COLUMNS = [
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+    "l_returnflag", "l_linestatus", "l_shipdate",
+]
+LINE_PROFILE = [
+    "column", "inferred_type", "total_count", "null_count", "null_pct", "distinct_count", "min_length", "max_length",
+    "spaces_pct", "upper_pct", "lower_pct", "title_pct", "mixed_pct", "format_hint",
+]
+
+
+@query("profile_table", " UNION ALL ".join(_profile_sql("lineitem", LINE_COLUMNS, ", ".join(f'"{c}"' for c in LINE_PROFILE))))
+def profile_table(spark, sf):
+    """Everything about every column of the widest table, in one pass."""
+    return profiling.profile(table(spark, sf, "lineitem"), LINE_COLUMNS).select(*LINE_PROFILE)
+
+
 @query(
     "masked_examples",
     """WITH p AS (""" + " UNION ALL ".join(_profile_sql(FORMATS_SQL, FORMATS, '"column", format_hint, distinct_count, smallest')) + r""")

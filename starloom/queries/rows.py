@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from starloom.functions import masking, text
-from starloom.functions.casting import format_date, money, parse_date, parse_datetime, parse_decimal_comma, to_utc
+from starloom.functions.casting import format_date, literal, money, parse_date, parse_datetime, parse_decimal_comma, to_utc
 from starloom.operators import merge, rows
 from starloom.operators.joins import union_streams
 from starloom.operators.rows import Calculation, Condition
@@ -654,7 +654,7 @@ def system_date(spark, sf):
     return stamped.agg(
         F.count("*").alias("n_rows"),
         F.count_distinct("loaded_at").cast("int").alias("n_dates"),
-        (F.max("loaded_at") > F.lit(dt.datetime(2024, 1, 1))).alias("recent"),
+        (F.max("loaded_at") > literal(dt.datetime(2024, 1, 1))).alias("recent"),
     )
 
 

@@ -7,7 +7,8 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from starloom.contracts import INSERT, PUNCH, UPDATE, DimContract
-from starloom.operators import dimension, fact, merge, profiling
+from starloom.functions.casting import literal
+from starloom.operators import dimension, fact, profiling
 from starloom.operators.joins import union_streams
 from starloom.operators.sequence import with_index
 from starloom.plans import cleaning, inventory, sales
@@ -152,7 +153,7 @@ def dim_multi_batch(spark, sf):
     """Three batches in one load; each key may open several versions at once."""
     second = second_batch(spark, sf)
     upper = F.when(F.col("nombre") == F.upper("nombre"), F.lit("UPPER")).otherwise(F.col("segmento"))
-    dated = lambda df, at: df.withColumn("at", F.lit(at).cast("timestamp_ntz"))
+    dated = lambda df, at: df.withColumn("at", literal(at))
     stage = union_streams(
         dated(first_batch(spark, sf), D1), dated(second, D2), dated(second.withColumn("segmento", upper), D3)
     )
@@ -167,7 +168,7 @@ def _history(spark, sf):
     customers = table(spark, sf, "customer").where("c_acctbal > 0")
     batch = lambda segment, at: customers.select(
         F.col("c_custkey").alias("id_cliente"), F.col("c_name").alias("nombre"), segment.alias("segmento"),
-        F.lit(at).cast("timestamp_ntz").alias("at"),
+        literal(at).alias("at"),
     )
     old = batch(F.col("c_mktsegment"), dt.datetime(1995, 1, 1))
     new = batch(F.when(F.col("c_acctbal") > 5000, F.lit("LARGE")).otherwise(F.col("c_mktsegment")), dt.datetime(1998, 7, 1))
@@ -308,6 +309,7 @@ def fact_load(spark, sf):
     early = keyed.where("fecha_envio < TIMESTAMP_NTZ '1999-01-01'")
     late = keyed.where("fecha_envio >= TIMESTAMP_NTZ '1998-01-01'")
     first = written(fact.load_fact(None, early, grain, run_time=RUN1), scratch_path(spark, "fact"))
+    first = fact.checked_grain(first, grain)
     loaded = fact.load_fact(first, late, grain, run_time=RUN2)
     return loaded.select(
         *grain[:-1], day("fecha_envio").alias("fecha_envio"), "fk_cliente", F.col("importe").cast("string").alias("importe"),

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from starloom.functions.casting import literal
 from starloom.operators.merge import upsert
 
 # Audit columns and the default state.
@@ -19,7 +20,7 @@ def stage(df: DataFrame, origin: str, run_time: dt.datetime) -> DataFrame:
     """Add the audit columns."""
     return df.withColumns(
         {
-            "stg_fecha_carga": F.lit(run_time).cast("timestamp_ntz"),
+            "stg_fecha_carga": literal(run_time),
             "stg_origen": F.lit(origin),
             "stg_estado": F.lit(ACTIVE),
         }

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 
 from starloom.operators import merge
-from starloom.operators.fact import convert_currency, load_fact
+from starloom.operators.fact import GrainViolation, checked_grain, convert_currency, load_fact
 
 TARGET = "k int, a string, b string"
 
@@ -39,8 +39,8 @@ def test_repeated_keys_without_order_are_an_error(spark, target):
     source = spark.createDataFrame([(9, "x", "y"), (9, "x", "z")], TARGET)
     with pytest.raises(Exception, match="several rows for one key"):
         merge.upsert(target, source, ["k"]).select("k").count()
-    with pytest.raises(Exception, match="several rows for one key"):
-        load_fact(None, source, ["k"]).select("k").collect()
+    with pytest.raises(GrainViolation):
+        checked_grain(load_fact(None, source, ["k"]), ["k"])
 
 
 def test_a_null_in_the_source_overwrites(spark, target):
