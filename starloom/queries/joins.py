@@ -8,11 +8,13 @@ from pyspark.sql import types as T
 from starloom.operators import aggregate, joins
 from starloom.operators.aggregate import Aggregate
 from starloom.operators.joins import LookupValue, Pivot
+from starloom.operators.rows import if_null
 from starloom.queries.registry import day, double, query, table
 from starloom.queries.rows import CHANGES, customer_changes
 
 # Orders above a price and customers in credit, so that every join type has unmatched rows.
-JOIN_SQL = """SELECT o_orderkey, o_custkey, c_custkey, c_name FROM (SELECT * FROM orders WHERE o_totalprice > 100000) o
+JOIN_SQL = """SELECT coalesce(o_orderkey, -1) AS o_orderkey, coalesce(o_custkey, -1) AS o_custkey,
+    coalesce(c_custkey, -1) AS c_custkey, c_name FROM (SELECT * FROM orders WHERE o_totalprice > 100000) o
     {how} JOIN (SELECT * FROM customer WHERE c_acctbal > 0) c ON o_custkey = c_custkey"""
 
 
@@ -21,7 +23,8 @@ def _register_join(name, how):
     def run(spark, sf):
         orders = table(spark, sf, "orders").where("o_totalprice > 100000").select("o_orderkey", "o_custkey")
         customers = table(spark, sf, "customer").where("c_acctbal > 0").select("c_custkey", "c_name")
-        return joins.merge_join(orders, customers, ["o_custkey"], ["c_custkey"], how)
+        joined = joins.merge_join(orders, customers, ["o_custkey"], ["c_custkey"], how)
+        return if_null(joined, {"o_orderkey": -1, "o_custkey": -1, "c_custkey": -1})
 
 
 for _name, _how in {
@@ -244,7 +247,7 @@ def split_rows_regex(spark, sf):
     "pivot",
     """SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS n_finished, count(*) FILTER (o_orderstatus = 'O') AS n_open,
               CAST(sum(CAST(o_totalprice AS DECIMAL(15,2))) FILTER (o_orderstatus = 'P') AS DOUBLE) AS pending,
-              min_by(o_orderkey, (o_orderdate, o_orderkey)) FILTER (o_orderstatus = 'F') AS first_finished
+              coalesce(min_by(o_orderkey, (o_orderdate, o_orderkey)) FILTER (o_orderstatus = 'F'), -1) AS first_finished
        FROM orders GROUP BY o_custkey""",
 )
 def pivot(spark, sf):
@@ -261,7 +264,7 @@ def pivot(spark, sf):
         ],
         ["o_orderdate", "o_orderkey"],
     )
-    return out.withColumn("pending", double("pending"))
+    return if_null(out, {"first_finished": -1}).withColumn("pending", double("pending"))
 
 
 @query(
@@ -396,7 +399,7 @@ def segment_customers(spark, sf):
 
 @query(
     "lead_lag",
-    """SELECT o_orderkey, lag(o_orderkey, 1) OVER w AS previous, lag(o_totalprice, 2) OVER w AS price_before_last,
+    """SELECT o_orderkey, coalesce(lag(o_orderkey, 1) OVER w, -1) AS previous, lag(o_totalprice, 2) OVER w AS price_before_last,
               strftime(lead(o_orderdate, 1) OVER w, '%Y-%m-%d') AS next_day
        FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""",
 )
@@ -407,16 +410,17 @@ def lead_lag(spark, sf):
         ["o_orderdate", "o_orderkey"],
         [("previous", "o_orderkey", "LAG", 1), ("price_before_last", "o_totalprice", "LAG", 2), ("next_day", "o_orderdate", "LEAD", 1)],
     )
-    return out.select("o_orderkey", "previous", "price_before_last", day("next_day").alias("next_day"))
+    shown = out.select("o_orderkey", "previous", "price_before_last", day("next_day").alias("next_day"))
+    return if_null(shown, {"previous": -1})
 
 
 @query(
     "lead_lag_global",
-    """SELECT event_id, lag(event_id, 1) OVER w AS previous, lead(value, 3) OVER w AS later
+    """SELECT event_id, coalesce(lag(event_id, 1) OVER w, -1) AS previous, lead(value, 3) OVER w AS later
        FROM events WINDOW w AS (ORDER BY ts, event_id)""",
 )
 def lead_lag_global(spark, sf):
     """No grouping: the whole table is one group and is cut into chunks once it is large."""
     df = table(spark, sf, "events").select("event_id", "ts", "value")
     out = aggregate.analytic_query(df, [], ["ts", "event_id"], [("previous", "event_id", "LAG", 1), ("later", "value", "LEAD", 3)])
-    return out.select("event_id", "previous", "later")
+    return if_null(out.select("event_id", "previous", "later"), {"previous": -1})

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 
-import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -307,7 +306,7 @@ def select_remove(spark, sf):
 @query(
     "cast_types",
     """SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS l_quantity, CAST(l_orderkey AS VARCHAR) AS order_text,
-              TRY_CAST(l_returnflag AS BIGINT) AS flag_number, strftime(l_shipdate, '%Y-%m-%d') AS ship_day
+              coalesce(TRY_CAST(l_returnflag AS BIGINT), -1) AS flag_number, strftime(l_shipdate, '%Y-%m-%d') AS ship_day
        FROM lineitem""",
 )
 def cast_types(spark, sf):
@@ -318,7 +317,7 @@ def cast_types(spark, sf):
     cast = rows.cast_columns(
         df, {"l_quantity": "Integer", "order_text": "String", "flag_number": "Integer", "ship_day": T.DateType()}
     )
-    return cast.withColumn("ship_day", day("ship_day"))
+    return rows.if_null(cast, {"flag_number": -1}).withColumn("ship_day", day("ship_day"))
 
 
 @query(
@@ -668,21 +667,19 @@ def stage_table(spark, sf):
     return spark.read.parquet(path).withColumn("stg_fecha_carga", moment("stg_fecha_carga"))
 
 
-def _length_script(batches):
-    for batch in batches:
-        yield pd.DataFrame(
-            {"doc_id": batch["doc_id"], "n_words": batch["text"].str.split(" ").str.len(), "n_chars": batch["text"].str.len()}
-        )
-
-
 @query(
     "udf_script",
     "SELECT doc_id, len(string_split(text, ' ')) AS n_words, length(text) AS n_chars FROM documents",
 )
 def udf_script(spark, sf):
-    return rows.script(
-        table(spark, sf, "documents").select("doc_id", "text"), _length_script, "doc_id bigint, n_words bigint, n_chars bigint"
-    )
+    # Defined here so that it travels with the query and workers need not have this package.
+    def lengths(batches):
+        for batch in batches:
+            text = batch["text"].str
+            yield batch[["doc_id"]].assign(n_words=text.split(" ").str.len(), n_chars=text.len())
+
+    documents = table(spark, sf, "documents").select("doc_id", "text")
+    return rows.script(documents, lengths, "doc_id bigint, n_words bigint, n_chars bigint")
 
 
 @query(

@@ -32,6 +32,8 @@ def local_session(name: str = "starloom", cpus: str = "*", memory: str = "8g", *
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")
+        # Do not walk the Python stack for every column expression while plans are built.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
