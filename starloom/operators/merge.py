@@ -45,7 +45,8 @@ def one_per_key(
 
 
 def incomplete(source: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows with a NULL in their key. They match nothing, so an upsert inserts each of them."""
+    """Rows with a NULL in their key. They match nothing: an upsert inserts each source row of this
+    kind and keeps each target row."""
     return source.where(~_complete(keys))
 
 
@@ -74,7 +75,9 @@ def upsert(
         F.lit(True).alias("_source"),
     )
     on = functools.reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_k_{k}") for k in keys])
-    have = target.withColumn("_target", F.lit(True))
+    # Target rows with a NULL in their key cannot match and stay out of the join, where a full outer
+    # join would bring them all to one task.
+    have = target.where(_complete(keys)).withColumn("_target", F.lit(True))
     joined = have.join(side, on, "full_outer" if insert else "left")
     inserted, matched = F.col("_target").isNull(), F.col("_source").isNotNull()
     result = []
@@ -89,7 +92,7 @@ def upsert(
         else:
             value = old
         result.append(value.cast(f.dataType).alias(f.name))
-    merged = joined.select(*result)
+    merged = joined.select(*result).unionByName(incomplete(target, keys))
     if not insert:
         return merged
     apart = incomplete(source, keys)

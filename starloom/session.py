@@ -57,9 +57,19 @@ def shared_dir(spark: SparkSession) -> str:
     return configured or active
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/starloom/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/starloom/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, among those of this application."""
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> bool:
+    """Delete this application's scratch tables, once every result that reads them is written."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    return root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
 
 
 def barrier(df: DataFrame, name: str) -> DataFrame:

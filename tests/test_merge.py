@@ -54,6 +54,14 @@ def test_insert_new_and_update_only(spark, target):
     assert {r["k"]: r["a"] for r in merge.update_matching(target, source, ["k"]).collect()} == {1: "a1", 2: "A", None: "a0"}
 
 
+def test_null_keys_in_the_target_stay(spark):
+    target = spark.createDataFrame([(None, "x", str(i)) for i in range(50)] + [(1, "y", "1")], TARGET)
+    source = spark.createDataFrame([(1, "z", "2"), (2, "z", "3")], TARGET)
+    got = merge.upsert(target, source, ["k"])
+    assert got.where("k is null and a = 'x'").count() == 50 and got.count() == 52
+    assert merge.update_matching(target, source, ["k"]).count() == 51
+
+
 def test_missing_source_columns_are_null_on_insert(spark, target):
     source = spark.createDataFrame([(2, "B"), (3, "B")], "k int, b string")
     assert (3, None, "B") in rows(merge.upsert(target, source, ["k"]))
