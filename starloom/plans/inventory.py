@@ -36,7 +36,8 @@ def load_inventory(
 ) -> tuple[DataFrame, DataFrame]:
     """One run: ``products`` has cod_producto, nombre_producto, categoria, prices and stock.
 
-    Writes the new product dimension, then the new fact, below ``path`` and returns both.
+    Writes the valued products, the new product dimension, then the new fact below ``path`` and
+    returns the last two.
     """
     valid = filter_rows(
         products,
@@ -48,6 +49,8 @@ def load_inventory(
     valued = calculate(
         keyed, [Calculation("valor_inventario", "MULTIPLY", "precio_unitario", "stock", type=T.DecimalType(15, 2))]
     )
+    # Several steps below read these rows; they are computed once.
+    valued = written(valued, f"{path}/stg_producto")
     dim = load_dimension(
         dim_product,
         valued.select("id_producto_origen", "nombre_producto", "precio_lista", "precio_unitario"),

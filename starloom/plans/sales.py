@@ -68,6 +68,7 @@ def build_sales_star(
         F.upper("pais").alias("pais"),
         "frecuencia",
     )
+    people = written(people, f"{path}/stg_cliente")
     goods = staged["part"].select(
         F.col("p_partkey").alias("id_producto_origen"),
         F.col("p_name").alias("descripcion"),
