@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,12 +20,12 @@ from starloom.session import barrier
 
 MAGIC = b"DACTOK01"
 END_ID = 1
-#: Ids in a file; a file ends with the document that reaches it.
-FILE_TOKENS = 2_000_000
+#: Ids in a file, which a task holds while it encodes them; a file ends with the document that reaches it.
+FILE_TOKENS = 1_000_000
 #: Bits between two entries of a rank directory.
 RANK_BITS = 512
-#: Pieces of text whose ids a worker keeps; the cache is emptied when it is full.
-CACHE_PIECES = 600_000
+#: Pieces of text whose ids a worker keeps, and as many that are set aside.
+CACHE_PIECES = 300_000
 
 # ---------------------------------------------------------------- the format
 
@@ -35,10 +37,11 @@ def chunk_widths(ids: np.ndarray) -> list[int]:
     chunk saying whether the id goes on. Chunks are whole or half bytes. The best cut is found by dynamic programming
     over the counts of ids by length.
     """
-    lengths = np.bincount(np.maximum(1, np.ceil(np.log2(ids.astype(np.float64) + 1))).astype(np.int64), minlength=33) if len(ids) else np.zeros(33, dtype=np.int64)
+    values = np.bincount(ids)
+    bits = np.maximum(1, np.ceil(np.log2(np.arange(len(values)) + 1.0))).astype(np.int64)
+    lengths = np.bincount(bits, weights=values, minlength=33).astype(np.int64)
     longer = np.cumsum(lengths[::-1])[::-1]  # ids of at least so many bits
     top = int(np.nonzero(lengths)[0].max()) if len(ids) else 8
-    top += top % 2 and 1 or 0
     top = max(8, -(-top // 4) * 4)
     best: dict[int, tuple[float, list[int]]] = {top: (0.0, [])}
     for at in range(top - 4, -1, -4):
@@ -64,10 +67,10 @@ def encode_codes(ids: np.ndarray) -> bytes:
     """All levels: for each its width, count, chunks, continuation bitmap and rank directory."""
     widths = chunk_widths(ids)
     out = [struct.pack("<B", len(widths))]
-    rest = ids.astype(np.uint64)
+    rest = ids.astype(np.uint32)
     for level, width in enumerate(widths):
-        chunks = rest & np.uint64((1 << width) - 1)
-        on = (rest >> np.uint64(width)) > 0
+        chunks = rest & np.uint32((1 << width) - 1)
+        on = (rest >> np.uint32(width)) > 0
         last = level == len(widths) - 1
         bitmap = b"" if last else np.packbits(on, bitorder="little").tobytes()
         ranks = b""
@@ -77,7 +80,7 @@ def encode_codes(ids: np.ndarray) -> bytes:
             ranks = np.concatenate([[0], np.cumsum(padded.reshape(-1, RANK_BITS).sum(axis=1))]).astype("<u4").tobytes()
         body = _packed(chunks, width)
         out += [struct.pack("<BQIII", width, len(chunks), len(body), len(bitmap), len(ranks)), body, bitmap, ranks]
-        rest = rest[on] >> np.uint64(width)
+        rest = rest[on] >> np.uint32(width)
     return b"".join(out)
 
 
@@ -154,7 +157,7 @@ class TokenFile:
         known = np.frombuffer(data, "u1", count, at)
         named = np.frombuffer(data, "<i8", count, at + count)
         self.doc_ids = [int(x) if k else None for x, k in zip(named, known, strict=True)]
-        self.starts = np.frombuffer(data, "<u8", count + 1, at + 9 * count).astype(np.int64)
+        self.starts = np.frombuffer(data, "<i8", count + 1, at + 9 * count)
         self.codes = Codes(memoryview(data)[at + 9 * count + 8 * (count + 1) :])
 
     def document(self, number: int) -> np.ndarray:
@@ -164,12 +167,40 @@ class TokenFile:
 # ---------------------------------------------------------------- ids of texts
 
 
+class Kept(dict):
+    """Values made once per key. When it is full the values are set aside; those that are asked for again come back."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.aside = make, most, {}
+
+    def __missing__(self, key):
+        value = self.aside.pop(key, None)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.aside = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+#: Printable ASCII but the apostrophe, which starts endings that the pre-tokenizer splits off, and Latin-1 letters.
+_PLAIN = re.compile("[!-&(-~À-ÖØ-öø-ÿ]+")
+#: What the pre-tokenizer makes of such a piece in lower case: runs of letters, single digits, runs of anything else.
+_RUNS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: Byte-level vocabularies write bytes that are not printable in Latin-1 as the characters from 256 on.
+_SHOWN = [i for i in range(256) if 33 <= i <= 126 or 161 <= i <= 172 or 174 <= i <= 255]
+_BYTE_LEVEL = {x: 256 + n for n, x in enumerate(i for i in range(256) if i not in _SHOWN)}
+
+
 class Encoder:
-    """Ids of whole texts by a tokenizers file, piece by piece.
+    """Ids of whole texts by a tokenizers file whose normalizer lowers letters, piece by piece.
 
     The pieces between ASCII white space are encoded apart and kept: this vocabulary's normalizer and pre-tokenizer drop
-    white space and never look across it, so the ids are those of the whole text. A text that spells a special token is
-    encoded in one go, because special tokens are found before letters are lowered.
+    white space and never look across it, so the ids are those of the whole text. Pieces of ASCII and Latin-1 letters are
+    their own normal form; their runs go to the library's model as they are, every other piece goes through all its
+    steps. A text that spells a special token is encoded in one go, as these are found before letters are lowered.
     """
 
     def __init__(self, path: str):
@@ -177,42 +208,33 @@ class Encoder:
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        self.special = [x.content for x in self.whole.get_added_tokens_decoder().values()]
-        self.kept: dict[bytes, bytes] = {}
-
-    def _learn(self, pieces: set[bytes]) -> None:
-        if len(self.kept) + len(pieces) > CACHE_PIECES:
-            self.kept.clear()
-        # A run of ASCII letters is its own normal form and one word of the pre-tokenizer: the model alone encodes it.
-        plain = [x for x in pieces if x.isalpha()]
-        other = [x for x in pieces if not x.isalpha()]
-        for x in plain:
-            self.kept[x] = np.array([t.id for t in self.model.tokenize(x.decode())], dtype="<u2").tobytes()
-        for at in range(0, len(other), 2000):
-            some = other[at : at + 2000]
-            for x, found in zip(some, self.whole.encode_batch_fast([y.decode("utf-8", "surrogatepass") for y in some], add_special_tokens=False), strict=True):
-                self.kept[x] = np.array(found.ids, dtype="<u2").tobytes()
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian 16-bit integers."""
-        out: list[bytes] = [b""] * len(texts)
-        cut: list[tuple[int, list[bytes]]] = []
-        missing: set[bytes] = set()
-        for number, text in enumerate(texts):
-            if not text:
-                continue
-            if any(x in text for x in self.special):
-                out[number] = np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
-            else:
-                pieces = text.encode().lower().split()
-                missing.update(pieces)
-                cut.append((number, pieces))
-        if len(self.kept) + len(missing) > CACHE_PIECES:
-            self.kept.clear()
-        self._learn({x for x in missing if x not in self.kept})
-        for number, pieces in cut:
-            out[number] = b"".join(map(self.kept.__getitem__, pieces))
-        return out
+        self.special = [x.content.encode().lower() for x in self.whole.get_added_tokens_decoder().values()]
+        self.runs = Kept(self._run, CACHE_PIECES)
+        self.pieces = Kept(self._piece, CACHE_PIECES)
+
+    def _run(self, run: str) -> bytes:
+        level = run if run.isascii() else run.encode().decode("latin-1").translate(_BYTE_LEVEL)
+        return array("H", [t.id for t in self.model.tokenize(level)]).tobytes()
+
+    def _piece(self, piece: bytes) -> bytes:
+        if piece.isalpha():
+            return self.runs[piece.decode()]
+        text = piece.decode()
+        if _PLAIN.fullmatch(text):
+            return b"".join(map(self.runs.__getitem__, _RUNS.findall(text.lower())))
+        return self._all(text)
+
+    def _all(self, text: str) -> bytes:
+        return array("H", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __call__(self, text: str | None) -> bytes:
+        """Ids of a text as 16-bit integers."""
+        if not text:
+            return b""
+        lowered = text.encode().lower()
+        if any(x in lowered for x in self.special):
+            return self._all(text)
+        return b"".join(map(self.pieces.__getitem__, lowered.split()))
 
 
 # ---------------------------------------------------------------- Spark
@@ -261,7 +283,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, order: list[
             if not batch.num_rows:
                 continue
             part = batch.column(2)[0].as_py()
-            for doc_id, own in zip(batch.column(0).to_pylist(), encoders[0](batch.column(1).to_pylist()), strict=True):
+            for doc_id, own in zip(batch.column(0).to_pylist(), map(encoders[0], batch.column(1).to_pylist()), strict=True):
                 ids += [own, struct.pack("<H", end_id)]
                 doc_ids.append(doc_id)
                 counts.append(len(own) // 2 + 1)
@@ -296,7 +318,8 @@ def read_tokens(spark, folder: str, files: DataFrame, work, schema: str, each: l
 
 
 def _documents(first: int, file: TokenFile) -> list[pa.Array]:
-    crc = [zlib.crc32(file.document(n).astype("<u4").tobytes()) for n in range(len(file.doc_ids))]
+    ids = memoryview(file.codes.stretch(0, len(file.codes)).astype("<u4")).cast("B")
+    crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(file.starts[:-1], file.starts[1:], strict=True)]
     counts = np.diff(file.starts)
     return [pa.array(file.doc_ids, pa.int64()), pa.array(file.starts[:-1] + first), pa.array(counts), pa.array(crc, pa.int64())]
 
