@@ -23,8 +23,8 @@ EMPTY = 0xFFFF
 BAND_ROWS = 6
 #: Standard deviations by which an estimate may lie below the threshold before a pair is left unchecked.
 SLACK = 5.0
-#: Pivots of a bucket in the second round; doubled in each later round.
-FIRST_PIVOTS = 8
+#: Nodes up to which a bucket that is still in several components tests all its pairs.
+SMALL_BUCKET = 16
 
 
 def registers(shingles: np.ndarray) -> np.ndarray:
@@ -45,6 +45,25 @@ def compressed(smallest: np.ndarray) -> np.ndarray:
     return np.where(smallest == np.uint64(1 << 56), np.uint16(EMPTY), (zeros << np.uint16(MANTISSA_BITS)) | mantissa).astype("<u2")
 
 
+#: The order in which each register looks for a register to borrow from: a fixed random order per register.
+_LENDERS = mixed(np.arange(1, REGISTERS * REGISTERS + 1, dtype=np.uint64)).reshape(REGISTERS, REGISTERS)
+
+
+def densified(sketches: np.ndarray) -> np.ndarray:
+    """Sketches whose empty registers hold what the first filled register in their order of lenders holds.
+
+    A short text leaves most registers empty; bands of them would agree as soon as one common shingle does. With borrowed
+    values each register agrees with a chance of about the similarity, as in long texts.
+    """
+    out = sketches.copy()
+    for row in out:
+        empty = np.flatnonzero(row == EMPTY)
+        filled = np.flatnonzero(row != EMPTY)
+        if len(empty) and len(filled):
+            row[empty] = row[filled[_LENDERS[np.ix_(empty, filled)].argmin(axis=1)]]
+    return out
+
+
 def estimated(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(similarity, registers it rests on) of pairs of sketches, corrected for registers that agree by chance."""
     used = (a != EMPTY) | (b != EMPTY)
@@ -74,20 +93,18 @@ def sketch(docs: DataFrame, words: int) -> DataFrame:
 
 
 def bands(sketches: DataFrame) -> DataFrame:
-    """(node, bucket): a hash of each band and its registers; bands without any shingle are left out."""
+    """(node, bucket): a hash of each band and its registers."""
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         nodes = np.array(part.column(0).to_pylist(), dtype=np.int64)
         count = REGISTERS // BAND_ROWS
-        all_rows = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype="<u2").reshape(len(nodes), REGISTERS)
+        all_rows = densified(np.frombuffer(b"".join(part.column(1).to_pylist()), dtype="<u2").reshape(len(nodes), REGISTERS))
         cut = all_rows[:, : count * BAND_ROWS].reshape(len(nodes), count, BAND_ROWS).astype(np.uint64)
         with np.errstate(over="ignore"):
             key = np.broadcast_to(np.arange(1, count + 1, dtype=np.uint64), (len(nodes), count)).copy()
             for place in range(BAND_ROWS):
                 key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + cut[:, :, place] + np.uint64(1))
-        filled = (cut != EMPTY).any(axis=2)
-        owner = np.broadcast_to(nodes[:, None], filled.shape)
-        return pa.RecordBatch.from_arrays([pa.array(owner[filled]), pa.array(key[filled].view(np.int64))], names=["node", "bucket"])
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes, count)), pa.array(key.reshape(-1).view(np.int64))], names=["node", "bucket"])
 
     return text_pass(sketches, ["node", "sketch"], "node long, bucket long", work)
 
@@ -110,25 +127,78 @@ def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return text_pass(sized, ["a", "b", "size_a", "size_b", "sketch_a", "sketch_b"], "a long, b long", work)
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) that reach the threshold on their whole sets."""
-    # b is the pivot: its rows come together, so its set is made once for many partners.
-    with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+_COMPARED = "a long, b long, size_a long, size_b long, shared long, extra array<long>"
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, words: int, extra: bool = False) -> DataFrame:
+    """Pairs (a, b) with the sizes of their whole sets, how much these share and, if asked for, what only a has."""
+    # Only texts that some pair needs are shuffled further. b is a hub: its rows come together, so its set is made once.
+    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    wanted = barrier(texts.join(needed, "doc_id"), "nd-texts")
+    with_a = pairs.join(wanted.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    both = with_a.join(wanted.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[str | None, np.ndarray] = (None, np.empty(0, dtype=np.uint64))
         for part in parts:
-            keep = []
+            found: list[list] = [[], [], [], []]
             for text_a, text_b in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                 if text_b != last[0]:
                     last = (text_b, shingle_set(text_b, words))
                 own = shingle_set(text_a, words)
-                shared = common(own, last[1])
-                keep.append(shared > 0 and 100 * shared >= percent * (len(own) + len(last[1]) - shared))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                only = np.setdiff1d(own, last[1], assume_unique=True).view(np.int64) if extra else None
+                row = (len(own), len(last[1]), len(own) - len(only) if extra else common(own, last[1]), only)
+                for column, value in zip(found, row, strict=True):
+                    column.append(value)
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            arrays = [pa.array(x, k) for x, k in zip(found, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *arrays], names=["a", "b", "size_a", "size_b", "shared", "extra"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(batches, "a long, b long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(batches, _COMPARED)
+
+
+def _hubs(members: DataFrame) -> DataFrame:
+    """``members`` (bucket, node, size) with the hub of each bucket.
+
+    The hub is the node whose buckets hold most nodes in all (the smallest of them): in a group of edited copies that is
+    the one most others resemble, so that one round of tests links nearly all of them.
+    """
+    weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
+    best = members.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("top"))
+    return barrier(members.join(best.select("bucket", (-F.col("top.minus")).alias("hub")), "bucket"), "nd-members")
+
+
+def _beside_hubs(families: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes of one hub in different components that can reach the threshold.
+
+    ``families`` has hub, node and the node's component (root). Let x and y share s(x) and s(y) shingles with the hub.
+    To be linked they must share ``percent / (100 + percent) * (size(x) + size(y))`` shingles, at most the smaller s of
+    which the hub has. So either that suffices, which only nodes with few shingles allow, or they share as many others as
+    are missing. Then, with each node's other shingles ordered by how many nodes of the hub have them, they share one of
+    the rarest: a node that needs m of its e others is found by its e - m + 1 rarest. Edits that many copies share by
+    chance are among the frequent ones, so pairs come from edits that are shared because the texts are related.
+    """
+    compared = _compared(families.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")), texts, words, extra=True)
+    own = compared.join(families.select(F.col("hub").alias("b"), F.col("node").alias("a"), "root"), ["a", "b"])
+    hubs = families.filter("node = hub").select(F.col("hub").alias("b"), F.col("root").alias("hub_root"))
+    least = own.groupBy("b").agg(F.min("size_a").alias("least"))
+    reach = F.floor(F.col("shared") * (100 + percent) / percent) - F.col("size_a")
+    missing = F.ceil(percent * (F.col("size_a") + F.col("least")) / (100 + percent)) - F.col("shared")
+    facts = barrier(own.join(least, "b").join(hubs, "b").withColumn("reach", reach).withColumn("missing", F.greatest(missing, F.lit(1))), "nd-families")
+    x = facts.filter("root <> hub_root AND reach >= least").select("b", F.col("a").alias("x"), F.col("root").alias("root_x"), "reach")
+    y = facts.select("b", F.col("a").alias("y"), F.col("root").alias("root_y"), F.col("size_a").alias("size_y"))
+    short = x.join(y, "b").filter("root_x <> root_y AND size_y <= reach").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    # The outer form keeps Spark from working the array out twice.
+    others = facts.select("b", "a", "root", "missing", F.size("extra").alias("others"), F.explode_outer("extra").alias("shingle")).filter("shingle IS NOT NULL AND missing <= others")
+    counted = others.groupBy("b", "shingle").agg(F.count(F.lit(1)).alias("nodes"), F.min("root").alias("low"), F.max("root").alias("high"))
+    # Bounded by the node's own shingles, which were one array.
+    rank = F.row_number().over(Window.partitionBy("b", "a").orderBy("nodes", "shingle"))
+    ranked = others.join(counted, ["b", "shingle"]).withColumn("rank", rank)
+    rare = ranked.filter("rank <= others - missing + 1 AND low < high").select("b", "shingle", "a", "root")
+    rare = barrier(rare, "nd-rare")
+    left, right = (rare.select("b", "shingle", F.col("a").alias(n), F.col("root").alias(f"root_{n}")) for n in "xy")
+    related = left.join(right, ["b", "shingle"]).filter("x > y AND root_x <> root_y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return short.union(related)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -139,11 +209,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     * Equal sets become one node first, so thousands of copies cost one aggregate.
     * A node's HyperMinHash registers are banded; nodes that share a band are in one bucket. Each bucket tests all its
-      nodes against its smallest node: as many pairs as nodes. Pairs pass the corrected estimate, then whole sets decide.
-    * Links become components. A bucket whose nodes are in several components goes into another round: more of its
-      nodes become pivots (twice as many each round) and are tested against the nodes of other components. Nodes that
-      have been pivots leave the bucket; a bucket ends when one component is left. So every pair of a bucket is either
-      tested or already connected, and a large group of near copies, which one or two pivots connect, never expands.
+      nodes against its hub: as many pairs as nodes. Pairs pass the corrected estimate, then whole sets decide.
+    * Links become components. Buckets of one component are done, small ones test their other pairs.
+    * In the others the nodes that their hub did not link are paired by what they have beside it, see
+      :func:`_beside_hubs`: exactly, without expanding a large group of edited copies into its pairs.
 
     Null or wordless texts have no shingle and are linked with nothing. A null doc_id is linked with nothing, its
     component_id is null and it is kept. Rows with one doc_id are one document with several texts. Other columns are ignored.
@@ -156,37 +225,33 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     nodes = barrier(
         usable.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("m")).select(F.col("m.doc_id").alias("node"), "m.n_shingles", "m.sketch"), "nd-nodes"
     )
-    placed = bands(nodes)
-    shared = placed.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    members = barrier(placed.join(shared.select("bucket", "low"), "bucket").distinct(), "nd-members")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
 
-    def test(pairs: DataFrame) -> DataFrame:
-        likely = barrier(_likely(pairs, nodes, percent), "nd-likely")
-        # Only texts that some pair needs are shuffled further.
-        needed = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
-        wanted = barrier(texts.join(needed, "doc_id"), "nd-texts")
-        return barrier(_confirmed(likely, wanted, words, percent).distinct(), "nd-links")
-
-    tested = members.filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
-    links = test(tested)
-    groups = components(links, "nd-stars")
-    open_rows = members.filter("node <> low").select("bucket", "node")
-    pivots = FIRST_PIVOTS
-    while True:
-        labelled = open_rows.join(groups, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-        split = labelled.groupBy("bucket").agg(F.min("root").alias("one"), F.max("root").alias("two")).filter("one < two")
-        open_rows = barrier(labelled.join(split.select("bucket"), "bucket", "left_semi"), "nd-open")
-        if not open_rows.take(1):
-            break
-        order = Window.partitionBy("bucket").orderBy("node")
-        chosen = barrier(open_rows.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= pivots), "nd-pivots")
-        side = chosen.select("bucket", F.col("node").alias("b"), F.col("root").alias("root_b"))
-        pairs = open_rows.join(side, "bucket").filter("root <> root_b AND node > b").select(F.col("node").alias("a"), "b").distinct()
-        links = barrier(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(test(pairs)), "nd-links")
-        groups = components(links, "nd-stars")
-        open_rows = open_rows.join(chosen.select("bucket", "node"), ["bucket", "node"], "left_anti").select("bucket", "node")
-        pivots *= 2
+    def linked(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+        """Components after testing the pairs (a, b) that are not in one already."""
+        rooted = pairs.distinct().join(groups.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a", "left")
+        rooted = rooted.join(groups.select(F.col("node").alias("b"), F.col("root").alias("root_b")), "b", "left")
+        apart = rooted.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+        likely = barrier(_likely(apart, nodes, percent), "nd-likely")
+        if not likely.take(1):
+            return groups
+        sure = _compared(likely, texts, words).filter(F.col("shared") * (100 + percent) >= percent * (F.col("size_a") + F.col("size_b"))).filter("shared > 0")
+        return components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(sure.select("a", "b")), "nd-stars")
+
+    placed = bands(nodes)
+    sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    members = _hubs(barrier(placed.join(sizes, "bucket"), "nd-shared"))
+    groups = linked(members.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")), spark.createDataFrame([], "node long, root long"))
+    rooted = members.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    split = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
+    left = barrier(rooted.join(split, "bucket", "left_semi"), "nd-left")
+    small = left.filter(F.col("size") <= SMALL_BUCKET).select("bucket", "node", "root")
+    one, two = (small.select("bucket", F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+    pairs = one.join(two, "bucket").filter("a > b AND root_a <> root_b").select("a", "b")
+    large = left.filter(F.col("size") > SMALL_BUCKET).select("hub", "node", "root").distinct()
+    if large.take(1):
+        pairs = pairs.union(_beside_hubs(large, texts, words, percent))
+    groups = linked(pairs, groups)
     named = classes.join(groups, "node", "left").select("set_key", F.coalesce("root", "node").alias("root"))
     found = sketches.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(named, "set_key", "left")
     component = F.coalesce("root", "doc_id")
