@@ -127,11 +127,11 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
     for number in range(passes):
         part = windows if passes == 1 else windows.filter(F.pmod(F.xxhash64("words"), F.lit(passes)) == number)
         held = spark.sparkContext.broadcast({tuple(bytes(r.words).split(b" ")): list(r.items) for r in part.toLocalIterator()})
-        once = _search(rows, held)
+        once = _search(rows, held).withColumn("pass", F.lit(number))
         found = once if found is None else found.union(once)
     if passes > 1:
-        # Equal rows found the same in each pass: they are counted, put together once and given back as often.
-        each = found.groupBy("doc_id", "key", "n_words", "spans", "items").agg(F.count(F.lit(1)).alias("copies"))
+        # Equal rows find the same in a pass: they are counted, put together once and given back as often.
+        each = found.groupBy("doc_id", "key", "n_words", "pass").agg(F.min("spans").alias("spans"), F.min("items").alias("items"), F.count(F.lit(1)).alias("copies"))
         joined = each.groupBy("doc_id", "key", "n_words").agg(
             F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("copies").alias("copies")
         )

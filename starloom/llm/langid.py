@@ -70,7 +70,7 @@ class LanguageModel:
             own = grams(text)
             counts[i] = np.bincount(own, minlength=BUCKETS) / max(len(own), 1)
         # Frequent buckets weigh less, as in a distance between distributions.
-        scale = 1 / np.sqrt(counts.mean(axis=0) + 1e-5)
+        scale = 1 / np.sqrt(counts.sum(axis=0) / max(len(rows), 1) + np.float32(1e-5))
         counts *= scale
         lang = np.array([x for _, x in rows])
         kin = np.array([family[x] for x in lang]) if len(rows) else lang

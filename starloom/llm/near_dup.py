@@ -132,11 +132,9 @@ _COMPARED = "a long, b long, size_a long, size_b long, shared long, extra array<
 
 def _compared(pairs: DataFrame, texts: DataFrame, words: int, extra: bool = False) -> DataFrame:
     """Pairs (a, b) with the sizes of their whole sets, how much these share and, if asked for, what only a has."""
-    # Only texts that some pair needs are shuffled further. b is a hub: its rows come together, so its set is made once.
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    wanted = barrier(texts.join(needed, "doc_id"), "nd-texts")
-    with_a = pairs.join(wanted.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = with_a.join(wanted.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    # b is a hub: its rows come together, so its set is made once.
+    with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    both = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[str | None, np.ndarray] = (None, np.empty(0, dtype=np.uint64))
@@ -191,11 +189,12 @@ def _beside_hubs(families: DataFrame, texts: DataFrame, words: int, percent: int
     # The outer form keeps Spark from working the array out twice.
     others = facts.select("b", "a", "root", "missing", F.size("extra").alias("others"), F.explode_outer("extra").alias("shingle")).filter("shingle IS NOT NULL AND missing <= others")
     counted = others.groupBy("b", "shingle").agg(F.count(F.lit(1)).alias("nodes"), F.min("root").alias("low"), F.max("root").alias("high"))
-    # Bounded by the node's own shingles, which were one array.
-    rank = F.row_number().over(Window.partitionBy("b", "a").orderBy("nodes", "shingle"))
-    ranked = others.join(counted, ["b", "shingle"]).withColumn("rank", rank)
-    rare = ranked.filter("rank <= others - missing + 1 AND low < high").select("b", "shingle", "a", "root")
-    rare = barrier(rare, "nd-rare")
+    # Shingles of one component are in no pair that is wanted: they neither count as shared nor take a place.
+    common_ones = others.drop("others").join(counted.filter("low < high").select("b", "shingle", "nodes"), ["b", "shingle"])
+    # Both windows are bounded by a node's own shingles, which were one array.
+    own_ones = Window.partitionBy("b", "a")
+    ranked = common_ones.withColumn("able", F.count(F.lit(1)).over(own_ones)).withColumn("rank", F.row_number().over(own_ones.orderBy("nodes", "shingle")))
+    rare = barrier(ranked.filter("rank <= able - missing + 1").select("b", "shingle", "a", "root"), "nd-rare")
     left, right = (rare.select("b", "shingle", F.col("a").alias(n), F.col("root").alias(f"root_{n}")) for n in "xy")
     related = left.join(right, ["b", "shingle"]).filter("x > y AND root_x <> root_y").select(F.col("x").alias("a"), F.col("y").alias("b"))
     return short.union(related)
@@ -225,22 +224,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     nodes = barrier(
         usable.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("m")).select(F.col("m.doc_id").alias("node"), "m.n_shingles", "m.sketch"), "nd-nodes"
     )
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    placed = bands(nodes)
+    sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    members = _hubs(barrier(placed.join(sizes, "bucket"), "nd-shared"))
+    # The one shuffle of whole texts; from here on there are only texts and sketches of nodes that share a bucket. The
+    # hint keeps the plan the same at every size.
+    wanted = members.select(F.col("node").alias("doc_id")).distinct()
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    texts = barrier(plain.hint("merge").join(wanted, "doc_id"), "nd-texts")
+    known = barrier(nodes.hint("merge").join(wanted.withColumnRenamed("doc_id", "node"), "node"), "nd-known")
 
     def linked(pairs: DataFrame, groups: DataFrame) -> DataFrame:
         """Components after testing the pairs (a, b) that are not in one already."""
         rooted = pairs.distinct().join(groups.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a", "left")
         rooted = rooted.join(groups.select(F.col("node").alias("b"), F.col("root").alias("root_b")), "b", "left")
         apart = rooted.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-        likely = barrier(_likely(apart, nodes, percent), "nd-likely")
+        likely = barrier(_likely(apart, known, percent), "nd-likely")
         if not likely.take(1):
             return groups
         sure = _compared(likely, texts, words).filter(F.col("shared") * (100 + percent) >= percent * (F.col("size_a") + F.col("size_b"))).filter("shared > 0")
         return components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(sure.select("a", "b")), "nd-stars")
 
-    placed = bands(nodes)
-    sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = _hubs(barrier(placed.join(sizes, "bucket"), "nd-shared"))
     groups = linked(members.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")), spark.createDataFrame([], "node long, root long"))
     rooted = members.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")

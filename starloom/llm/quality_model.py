@@ -41,7 +41,7 @@ class CompressionModel:
         labels = np.array([y for _, y in calibration], dtype=np.float64)
         self.rate = float(labels.mean()) if len(labels) else 0.5
         self.weights = None
-        if 0 < self.rate < 1:
+        if len(labels) and 0 < self.rate < 1:
             facts = np.array([self.facts(t) for t, _ in calibration])
             self.centre, self.spread = facts.mean(axis=0), facts.std(axis=0) + 1e-9
             self.weights = logistic((facts - self.centre) / self.spread, labels)
