@@ -153,10 +153,12 @@ class ToxicityModel:
         return [x for clause in _CLAUSE.split(text) for x in self._grammar.run(words_of(clause), START)]
 
     def facts(self, text: str | None) -> list[float]:
-        """For each kind whether it is there and the logarithm of its weighted count."""
+        """For each kind whether it is there and the logarithm of its weighted count; directed insults are insults too."""
         sums = dict.fromkeys(KINDS, 0.0)
         for kind, weight in self.matches(text) if text else ():
             sums[kind] += max(weight, 1.0)
+            if kind == "directed":
+                sums["insult"] += max(weight, 1.0)
         return [x for kind in KINDS for x in (float(sums[kind] > 0), math.log1p(sums[kind]))]
 
     def score(self, text: str | None) -> float:
