@@ -278,23 +278,25 @@ def merge_rows(
 ) -> DataFrame:
     """Compare two versions of a table: identical, changed, new or deleted per key.
 
-    Both versions hold one row per key. The compared row is returned, the reference row if deleted.
+    Both versions hold one row per key; NULL keys are equal, repeated keys are an error. The compared row is returned, the
+    reference row if deleted. Both sides meet in one grouping, which keeps one row per key and task.
     """
-    columns = [*keys, *values]
-    old = reference.select(*[F.col(c).alias(f"_o_{c}") for c in columns], F.lit(True).alias("_old"))
-    new = compare.select(*columns, F.lit(True).alias("_new"))
-    same = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in values], F.lit(True))
+    row = F.struct(*[F.col(c).alias(c) for c in [*keys, *values]])
+    missing = F.lit(None).cast(compare.select(row.alias("r")).schema["r"].dataType)
+    old = reference.select(*keys, row.alias("_old"), missing.alias("_new"))
+    new = compare.select(*keys, missing.alias("_old"), row.alias("_new"))
+    both = old.unionByName(new).groupBy(*keys).agg(
+        F.max("_old").alias("_old"), F.max("_new").alias("_new"), F.count("_old").alias("_olds"), F.count("_new").alias("_news")
+    )
     state = (
-        F.when(F.col("_old").isNull(), F.lit("new"))
+        F.when((F.col("_olds") > 1) | (F.col("_news") > 1), F.raise_error(F.lit("a key is repeated")).cast("string"))
+        .when(F.col("_old").isNull(), F.lit("new"))
         .when(F.col("_new").isNull(), F.lit("deleted"))
-        .when(same, F.lit("identical"))
+        .when(F.col("_old").eqNullSafe(F.col("_new")), F.lit("identical"))
         .otherwise(F.lit("changed"))
     )
-    on = _equal(keys, [f"_o_{k}" for k in keys])
-    return new.join(old, on, "full_outer").select(
-        *[F.when(F.col("_new").isNull(), F.col(f"_o_{c}")).otherwise(F.col(c)).alias(c) for c in columns],
-        state.alias(flag),
-    )
+    kept = F.coalesce("_new", "_old")
+    return both.select(*[kept[c].alias(c) for c in [*keys, *values]], state.alias(flag))
 
 
 def exists_in(df: DataFrame, table: DataFrame, keys: Mapping[str, str]) -> DataFrame:

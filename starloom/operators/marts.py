@@ -1,4 +1,4 @@
-"""The summary queries behind a dashboard. Row limits are those of the chart they feed."""
+"""The summary queries behind a dashboard. All give whole results; a chart that shows less passes a limit."""
 
 from __future__ import annotations
 
@@ -7,29 +7,35 @@ from pyspark.sql import functions as F
 
 from starloom.operators.profiling import AUDIT_WORDS, TECHNICAL_CATEGORY_WORDS, is_usable
 
-# Row limits per chart, and the most slices a pie shows.
-SERIES_LIMIT, SLICE_LIMIT, DETAIL_LIMIT, PIE_LIMIT = 10_000, 100, 1_000, 15
+# Fixed value: the most slices a pie shows.
+PIE_LIMIT = 15
 
 
 def _measure(metric: str | None) -> Column:
     return F.sum(metric) if metric else F.count(F.lit(1))
 
 
+def _first(ordered: DataFrame, limit: int | None) -> DataFrame:
+    return ordered if limit is None else ordered.limit(limit)
+
+
 def kpi_total(df: DataFrame, metric: str | None = None, output: str = "value") -> DataFrame:
     """One number: the sum of a metric, or the row count."""
     return df.agg(_measure(metric).alias(output))
 
 
-def time_series(df: DataFrame, date: str, metric: str | None = None, output: str = "value") -> DataFrame:
-    """The metric per date. Load timestamps are not business dates and are refused."""
+def time_series(df: DataFrame, date: str, metric: str | None = None, output: str = "value", limit: int | None = None) -> DataFrame:
+    """The metric per date, by date; with a limit the newest dates, newest first. Load timestamps are not business dates
+    and are refused."""
     if any(word in date.upper() for word in AUDIT_WORDS):
         raise ValueError(f"{date} is a load timestamp")
-    return df.groupBy(date).agg(_measure(metric).alias(output)).orderBy(F.col(date).asc_nulls_first()).limit(SERIES_LIMIT)
+    order = F.col(date).asc_nulls_first() if limit is None else F.col(date).desc_nulls_last()
+    return _first(df.groupBy(date).agg(_measure(metric).alias(output)).orderBy(order), limit)
 
 
-def by_category(df: DataFrame, category: str, metric: str | None = None, output: str = "value") -> DataFrame:
+def by_category(df: DataFrame, category: str, metric: str | None = None, output: str = "value", limit: int | None = None) -> DataFrame:
     """The metric per category, sorted by name."""
-    return df.groupBy(category).agg(_measure(metric).alias(output)).orderBy(F.col(category).asc_nulls_first()).limit(SERIES_LIMIT)
+    return _first(df.groupBy(category).agg(_measure(metric).alias(output)).orderBy(F.col(category).asc_nulls_first()), limit)
 
 
 def business_categories(names: list[str]) -> list[str]:
@@ -37,14 +43,14 @@ def business_categories(names: list[str]) -> list[str]:
     return [n for n in names if is_usable(n) and not any(w in n.upper() for w in TECHNICAL_CATEGORY_WORDS)]
 
 
-def distribution(df: DataFrame, category: str, metric: str | None = None, output: str = "value") -> DataFrame:
+def distribution(df: DataFrame, category: str, metric: str | None = None, output: str = "value", limit: int | None = None) -> DataFrame:
     """Each category's value and share of the whole, largest first.
 
-    The total is a one-row subquery over all rows, not over the slices shown.
+    The total is a one-row subquery that adds up all slices, also those a limit leaves out.
     """
     slices = df.groupBy(category).agg(_measure(metric).alias(output))
-    total = df.agg(_measure(metric).alias("total")).scalar()
-    top = slices.orderBy(F.col(output).desc(), F.col(category).asc_nulls_first()).limit(SLICE_LIMIT)
+    total = slices.agg(F.sum(output).alias("total")).scalar()
+    top = _first(slices.orderBy(F.col(output).desc(), F.col(category).asc_nulls_first()), limit)
     return top.withColumn("share", F.try_divide(F.col(output), total))
 
 
@@ -52,9 +58,9 @@ def chart_kind(distinct: int) -> str:
     return "pie" if distinct <= PIE_LIMIT else "bar"
 
 
-def detail_table(df: DataFrame, column: str, raw: bool = False) -> DataFrame:
+def detail_table(df: DataFrame, column: str, raw: bool = False, limit: int | None = None) -> DataFrame:
     """The column as it is, or its values with row counts."""
     if raw:
-        return df.select(column).orderBy(F.col(column).desc()).limit(DETAIL_LIMIT)
+        return _first(df.select(column).orderBy(F.col(column).desc()), limit)
     counted = df.groupBy(column).agg(F.count(F.lit(1)).alias("count"))
-    return counted.orderBy(F.col("count").desc(), F.col(column).asc_nulls_first()).limit(DETAIL_LIMIT)
+    return _first(counted.orderBy(F.col("count").desc(), F.col(column).asc_nulls_first()), limit)

@@ -53,7 +53,7 @@ class Rule:
         if self.maximum is not None:
             tests.append(comparable > literal(self.maximum))
         if self.regex is not None:
-            tests.append(~text.rlike(f"^(?:{self.regex})$"))
+            tests.append(~text.rlike(rf"\A(?:{self.regex})\z"))
         failed = functools.reduce(lambda a, b: a | b, [F.coalesce(t, F.lit(False)) for t in tests], F.lit(False))
         missing = F.lit(False) if self.null_allowed else value.isNull()
         return missing | (value.isNotNull() & failed)
@@ -186,10 +186,11 @@ def unknown_share(fact: DataFrame, foreign_keys: Sequence[str], unknown: int = 0
 
 def fan_out(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Business keys whose row count a join changed."""
-    count = lambda df, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-    both = count(before, "rows_before").join(count(after, "rows_after"), list(keys), "left")
-    both = both.withColumn("rows_after", F.coalesce("rows_after", F.lit(0)))
-    return both.where(F.col("rows_before") != F.col("rows_after"))
+    # Both sides in one grouping, which takes NULL keys as equal; keys that only the join made are left out.
+    side = lambda df, is_before: df.select(*keys, F.lit(is_before).alias("_before"))
+    both = side(before, True).union(side(after, False)).groupBy(*keys)
+    counted = both.agg(F.count_if(F.col("_before")).alias("rows_before"), F.count_if(~F.col("_before")).alias("rows_after"))
+    return counted.where("rows_before > 0 AND rows_before <> rows_after")
 
 
 def interval_problems(dim: DataFrame, contract: DimContract, policy: SplitPolicy = SplitPolicy()) -> DataFrame:

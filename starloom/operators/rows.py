@@ -252,11 +252,13 @@ def map_values(
     """Translate values. No match gives ``default``; without one, the value itself when done in
     place and NULL when written to a new column."""
     value = F.col(column)
-    keep = value if output in (None, column) else F.lit(None).cast("string")
+    kind = df.schema[column].dataType
+    # Keys are compared as values of the column's type. A column that is replaced by texts becomes text.
+    keep = value.cast("string") if output in (None, column) else F.lit(None).cast("string")
     fallback = F.lit(default) if default is not None else keep
-    entries = [F.lit(x) for pair in mapping.items() for x in pair]
-    known = F.element_at(F.create_map(*entries), F.coalesce(value, F.lit("")))
-    has = value.isin(*mapping.keys())
+    entries = [x for old, new in mapping.items() for x in (F.lit(old).cast(kind), F.lit(new).cast("string"))]
+    known = F.element_at(F.create_map(*entries), value)
+    has = F.coalesce(value.isin(*[F.lit(k).cast(kind) for k in mapping]), F.lit(False))
     return df.withColumn(output or column, F.when(has, known).otherwise(fallback))
 
 
@@ -316,7 +318,7 @@ def regex_evaluation(
     case_insensitive: bool = False,
 ) -> DataFrame:
     """Whether the whole value matches, and its capture groups (NULL when it does not)."""
-    full = ("(?i)" if case_insensitive else "") + f"^(?:{pattern})$"
+    full = ("(?i)" if case_insensitive else "") + rf"\A(?:{pattern})\z"
     matched = F.coalesce(F.col(column).rlike(full), F.lit(False))
     groups = {n: F.when(matched, F.regexp_extract(column, full, i)) for i, n in enumerate(captures, 1)}
     return df.withColumns({result: matched, **groups})

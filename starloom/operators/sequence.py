@@ -59,12 +59,15 @@ def add_sequence(
     output: str = "sequence",
     start_at: int = 1,
     increment_by: int = 1,
-    max_value: int | None = 999_999_999,
+    max_value: int | None = None,
+    cycle: bool = False,
 ) -> DataFrame:
-    """A counter column; past ``max_value`` it starts over at ``start_at``."""
+    """A counter column. Going past ``max_value`` is an error; with ``cycle`` it starts over at ``start_at``."""
     index = F.col("_index")
     if max_value is not None:
-        index = index % F.lit((max_value - start_at) // increment_by + 1)
+        numbers = F.lit((max_value - start_at) // increment_by + 1)
+        over = F.raise_error(F.lit(f"the sequence is past {max_value}")).cast("long")
+        index = index % numbers if cycle else F.when(index < numbers, index).otherwise(over)
     return with_index(df, order, "_index").select(
         *df.columns, (F.lit(start_at) + index * F.lit(increment_by)).cast("long").alias(output)
     )

@@ -356,7 +356,7 @@ def kpi_count(spark, sf):
 @query(
     "time_series",
     """SELECT strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, CAST(sum(CAST(o_totalprice AS DECIMAL(15,2))) AS DOUBLE) AS value
-       FROM orders GROUP BY orders.o_orderdate ORDER BY orders.o_orderdate LIMIT 10000""",
+       FROM orders GROUP BY orders.o_orderdate ORDER BY orders.o_orderdate""",
 )
 def time_series(spark, sf):
     out = marts.time_series(_priced(spark, sf), "o_orderdate", "o_totalprice")
@@ -366,7 +366,7 @@ def time_series(spark, sf):
 @query(
     "by_category",
     """SELECT c_mktsegment, CAST(sum(CAST(c_acctbal AS DECIMAL(15,2))) AS DOUBLE) AS value FROM customer
-       GROUP BY c_mktsegment ORDER BY c_mktsegment LIMIT 10000""",
+       GROUP BY c_mktsegment ORDER BY c_mktsegment""",
 )
 def by_category(spark, sf):
     customers = table(spark, sf, "customer").withColumn("c_acctbal", F.col("c_acctbal").cast("decimal(15,2)"))
@@ -376,7 +376,7 @@ def by_category(spark, sf):
 @query(
     "distribution",
     """SELECT source, count(*) AS value, round(count(*) / (SELECT count(*) FROM documents), 9) AS share FROM documents
-       GROUP BY source ORDER BY value DESC, source LIMIT 100""",
+       GROUP BY source ORDER BY value DESC, source""",
 )
 def distribution(spark, sf):
     return marts.distribution(table(spark, sf, "documents"), "source").withColumn("share", F.round("share", 9))
@@ -384,12 +384,12 @@ def distribution(spark, sf):
 
 @query(
     "detail_table",
-    "SELECT o_custkey, count(*) AS count FROM orders GROUP BY o_custkey ORDER BY count(*) DESC, o_custkey LIMIT 1000",
+    "SELECT o_custkey, count(*) AS count FROM orders GROUP BY o_custkey ORDER BY count(*) DESC, o_custkey",
 )
 def detail_table(spark, sf):
     return marts.detail_table(table(spark, sf, "orders"), "o_custkey")
 
 
-@query("detail_table_raw", "SELECT c_acctbal FROM customer ORDER BY c_acctbal DESC LIMIT 1000")
+@query("detail_table_raw", "SELECT c_acctbal FROM customer ORDER BY c_acctbal DESC")
 def detail_table_raw(spark, sf):
     return marts.detail_table(table(spark, sf, "customer"), "c_acctbal", raw=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -49,7 +50,8 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     active = context.getCheckpointDir()
     if configured is None and active is None:
-        if not context.master.startswith("local"):
+        # local-cluster has executors of its own, so it needs a shared folder like any cluster.
+        if not re.fullmatch(r"local(\[[^]]*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         configured = tempfile.mkdtemp(prefix="starloom-")
     if active is None:

@@ -110,7 +110,7 @@ def json_blocks(
         F.sort_array(F.collect_list(item)).alias("_items")
     )
     document = F.struct(F.transform("_items", lambda i: i["_item"]).alias(block))
-    return blocks.select("block", F.to_json(document).alias(output))
+    return blocks.select("block", F.to_json(document, {"ignoreNullFields": "false"}).alias(output))
 
 
 def write_json(

@@ -110,7 +110,7 @@ def test_with_index_keeps_copies(spark):
 
 
 def test_sequence_starts_over_past_its_maximum(spark):
-    got = add_sequence(spark.range(7), ["id"], "s", start_at=10, increment_by=5, max_value=22).orderBy("id").collect()
+    got = add_sequence(spark.range(7), ["id"], "s", start_at=10, increment_by=5, max_value=22, cycle=True).orderBy("id").collect()
     assert [r["s"] for r in got] == [10, 15, 20, 10, 15, 20, 10]
 
 
