@@ -366,7 +366,7 @@ def scd_candidates(spark, sf):
         profiling.history_candidates(table(spark, sf, name), name, [key])
         for name, key in (("customer", "c_custkey"), ("part", "p_partkey"))
     ]
-    return union_streams(*both).drop("forced_scd_type")
+    return union_streams(*both).drop("forced_scd_type", "evidence")
 
 
 # -- processes -----------------------------------------------------------------------------------
