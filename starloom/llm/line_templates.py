@@ -51,15 +51,18 @@ def _templates(tokens: Column) -> Column:
 def recurring_lines(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """doc_id, version, lines: numbers of the lines whose template recurs and was in an earlier document.
 
-    Documents are counted per template by two pre-aggregated groupings, so a line in a third of all documents is one row
-    per task; the join back with the templates is one that splits.
+    Templates of several documents are found by a pre-aggregated grouping, so a line in a third of all documents is one row
+    per task; the joins back with the templates are ones that split.
     """
     # The outer form: explode makes Spark filter empty arrays beforehand, which works out the whole array once more.
     keys = _lines(docs).select("doc_id", "version", "line", F.explode_outer(_templates(F.col("tokens"))).alias("template")).filter("template IS NOT NULL")
     hashed = barrier(keys.select("doc_id", "version", "line", F.xxhash64("template").alias("k1"), F.xxhash64(F.lit("second"), "template").alias("k2")), "line-templates")
-    in_docs = hashed.select("k1", "k2", "doc_id").distinct()
-    known = in_docs.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first")).filter(F.col("docs") >= least_docs)
-    again = hashed.join(known.select("k1", "k2", "first"), ["k1", "k2"]).filter(F.col("doc_id") != F.col("first"))
+    # Most templates are in one document; only rows of the others go on.
+    shared = hashed.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
+    again = barrier(hashed.join(shared.select("k1", "k2", "first"), ["k1", "k2"]), "shared-templates")
+    in_docs = again.select("k1", "k2", "doc_id").distinct()
+    known = in_docs.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= least_docs)
+    again = again.join(known.select("k1", "k2"), ["k1", "k2"]).filter(F.col("doc_id") != F.col("first"))
     return again.groupBy("doc_id", "version").agg(F.collect_set("line").alias("lines"))
 
 
