@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from starloom.session import barrier
 
 #: Rows in an Arrow batch: a thousand texts stay a few MB, also when some are very long.
 BATCH_ROWS = 500
+#: Parts that ids are dealt to before the smallest ones are picked.
+SALTS = 64
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -40,17 +42,29 @@ def fold(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
 
 
+def smallest_ids(known: DataFrame, count: int, by: str | None = None) -> DataFrame:
+    """The rows of ``known`` (doc_id, ...) with the ``count`` smallest md5 of their id, for each value of ``by`` if given.
+
+    Picked first within SALTS parts of the ids, so that no task gets more than that many picks of a value that many
+    rows have.
+    """
+    order = [F.md5(F.col("doc_id").cast("string")), F.col("doc_id")]
+    own = [F.col(by)] if by else [F.lit(0)]
+    picked = known
+    for parts in ([*own, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))], own):
+        numbered = picked.withColumn("_at", F.row_number().over(Window.partitionBy(*parts).orderBy(*order)))
+        picked = numbered.filter(F.col("_at") <= count).drop("_at")
+    return picked
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
     """(text, label) of at most ``per_class`` labelled documents of each class outside the held-out fold.
 
     The rows with the smallest md5 of their id are taken, so that the choice is the same on every run. The ids are
     picked from ``labels`` alone; the pick has a fixed bound and is the broadcast side of the join with the texts.
     """
-    from pyspark.sql import Window
-
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold() != 0)).select("doc_id", F.col(label).alias("label")).distinct()
-    order = Window.partitionBy("label").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
-    picked = known.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= per_class).select("doc_id", "label")
+    picked = smallest_ids(known, per_class, "label")
     return docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id")
 
 

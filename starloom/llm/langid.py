@@ -7,10 +7,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starloom.llm.common import fold, prepare, text_pass
+from starloom.llm.common import fold, prepare, smallest_ids, text_pass
 from starloom.llm.linear import linear_svm, probability
 
 UNKNOWN = "und"
@@ -110,8 +110,7 @@ class LanguageModel:
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> LanguageModel:
     """A model from at most ``train_docs`` documents of each language outside the held-out fold."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold() != 0)).select("doc_id", "lang").distinct()
-    order = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
-    picked = known.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= train_docs).select(F.col("doc_id").alias("_picked"), F.col("lang").alias("_lang"))
+    picked = smallest_ids(known, train_docs, "lang").select(F.col("doc_id").alias("_picked"), F.col("lang").alias("_lang"))
     texts = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
     rows = texts.join(F.broadcast(picked), (F.col("doc_id") == F.col("_picked")) & (F.col("lang") == F.col("_lang")))
     cut = rows.select(F.substring("text", 1, TRAIN_BYTES).alias("text"), "lang", "doc_id").collect()
