@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 
 from starloom.contracts import MAX_DATE, MIN_DATE, DimContract
 from starloom.functions.casting import literal, utc_now
-from starloom.operators.joins import LookupValue, interval_lookup, not_exists_in
+from starloom.operators.intervals import interval_lookup
+from starloom.operators.joins import LookupValue, not_exists_in
 from starloom.operators.ordered import SplitPolicy, lag_lead, running, split_points
 from starloom.operators.sequence import with_index
 from starloom.session import barrier
@@ -273,7 +274,7 @@ def dimension_lookup(
     output: str | None = None,
     attributes: Mapping[str, str] = {},
     run_time: dt.datetime | None = None,
-    policy: SplitPolicy = SplitPolicy(sample_fraction=0.01, max_group_rows=20_000),
+    policy: SplitPolicy = SplitPolicy(),
 ) -> DataFrame:
     """The technical key valid at ``ref_date`` (``date_from <= ref < date_to``), read-only.
 
@@ -302,7 +303,7 @@ def dimension_lookup(
         c.date_to,
         values,
         tie=[c.version_field],
-        policy=policy,
+        cuts=policy,
     )
     return found.drop("_ref")
 

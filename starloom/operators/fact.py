@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 from starloom.contracts import DimContract
 from starloom.functions.casting import literal, utc_now
 from starloom.operators.dimension import dimension_lookup
-from starloom.operators.joins import LookupValue, interval_lookup
+from starloom.operators.intervals import interval_lookup
+from starloom.operators.joins import LookupValue
 from starloom.operators.merge import incomplete, one_per_key, upsert
 from starloom.operators.quality import duplicate_keys
 
@@ -92,7 +93,7 @@ def convert_currency(
     are NULL.
     """
     name, date, rate = rates.columns
-    # Open-ended: the lookup cuts each rate off where the next one starts.
+    # Open-ended: of the rates that hold, the lookup takes the one that starts last.
     spans = rates.select(
         name,
         date,

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from starloom.functions.text import literal_pattern
-from starloom.operators.ordered import SplitPolicy, lag_lead, running, split_points
+from starloom.operators.ordered import SplitPolicy, running
 from starloom.operators.sequence import spread
 from starloom.session import barrier
 
@@ -97,6 +97,14 @@ class LookupValue:
         return self.rename or self.name
 
 
+def common_type(*columns: tuple[DataFrame, str]) -> T.DataType:
+    """The type in which the columns can be compared: what a union gives them."""
+    first, *others = [df.select(F.col(name).alias("v")) for df, name in columns]
+    for other in others:
+        first = first.union(other)
+    return first.schema["v"].dataType
+
+
 def stream_lookup(
     stream: DataFrame,
     table: DataFrame,
@@ -140,12 +148,14 @@ def database_lookup(
     value, ties by ``order``.
 
     Rows and candidates are put in one order per key and each row reads the best candidate on its
-    side of it, so candidates are never paired with rows and a large key is cut into chunks.
+    side of it, so candidates are never paired with rows and a large key is cut into chunks. Both are compared in the wider
+    of their types.
     """
     low, op, column, *high = comparison
     if op not in ("<", "<=", ">", ">=", "BETWEEN") or (op == "BETWEEN") != bool(high):
         raise ValueError(f"unsupported comparison: {comparison}")
     keys = _names(equal)
+    kind_of = common_type((stream, low), (table, column))
     upward = op in ("<", "<=", "BETWEEN")  # candidates lie above the row
     # Where values are equal, strict operators have to meet the row before the candidates.
     candidates_first = op in ("<=", ">=", "BETWEEN")
@@ -154,7 +164,7 @@ def database_lookup(
     picked = F.struct(*[F.col(v.name).alias(f"v{i}") for i, v in enumerate(values)])
     candidates = table.where(F.col(column).isNotNull()).select(
         *[F.col(c).alias(k) for c, k in zip(equal.values(), keys)],
-        F.col(column).alias("_value"),
+        F.col(column).cast(kind_of).alias("_value"),
         F.lit(candidate_kind).alias("_kind"),
         F.lit(0).cast("long").alias("_spread"),
         rank.alias("_rank"),
@@ -164,7 +174,7 @@ def database_lookup(
         candidates = candidates.where(F.col(k).isNotNull())
     rows = stream.select(
         *[F.col(c).alias(k) for c, k in zip(equal, keys)],
-        F.col(low).cast(table.schema[column].dataType).alias("_value"),
+        F.col(low).cast(kind_of).alias("_value"),
         F.lit(row_kind).alias("_kind"),
         spread(stream).alias("_spread"),
         F.struct(*[F.col(c) for c in stream.columns]).alias("_row"),
@@ -192,87 +202,6 @@ def database_lookup(
     )
 
 
-def interval_lookup(
-    stream: DataFrame,
-    table: DataFrame,
-    equal: Mapping[str, str],
-    at: str,
-    lower: str,
-    upper: str,
-    values: Sequence[LookupValue],
-    closed: bool = False,
-    tie: Sequence[str] = (),
-    policy: SplitPolicy = SplitPolicy(sample_fraction=0.01, max_group_rows=20_000),
-) -> DataFrame:
-    """The interval that holds ``at``: ``lower <= at < upper``, or ``<= upper`` when ``closed``.
-
-    Of overlapping intervals the one that starts last wins, so at most one row matches. An interval
-    without an upper bound never matches. ``equal`` may be empty.
-
-    Each interval is first cut off where the next one of its key starts. While keys have few
-    intervals this is an equality join with a range test on top. When a key has many (or there is no
-    key), rows and intervals are put in one order instead and each row takes the last interval that
-    started before it; that way needs no pairing and cuts large keys into chunks.
-    """
-    names = list(dict.fromkeys(v.name for v in values))
-    keys = _names(equal)
-    side = table.where(F.col(lower).isNotNull() & F.col(upper).isNotNull()).select(
-        *[F.col(c).alias(k) for c, k in zip(equal.values(), keys)],
-        F.col(lower).alias("_lower"),
-        F.col(upper).alias("_upper"),
-        F.struct(*[F.col(c) for c in tie], F.lit(0)).alias("_tie"),
-        F.struct(*[F.col(n) for n in names]).alias("_values"),
-    )
-    for k in keys:
-        side = side.where(F.col(k).isNotNull())
-    outputs = {v.output for v in values}
-    kept = [c for c in stream.columns if c not in outputs]
-    filled = [
-        F.when(F.col("_values").isNotNull(), F.col(f"_values.{v.name}"))
-        .otherwise(F.lit(v.default).cast(table.schema[v.name].dataType))
-        .alias(v.output)
-        for v in values
-    ]
-    order = ["_lower", "_tie"]
-    cuts = split_points(side, keys, order, policy)
-    if keys and cuts is None:
-        clipped = lag_lead(side, keys, order, [("_next", "_lower", "LEAD", 1)], None)
-        here = F.col(at)
-        inside = (here <= F.col("_upper")) if closed else (here < F.col("_upper"))
-        on = _equal(list(equal), keys) & (here >= F.col("_lower")) & inside
-        on = on & (F.col("_next").isNull() | (here < F.col("_next")))
-        clipped = barrier(clipped.drop("_tie"), "intervals")
-        return stream.join(clipped, on, "left").select(*kept, *filled)
-
-    # One ordered stream: intervals (0) before the rows (1) that share their start.
-    rows = stream.select(
-        *[F.col(c).alias(k) for c, k in zip(equal, keys)],
-        F.col(at).cast(side.schema["_lower"].dataType).alias("_lower"),
-        F.lit(1).alias("_kind"),
-        spread(stream).alias("_spread"),
-        F.struct(*[F.col(c) for c in stream.columns]).alias("_row"),
-    )
-    starts = side.select(
-        *keys,
-        "_lower",
-        F.lit(0).alias("_kind"),
-        F.lit(0).cast("long").alias("_spread"),
-        "_tie",
-        F.struct("_upper", "_values").alias("_interval"),
-    )
-    both = starts.unionByName(rows, allowMissingColumns=True)
-    carried = running(
-        both, keys, ["_lower", "_kind", "_spread", "_tie"], lasts={"_found": F.col("_interval")}, cuts=SplitPolicy()
-    ).where(F.col("_kind") == 1)
-    here, end = F.col("_lower"), F.col("_found._upper")
-    match = (here <= end) if closed else (here < end)
-    for k in keys:
-        match = match & F.col(k).isNotNull()
-    return carried.select(
-        F.when(match, F.col("_found._values")).alias("_values"), "_row.*"
-    ).select(*kept, *filled)
-
-
 def merge_rows(
     reference: DataFrame, compare: DataFrame, keys: Sequence[str], values: Sequence[str], flag: str = "flagfield"
 ) -> DataFrame:

@@ -44,7 +44,8 @@ def split_points(
     """Cut points of the large groups as a small local table, or None when no group is large.
 
     At most ten chunks per shuffle partition are planned over all groups, so the table that is
-    brought to the driver and broadcast has a fixed bound whatever the input size.
+    brought to the driver and broadcast has a fixed bound whatever the input size. Without a group the whole table is
+    always cut, into as many chunks as there are shuffle partitions or more.
     """
     spark = df.sparkSession
     budget = 10 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -55,7 +56,7 @@ def split_points(
     )
     if policy.sample_fraction < 1:
         sample = sample.sample(policy.sample_fraction, policy.seed)
-    threshold = policy.max_group_rows * min(policy.sample_fraction, 1.0)
+    threshold = policy.max_group_rows * min(policy.sample_fraction, 1.0) if group else 0
     large = (
         sample.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
@@ -64,9 +65,20 @@ def split_points(
         .limit(budget)
         .collect()
     )
+    point_type = T.StructType([T.StructField(name, df.schema[name].dataType) for name in order])
+    schema = T.StructType(
+        [
+            *[T.StructField(name, df.schema[name].dataType) for name in group],
+            T.StructField(_CUTS, T.ArrayType(point_type)),
+        ]
+    )
     if not large:
-        return None
-    per_chunk = max(threshold, sum(row["_n"] for row in large) / budget)
+        return None if group else spark.createDataFrame([([],)], schema)
+    sampled = sum(row["_n"] for row in large)
+    per_chunk = max(threshold, sampled / budget)
+    if not group:
+        wanted = policy.max_group_rows * min(policy.sample_fraction, 1.0)
+        per_chunk = max(per_chunk, min(wanted, 10 * sampled / budget))
     plan = [
         (*[row[key] for key in keys], chunks, min(1.0, chunks * _POINTS_PER_CHUNK / row["_n"]))
         for row in large
@@ -90,13 +102,6 @@ def split_points(
         cuts = [points[len(points) * i // row["_k"]] for i in range(1, row["_k"])]
         cuts = [tuple(cut) for i, cut in enumerate(cuts) if i == 0 or cut != cuts[i - 1]]
         rows.append((*[row[key] for key in keys], cuts))
-    point_type = T.StructType([T.StructField(name, df.schema[name].dataType) for name in order])
-    schema = T.StructType(
-        [
-            *[T.StructField(name, df.schema[name].dataType) for name in group],
-            T.StructField(_CUTS, T.ArrayType(point_type)),
-        ]
-    )
     return spark.createDataFrame(rows, schema)
 
 

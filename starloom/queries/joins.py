@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from starloom.operators import aggregate, joins
 from starloom.operators.aggregate import Aggregate
+from starloom.operators.intervals import interval_lookup
 from starloom.operators.joins import LookupValue, Pivot
 from starloom.operators.rows import if_null
 from starloom.queries.registry import day, double, query, table
@@ -157,7 +158,7 @@ def db_lookup_between(spark, sf):
     bands = table(spark, sf, "region").select(
         (F.col("r_regionkey") * 100.0).alias("lo"), (F.col("r_regionkey") * 100.0 + 50).alias("hi"), "r_name"
     )
-    return joins.interval_lookup(
+    return interval_lookup(
         table(spark, sf, "events").select("event_id", "value"),
         bands, {}, "value", "lo", "hi", [LookupValue("r_name", "band", "none")], closed=True,
     ).select("event_id", "band")
@@ -179,12 +180,60 @@ def db_lookup_between_key(spark, sf):
         .agg(F.max("o_orderkey").alias("band"))
         .withColumn("hi", F.col("lo") + F.expr("INTERVAL 90 DAYS"))
     )
-    return joins.interval_lookup(
+    return interval_lookup(
         orders.select("o_orderkey", "o_custkey", "o_orderdate"),
         bands, {"o_custkey": "o_custkey"}, "o_orderdate", "lo", "hi", [LookupValue("band", "urgent_before", -1)],
     ).select("o_orderkey", "urgent_before")
 
 
+@query(
+    "db_lookup_nested",
+    """WITH spans AS (SELECT k, lo, band, lo + to_days(CASE WHEN band % 2 = 0 THEN 30 ELSE 900 END) AS hi
+                      FROM (SELECT o_custkey AS k, o_orderdate AS lo, max(o_orderkey) AS band FROM orders GROUP BY 1, 2))
+       SELECT o_orderkey, coalesce(band, -1) AS holding FROM (SELECT o_orderkey, o_custkey, o_orderdate + INTERVAL 45 DAY AS moment FROM orders)
+       LEFT JOIN spans ON k = o_custkey AND moment >= lo AND moment < hi
+       QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY lo DESC) = 1""",
+)
+def db_lookup_nested(spark, sf):
+    """Short spans lie inside long ones; after a short one ends the long one answers again."""
+    orders = table(spark, sf, "orders")
+    spans = (
+        orders.groupBy("o_custkey", F.col("o_orderdate").alias("lo"))
+        .agg(F.max("o_orderkey").alias("band"))
+        .withColumn("hi", F.expr("lo + make_dt_interval(if(band % 2 = 0, 30, 900))"))
+    )
+    stream = orders.select("o_orderkey", "o_custkey", (F.col("o_orderdate") + F.expr("INTERVAL 45 DAYS")).alias("moment"))
+    return interval_lookup(
+        stream, spans, {"o_custkey": "o_custkey"}, "moment", "lo", "hi", [LookupValue("band", "holding", -1)]
+    ).select("o_orderkey", "holding")
+
+
+@query(
+    "db_lookup_mixed_types",
+    """SELECT 'price' AS kind, o_orderkey AS id, coalesce(p_partkey, -1) AS band FROM orders
+       LEFT JOIN part ON o_totalprice >= p_partkey * 100 AND o_totalprice <= p_partkey * 100 + 50
+       UNION ALL
+       SELECT 'day', event_id, coalesce(n, -1) FROM events
+       LEFT JOIN (SELECT CAST(ts AS DATE) AS lo, count(*) AS n FROM events GROUP BY 1)
+              ON day(lo) % 2 = 0 AND ts >= lo AND ts < lo + 1""",
+)
+def db_lookup_mixed_types(spark, sf):
+    """Fractions against whole bounds that belong to the interval, and moments against days."""
+    bands = table(spark, sf, "part").selectExpr("p_partkey", "p_partkey * 100 AS lo", "p_partkey * 100 + 50 AS hi")
+    prices = interval_lookup(
+        table(spark, sf, "orders").select("o_orderkey", "o_totalprice"),
+        bands, {}, "o_totalprice", "lo", "hi", [LookupValue("p_partkey", "band", -1)], closed=True,
+    )
+    events = table(spark, sf, "events").select("event_id", "ts")
+    days = events.groupBy(F.col("ts").cast("date").alias("lo")).agg(F.count("*").alias("n")).where("day(lo) % 2 = 0")
+    counts = interval_lookup(
+        events, days.withColumn("hi", F.date_add("lo", 1)), {}, "ts", "lo", "hi", [LookupValue("n", "band", -1)]
+    )
+    return prices.select(F.lit("price").alias("kind"), F.col("o_orderkey").alias("id"), "band").unionByName(
+        counts.select(F.lit("day").alias("kind"), F.col("event_id").alias("id"), "band")
+    )
+
+
 @query(
     "merge_rows_diff",
     f"""WITH {CHANGES}, now AS (SELECT * FROM changes UNION ALL SELECT * FROM customer WHERE c_acctbal >= 1000)

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from starloom.operators import joins
+from starloom.operators import intervals, joins
 from starloom.operators.joins import LookupValue, Pivot
 from starloom.operators.ordered import SplitPolicy
 
@@ -50,7 +50,7 @@ def test_database_lookup(spark, policy, keyed, op):
 @pytest.mark.parametrize("policy", [PLAIN, CUT], ids=["join", "ordered"])
 @pytest.mark.parametrize("keyed", [True, False], ids=["key", "no key"])
 def test_interval_lookup(spark, policy, keyed, closed):
-    """Overlapping intervals, open ends and NULLs: the one that starts last decides."""
+    """Overlapping intervals, open ends and NULLs: of those that hold the point, the one that starts last."""
     rnd = random.Random(7)
     stream = [(i, k, rnd.randint(0, 60)) for i, k in enumerate(skewed(rnd, 200))]
     starts = rnd.sample(range(200), 150)
@@ -59,19 +59,18 @@ def test_interval_lookup(spark, policy, keyed, closed):
         for i, k in enumerate(skewed(rnd, 150))
     ]
     stream = [(i, k, x * 1000 + 7) for i, k, x in stream]
-    got = joins.interval_lookup(
+    got = intervals.interval_lookup(
         spark.createDataFrame(stream, "id int, k int, x int"),
         spark.createDataFrame(table, "tid int, tk int, lo int, hi int"),
         {"k": "tk"} if keyed else {}, "x", "lo", "hi", [LookupValue("tid", "hit", -1)], closed, ["tid"], policy,
     ).collect()
     want = {}
     for i, k, x in stream:
-        begun = [
+        holding = [
             t for t in table
-            if t[3] is not None and t[2] <= x and (not keyed or (k is not None and t[1] == k))
+            if t[3] is not None and t[2] <= x and (x <= t[3] if closed else x < t[3]) and (not keyed or (k is not None and t[1] == k))
         ]
-        last = max(begun, key=lambda t: (t[2], t[0]), default=None)
-        want[i] = last[0] if last and (x <= last[3] if closed else x < last[3]) else -1
+        want[i] = max(holding, key=lambda t: (t[2], t[0]), default=[-1])[0]
     assert {r["id"]: r["hit"] for r in got} == want
 
 
