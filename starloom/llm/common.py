@@ -12,8 +12,6 @@ from starloom.session import barrier
 
 #: Rows in an Arrow batch: a thousand texts stay a few MB, also when some are very long.
 BATCH_ROWS = 500
-#: Parts that ids are dealt to before the smallest ones are picked.
-SALTS = 64
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -45,16 +43,17 @@ def fold(doc_id: str = "doc_id") -> Column:
 def smallest_ids(known: DataFrame, count: int, by: str | None = None) -> DataFrame:
     """The rows of ``known`` (doc_id, ...) with the ``count`` smallest md5 of their id, for each value of ``by`` if given.
 
-    Picked first within SALTS parts of the ids, so that no task gets more than that many picks of a value that many
-    rows have.
+    Digests spread evenly, so of n rows only those below ``2 * count / n`` of their range are sorted: a window gets about
+    twice the rows that are picked, however many there are. ``by`` is a class that the caller learns: it has few values.
     """
-    order = [F.md5(F.col("doc_id").cast("string")), F.col("doc_id")]
-    own = [F.col(by)] if by else [F.lit(0)]
-    picked = known
-    for parts in ([*own, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))], own):
-        numbered = picked.withColumn("_at", F.row_number().over(Window.partitionBy(*parts).orderBy(*order)))
-        picked = numbered.filter(F.col("_at") <= count).drop("_at")
-    return picked
+    own = [by] if by else []
+    digest = F.md5(F.col("doc_id").cast("string"))
+    place = F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+    sizes = known.groupBy(*own).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = F.broadcast(sizes)
+    near = (known.join(sizes, by) if by else known.crossJoin(sizes)).filter(place * F.col("_n") <= 2.0 * count + 100)
+    order = Window.partitionBy(*(own or [F.lit(0)])).orderBy(digest, "doc_id")
+    return near.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= count).select(*known.columns)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
