@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from starloom.operators.ordered import SplitPolicy, lag_lead
+from starloom.operators.profiling import value_counts
 
 # Aggregate names.
 AGGREGATES: dict[str, Callable[[str], Column]] = {
@@ -39,18 +40,24 @@ def group_by(df: DataFrame, group: Sequence[str], aggregates: Sequence[Aggregate
     return df.groupBy(*group).agg(*[a.expr() for a in aggregates])
 
 
-def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def distinct_counts(df: DataFrame, columns: Sequence[str], approximate: float | None = None) -> DataFrame:
     """Rows and distinct non-NULL values of each column, one row per column.
 
     Values are counted per (column, value) first, so a common value is merged before the shuffle and
-    the second aggregate sees every value once.
+    the second aggregate sees every value once. With ``approximate``, the relative error that is allowed, one sketch per
+    column is kept instead and no value is shuffled.
     """
-    named = F.explode(
-        F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
-    )
-    values = df.select(named.alias("_c")).groupBy("_c.column", "_c.value").agg(F.count(F.lit(1)).alias("_n"))
-    return values.groupBy("column").agg(
-        F.sum("_n").alias("total_count"), F.count("value").alias("distinct_count")
+    if approximate is not None:
+        counts = df.agg(
+            F.count(F.lit(1)).alias("_n"), *[F.approx_count_distinct(c, approximate).alias(f"_c{i}") for i, c in enumerate(columns)]
+        )
+        rows = [
+            F.struct(F.lit(c).alias("column"), F.col("_n").alias("total_count"), F.col(f"_c{i}").alias("distinct_count"))
+            for i, c in enumerate(columns)
+        ]
+        return counts.select(F.inline(F.array(*rows)))
+    return value_counts(df, columns).groupBy("column").agg(
+        F.sum("n").alias("total_count"), F.count("value").alias("distinct_count")
     )
 
 

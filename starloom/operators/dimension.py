@@ -57,6 +57,9 @@ def load_dimension(
     at = F.col(ref_date) if isinstance(ref_date, str) else literal(ref_date)
     now = literal(run_time or utc_now())
     earliest, latest = literal(MIN_DATE), literal(MAX_DATE)
+    written = {c.technical_key, c.version_field, c.date_from, c.date_to, *keys, *attributes, *c.technical_columns}
+    # Columns the contract does not name stay as they are; new versions have NULL there.
+    extra = [] if dim is None else [n for n in dim.columns if n not in written]
     technical = {n: T.BooleanType() if m == "LastVersion" else NTZ for n, m in c.technical_columns.items()}
 
     rows = stage.where(_all([F.col(k).isNotNull() for k in keys])).select(
@@ -83,13 +86,15 @@ def load_dimension(
             F.col(c.version_field).cast("int").alias("_version"),
             F.col(c.date_to).cast(NTZ).alias("_to"),
             *[F.col(n).cast(t).alias(n) for n, t in technical.items()],
-        ).unionByName(rows)
+            *([F.struct(*extra).alias("_extra")] if extra else []),
+        ).unionByName(rows, allowMissingColumns=True)
 
     order = ["_at", "_kind"]
     cuts = split_points(rows, keys, order, policy)
 
     # 1. What each staged row changes, compared with the row before it.
     seen = ["_kind", "_at", *attributes]
+    carried = ["_extra"] if extra else []
     rows = lag_lead(rows, keys, order, [(f"_before_{n}", n, "LAG", 1) for n in seen], cuts)
     staged, follows = F.col("_kind") == 1, F.col("_before__kind").isNotNull()
     after_staged = follows & (F.col("_before__kind") == 1)
@@ -104,7 +109,7 @@ def load_dimension(
     )
     opens = ~staged | ~follows | differs(c.attributes_scd2)
     rows = rows.select(
-        *keys, *attributes, *technical, *order, "_sk", "_version", "_to",
+        *keys, *attributes, *technical, *order, *carried, "_sk", "_version", "_to",
         F.when(problem.isNotNull(), F.raise_error(problem).cast("boolean")).otherwise(opens).alias("_opens"),
         (staged & ~follows).alias("_new_key"),
         (staged & follows & differs(attributes)).alias("_changed"),
@@ -119,7 +124,7 @@ def load_dimension(
         lasts={"_base": F.col("_version")},
         cuts=cuts,
     )
-    first = F.struct("_at", "_kind", "_sk", "_version", "_to", "_new_key", "_overwrites", *technical)
+    first = F.struct("_at", "_kind", "_sk", "_version", "_to", "_new_key", "_overwrites", *technical, *carried)
     rows = running(rows, keys, order, lasts={"_first": F.when(F.col("_opens"), first)}, cuts=cuts)
     following = [("_next_opens", "_opens", "LEAD", 1), ("_next_at", "_at", "LEAD", 1), ("_next_kind", "_kind", "LEAD", 1)]
     rows = lag_lead(rows, keys, order, following, cuts)
@@ -141,6 +146,7 @@ def load_dimension(
         *keys,
         *[v.alias(n) for n, v in final.items()],
         *[F.col(f"_first.{n}").alias(n) for n in technical],
+        *[F.col("_first._extra")[n].alias(n) for n in extra],
         F.col("_first._sk").alias("_sk"),
         F.coalesce("_first._version", F.coalesce("_base", F.lit(0)) + F.col("_added").cast("int")).alias("_version"),
         F.when(F.col("_first._new_key"), earliest).otherwise(F.col("_first._at")).alias("_from"),
@@ -165,6 +171,7 @@ def load_dimension(
         *keys,
         *attributes,
         *[stamps[m](F.col(n)).alias(n) for n, m in c.technical_columns.items()],
+        *extra,
     )
     if dim is None:
         return _number(result.drop(c.technical_key), c, highest).select(*result.columns)
@@ -262,6 +269,8 @@ def lookup_junk_key(stream: DataFrame, dim: DataFrame, keys: Sequence[str], tech
     """The technical key of each row's combination; NULL parts match NULL parts."""
     side = dim.select(*[F.col(k).alias(f"_d_{k}") for k in keys], technical_key)
     same = _all([F.col(k).eqNullSafe(F.col(f"_d_{k}")) for k in keys])
+    # Written, so that Spark knows its size and can split a combination that many rows have.
+    side = barrier(side, "junk")
     return stream.join(side, same, "left").select(*stream.columns, technical_key)
 
 

@@ -393,3 +393,35 @@ def detail_table(spark, sf):
 @query("detail_table_raw", "SELECT c_acctbal FROM customer ORDER BY c_acctbal DESC")
 def detail_table_raw(spark, sf):
     return marts.detail_table(table(spark, sf, "customer"), "c_acctbal", raw=True)
+
+
+# -- control -------------------------------------------------------------------------------------
+
+
+@query(
+    "row_threshold",
+    """SELECT CAST(10 AS BIGINT) AS threshold, count(*) > 10 AS exceeded FROM orders
+       UNION ALL SELECT 1000000000, count(*) > 1000000000 FROM orders""",
+)
+def row_threshold(spark, sf):
+    """Both outcomes of the same stream."""
+    orders = table(spark, sf, "orders").select("o_orderkey")
+    limits = (10, 1_000_000_000)
+    found = [(n, quality.abort_above(orders, n, with_error=False)) for n in limits]
+    return spark.createDataFrame(found, "threshold long, exceeded boolean")
+
+
+@query(
+    "row_metrics",
+    """SELECT count(*) AS n_rows, count(*) FILTER (quality IS NULL) AS null_quality, count(*) FILTER (lang IS NULL) AS null_lang
+       FROM documents LEFT JOIN labels USING (doc_id)""",
+)
+def row_metrics(spark, sf):
+    """Counted while the rows are written elsewhere."""
+    labels = table(spark, sf, "labels").select("doc_id", "quality")
+    joined = table(spark, sf, "documents").select("doc_id", "lang").join(labels, "doc_id", "left")
+    seen, metrics = quality.row_metrics(joined, "documents", ["quality", "lang"])
+    seen.write.format("noop").mode("overwrite").save()
+    counts = metrics.get
+    row = (counts["rows"], counts["null_quality"], counts["null_lang"])
+    return spark.createDataFrame([row], "n_rows long, null_quality long, null_lang long")

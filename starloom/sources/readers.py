@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -74,14 +75,31 @@ def read_jdbc(spark: SparkSession, url: str, query: str, **options) -> DataFrame
     return spark.read.format("jdbc").options(**jdbc_options(url, query, **options)).load()
 
 
+def _ungrouped(text: Column, group: str) -> Column:
+    """Whole numbers without the marks between groups of three digits; other text as it is."""
+    mark = re.escape(group)
+    return F.when(text.rlike(rf"\A[+-]?\d{{1,3}}({mark}\d{{3}})+\z"), F.replace(text, F.lit(group), F.lit(""))).otherwise(text)
+
+
+def _plain(text: Column, decimal: str, group: str, currency: str) -> Column:
+    """A number with ``decimal`` as its mark, written with a point."""
+    for mark in (currency, group):
+        text = F.replace(text, F.lit(mark), F.lit("")) if mark else text
+    return F.trim(F.replace(text, F.lit(decimal), F.lit(".")))
+
+
 def _typed(raw: DataFrame, fields: Sequence[Field], decimal: str, group: str, currency: str) -> DataFrame:
     """Text columns to their declared types; empty text is NULL."""
     out = []
     for f in fields:
         text = F.nullif(normalise(F.col(f.name), f.trim), F.lit(""))
-        if isinstance(f.spark, (T.DecimalType, T.DoubleType)) and decimal != ".":
-            size = (f.spark.precision, f.spark.scale) if isinstance(f.spark, T.DecimalType) else (38, 10)
-            value = parse_decimal_comma(text, *size, decimal, group, currency).cast(f.spark)
+        if isinstance(f.spark, T.IntegralType) and group:
+            value = cast_to(_ungrouped(text, group), T.StringType(), f.spark)
+        elif isinstance(f.spark, T.DoubleType) and decimal != ".":
+            # Not by way of a decimal, which has no room for very small or large numbers.
+            value = _plain(text, decimal, group, currency).try_cast("double")
+        elif isinstance(f.spark, T.DecimalType) and decimal != ".":
+            value = parse_decimal_comma(text, f.spark.precision, f.spark.scale, decimal, group, currency).cast(f.spark)
         else:
             value = cast_to(text, T.StringType(), f.spark, f.layout)
         out.append(value.alias(f.name))
@@ -178,7 +196,8 @@ def generate_rows(spark: SparkSession, limit: int = 1, constants: Mapping[str, t
 def sample_rows(df: DataFrame, limit: int = 20, fraction: float = 0.01, seed: int = 0) -> tuple[DataFrame, str]:
     """At most ``limit`` rows and how they were drawn: by fraction, or at random from a table so
     small that the fraction gave none."""
-    drawn = df.sample(fraction, seed).limit(limit)
+    # In random order, as the first rows drawn would all come from the first files.
+    drawn = df.sample(fraction, seed).orderBy(F.rand(seed)).limit(limit)
     if not drawn.isEmpty():
         return drawn, "fraction"
     return df.orderBy(F.rand(seed)).limit(limit), "random"

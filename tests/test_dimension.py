@@ -250,3 +250,14 @@ def test_calendar(spark):
     assert [(r["nombre_mes"], r["dia_semana"], r["nombre_dia_semana"], r["es_fin_de_semana"]) for r in rows[2:]] == [
         ("marzo", 5, "viernes", False), ("marzo", 6, "sábado", True), ("marzo", 7, "domingo", True),
     ]
+
+
+def test_columns_the_contract_does_not_name_stay(spark):
+    contract = DimContract.from_modes("dim_x", "sk", ["k"], {"a": INSERT})
+    first = dimension.load_dimension(None, spark.createDataFrame([(1, "x"), (2, "y")], "k int, a string"), contract, day(0), RUN)
+    dim = written(first.withColumn("email", F.concat(F.lit("m"), "k")), scratch_path(spark, "dim"))
+    stage = spark.createDataFrame([(1, "z"), (3, "n")], "k int, a string")
+    out = dimension.load_dimension(dim, stage, contract, day(3), RUN)
+    assert out.columns == dim.columns
+    got = {(r.k, r.a): r.email for r in out.collect()}
+    assert got == {(1, "x"): "m1", (1, "z"): None, (2, "y"): "m2", (3, "n"): None}

@@ -3,10 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
-from starloom.operators import marts, quality, rows
+from starloom.operators import aggregate, marts, quality, rows
 from starloom.operators.joins import merge_rows
 from starloom.operators.sequence import add_sequence
 from starloom.sinks.writers import json_blocks
+from starloom.sources.readers import Field, read_csv
 
 
 def test_series_are_whole_and_limits_take_the_newest(spark):
@@ -50,3 +51,17 @@ def test_merge_rows_with_null_and_repeated_keys(spark):
 def test_json_keeps_null_fields(spark):
     df = spark.createDataFrame([(1, None)], "id int, s string")
     assert json_blocks(df, {"id": "id", "s": "s"}, ["id"]).first().json_output == '{"data":[{"id":1,"s":null}]}'
+
+
+def test_zero_has_no_sign_among_distinct_values(spark):
+    df = spark.createDataFrame([(0.0,), (-0.0,), (1.5,), (None,)], "x double")
+    for approximate in (None, 0.05):
+        assert [tuple(r) for r in aggregate.distinct_counts(df, ["x"], approximate).collect()] == [("x", 4, 2)]
+
+
+def test_csv_groups_and_small_numbers(spark, tmp_path):
+    path = tmp_path / "n.csv"
+    path.write_text("a;b\n1.234;0,000000000012\n-12.345.678;1.234,5\n12.34;x\n7;\n")
+    fields = [Field("a", "Integer"), Field("b", "Number")]
+    got = [tuple(r) for r in read_csv(spark, str(path), fields, separator=";").collect()]
+    assert got == [(1234, 0.000000000012), (-12345678, 1234.5), (None, None), (7, None)]

@@ -104,7 +104,7 @@ def test_json_blocks(spark, tmp_path):
     lines = [json.loads(r[0]) for r in spark.read.text(path).collect()]
     lines.sort(key=lambda d: d["rows"][0]["key"])
     assert lines == [
-        {"rows": [{"key": 0, "value": 0}, {"key": 1}]},
+        {"rows": [{"key": 0, "value": 0}, {"key": 1, "value": None}]},
         {"rows": [{"key": 2, "value": 20}, {"key": 3, "value": 30}]},
         {"rows": [{"key": 4, "value": 40}]},
     ]
