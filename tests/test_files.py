@@ -140,6 +140,6 @@ def test_marts_refuse_load_dates_and_share_the_whole(spark):
     with pytest.raises(ValueError):
         marts.time_series(df, "fecha_carga")
     got = marts.distribution(df, "c").collect()
-    assert len(got) == 100 and abs(got[0]["share"] - 2 / 300) < 1e-12
+    assert len(got) == 150 and abs(got[0]["share"] - 2 / 300) < 1e-12
     assert marts.chart_kind(15) == "pie" and marts.chart_kind(16) == "bar"
     assert marts.business_categories(["ciudad", "moneda", "id_x", "estado"]) == ["ciudad"]
