@@ -41,6 +41,9 @@ ASIDE = re.compile(
     r"(?=$|[\s_-])",
     re.I,
 )
+#: Elements that name the article, and those a content path ends in without them: what is below others is part of a text.
+NAMED = ("article", "main")
+CONTAINERS = frozenset((*NAMED, "html", "body", "div", "section", "center"))
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
@@ -121,7 +124,8 @@ def _mark(tag: str, attributes: str) -> tuple[str, bool]:
     aside = tag in SKIPPED or "hidden" in own or own.get("aria-hidden") == "true" or own.get("role", "").lower() in ROLES or "display:none" in own.get("style", "").replace(" ", "").lower()
     if tag not in ("html", "body", "article", "main") and named and ASIDE.search(named):
         aside = True
-    return f"{tag}.{re.sub(r'[0-9]+', '', named).lower()}" if named else tag, aside
+    # Slashes and line ends separate marks and paths.
+    return f"{tag}.{re.sub(r'[/\s]+', ' ', re.sub(r'[0-9]+', '', named)).lower()}" if named else tag, aside
 
 
 # ---------------------------------------------------------------- wrappers
@@ -185,8 +189,9 @@ def induce(pages: list[str]) -> tuple[str, list[str]]:
     """(path of the content, its constant texts) from different pages of a host.
 
     Every page is aligned with the first one. A text of the first page that each other page has at the matched place is
-    constant: template. All other text is a slot. The content is the element below which most slot text lies that no
-    element beside the article holds; without elements of such a name, the smallest one that holds nearly all of it.
+    constant: template. All other text is a slot. The content is every article or main element with slot text on any of the
+    pages, as paths joined by line ends; where these elements hold little of it, the smallest container that holds all slot
+    text of all pages which no element beside the article holds.
     """
     trees = [parse(x) for x in pages]
     if not trees:
@@ -199,25 +204,21 @@ def induce(pages: list[str]) -> tuple[str, list[str]]:
                 same[id(one)] += 1
     others = len(trees) - 1
     constant = {id(n) for _, n in _walk(first) if not n.tag and others + 1 >= LEAST_PAGES and same[id(n)] == others}
+    template = {_tidy(n.text) for _, n in _walk(first) if id(n) in constant}
+    pages_texts = [list(_texts(t)) for t in trees]
+    slots = [(at, text) for texts in pages_texts for at, text in texts if text not in template]
     mass: Counter[str] = Counter()
-
-    def weigh(node: Node, path: str) -> int:
-        if node.aside:
-            return 0
-        own = 0
-        for c in node.children:
-            if c.tag:
-                own += weigh(c, f"{path}/{c.mark}")
-            elif id(c) not in constant:
-                own += len(_tidy(c.text))
-        mass[path] += own
-        return own
-
-    total = weigh(first, "")
-    named = [p for p in mass if p.rsplit("/", 1)[-1].split(".")[0] in ("article", "main") and mass[p] >= 0.3 * total]
-    near = [p for p in mass if mass[p] >= 0.8 * total and (not p or p.rsplit("/", 1)[-1].split(".")[0] in BLOCKS - {"p", "br", "h1", "h2", "h3"})]
-    path = min(named, key=lambda p: (-mass[p], -p.count("/"), p)) if named else max(near, key=lambda p: (p.count("/"), p), default="")
-    inside = [n for at, n in _walk(first) if (at == path or at.startswith(f"{path}/")) and not n.tag]
+    for at, text in slots:
+        if (outer := _outermost(at)) is not None:
+            mass[outer] += len(text)
+    if mass and sum(mass.values()) >= 0.3 * sum(len(text) for _, text in slots):
+        path = "\n".join(sorted(mass))
+    else:
+        # Copies of one article differ in a few words; the article is not only these.
+        alike = sum(len(text) for _, text in pages_texts[0] if text in template)
+        path = _above([at for at, _ in (slots if 2 * alike <= sum(len(text) for _, text in pages_texts[0]) else sum(pages_texts, []))])
+    paths = path.split("\n")
+    inside = [n for at, n in _walk(first) if not n.tag and any(at.startswith(f"{p}/") for p in paths)]
     texts = sorted({_tidy(n.text) for n in inside if id(n) in constant})
     # Pages that agree on most of their content are copies of one article; they say nothing of the template.
     if 2 * sum(map(len, texts)) > sum(len(_tidy(n.text)) for n in inside):
@@ -225,6 +226,38 @@ def induce(pages: list[str]) -> tuple[str, list[str]]:
     return path, texts
 
 
+def _texts(tree: Node) -> Iterator[tuple[str, str]]:
+    """(path of the element, text) of all texts that no element beside the article holds."""
+    stack = [("", tree)]
+    while stack:
+        at, node = stack.pop()
+        for c in node.children:
+            if c.tag:
+                if not c.aside:
+                    stack.append((f"{at}/{c.mark}", c))
+            elif text := _tidy(c.text):
+                yield at, text
+
+
+def _outermost(path: str) -> str | None:
+    """The path up to its first article or main element."""
+    marks = path.split("/")
+    ends = [i for i, mark in enumerate(marks) if mark.split(".")[0] in NAMED]
+    return "/".join(marks[: ends[0] + 1]) if ends else None
+
+
+def _above(paths: list[str]) -> str:
+    """The longest path to a container that all paths start with."""
+    if not paths:
+        return ""
+    # The first and last in order differ earliest.
+    low, high = min(marks := [p.split("/") for p in paths]), max(marks)
+    shared = next((i for i, (x, y) in enumerate(zip(low, high)) if x != y), min(len(low), len(high)))
+    while shared > 1 and low[shared - 1].split(".")[0] not in CONTAINERS:
+        shared -= 1
+    return "/".join(low[:shared])
+
+
 def extract(source: str | None, path: str = "", constant: frozenset[str] = frozenset()) -> str:
     """The article's blocks, joined by newlines: below the wrapper's path, or else what looks like the article."""
     if not source:
@@ -240,10 +273,18 @@ def extract(source: str | None, path: str = "", constant: frozenset[str] = froze
 
 
 def _at(tree: Node, path: str) -> list[Node]:
-    nodes = [tree]
-    for mark in path.split("/")[1:]:
-        nodes = [c for n in nodes for c in n.children if c.mark == mark and not c.aside]
-    return nodes
+    """Elements at any of the paths in page order; where these are articles, also those that no sample page had."""
+    wanted = set(path.split("\n"))
+    named = any(_outermost(p) == p for p in wanted)
+    onward = {p[:i] for p in wanted for i, c in enumerate(p) if c == "/"}
+    out, stack = [], [("", tree)]
+    while stack:
+        at, node = stack.pop()
+        if at in wanted or (named and node.tag in NAMED):
+            out.append(node)
+        elif named or at in onward:
+            stack += [(f"{at}/{c.mark}", c) for c in reversed(node.children) if c.tag and not c.aside]
+    return out
 
 
 def _named(tree: Node, tag: str) -> list[Node]:
