@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import re
+import sys
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -13,15 +15,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starloom.llm.common import prepare
+from starloom.session import barrier
 
-#: Pages of a host that its wrapper is induced from, those with the smallest hash of their text, all different.
+#: Pages of a host that its wrapper is induced from: of four times as many different ones, those with the smallest hash of
+#: their text, the ones of middle length.
 SAMPLE_PAGES = 6
 #: Pages that must agree on a text for it to be template.
 LEAST_PAGES = 3
-#: Children of a node that take part in an alignment; longer lists are aligned by their head and tail.
+#: Children of a node that are aligned at once; longer lists are cut where both have an equal child, and into stretches.
 ALIGNED_CHILDREN = 40
-#: Characters of a page beyond which it is no sample; it is extracted whole all the same.
+#: Characters of a page beyond which it is a sample only if its host has too few shorter ones, the shortest first.
 SAMPLE_CHARS = 60_000
+#: Elements inside each other that an alignment can follow.
+DEEPEST = 1_000_000
 
 # Fixed values of the markup language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -141,7 +147,15 @@ def aligned(one: Node, two: Node) -> list[tuple[Node, Node]]:
 
 
 def _match(one: Node, two: Node) -> tuple[int, list[tuple[Node, Node]]]:
-    left, right = _ends(one.children), _ends(two.children)
+    size, pairs = 1, [(one, two)]
+    for left, right in _stretches(_own(one), _own(two)):
+        more, found = _best(left, right)
+        size += more
+        pairs += found
+    return size, pairs
+
+
+def _best(left: list[Node], right: list[Node]) -> tuple[int, list[tuple[Node, Node]]]:
     best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
     found: dict[tuple[int, int], list[tuple[Node, Node]]] = {}
     for i, a in enumerate(left, 1):
@@ -164,13 +178,57 @@ def _match(one: Node, two: Node) -> tuple[int, list[tuple[Node, Node]]]:
         else:
             pairs += found[i, j]
             i, j = i - 1, j - 1
-    return best[-1][-1] + 1, [(one, two), *pairs]
+    return best[-1][-1], pairs
+
+
+def _own(node: Node) -> list[Node]:
+    return [c for c in node.children if c.tag or c.text.strip()]
 
 
-def _ends(children: list[Node]) -> list[Node]:
-    own = [c for c in children if c.tag or c.text.strip()]
-    half = ALIGNED_CHILDREN // 2
-    return own if len(own) <= ALIGNED_CHILDREN else own[:half] + own[-half:]
+def _stretches(left: list[Node], right: list[Node]) -> Iterator[tuple[list[Node], list[Node]]]:
+    """Stretches of two lists of children that are aligned with each other; together they are the whole lists.
+
+    Short lists are one stretch. Others are cut at a longest common sequence of equal children, where the n-th child of some
+    mark and text is equal to the n-th such child of the other list, and in between into as many parts of either list.
+    """
+    if max(len(left), len(right)) <= ALIGNED_CHILDREN:
+        yield left, right
+        return
+    places = {key: j for j, key in enumerate(_numbered(right))}
+    # The longest rising sequence of places: tails of sequences by length, and each one's predecessor.
+    tails: list[int] = []
+    ends: list[int] = []
+    before: dict[int, int] = {}
+    at: dict[int, int] = {}
+    for i, key in enumerate(_numbered(left)):
+        if (j := places.get(key)) is not None:
+            at[i] = j
+            n = bisect_left(tails, j)
+            tails[n : n + 1], ends[n : n + 1] = [j], [i]
+            before[i] = ends[n - 1] if n else -1
+    cuts, i = [], ends[-1] if ends else -1
+    while i >= 0:
+        cuts.append((i, at[i]))
+        i = before[i]
+    x = y = 0
+    for i, j in [*reversed(cuts), (len(left), len(right))]:
+        parts = -(-max(i - x, j - y) // ALIGNED_CHILDREN)
+        for k in range(parts):
+            yield left[x + (i - x) * k // parts : x + (i - x) * (k + 1) // parts], right[y + (j - y) * k // parts : y + (j - y) * (k + 1) // parts]
+        if i < len(left):
+            yield [left[i]], [right[j]]
+        x, y = i + 1, j + 1
+
+
+def _numbered(nodes: list[Node]) -> list[tuple[str, str, int]]:
+    """(mark, whole text, how many nodes before have both) of each node."""
+    seen: Counter[tuple[str, str]] = Counter()
+    out = []
+    for node in nodes:
+        key = node.mark, _tidy(" ".join(n.text for _, n in _walk(node) if not n.tag))
+        out.append((*key, seen[key]))
+        seen[key] += 1
+    return out
 
 
 def _walk(node: Node, path: str = "") -> Iterator[tuple[str, Node]]:
@@ -341,22 +399,26 @@ def host_of(url: str = "url") -> Column:
 
 
 def induce_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, path, constant): one row per host, from a bounded sample of its pages.
+    """(host, path, constant): one row per host, from a bounded sample of its different pages.
 
-    The sample is the first rows by hash in each host; a window that keeps so few rows drops the others before the
-    shuffle, so a host with a third of all pages sends no more than SAMPLE_PAGES rows from each task.
+    Pages are picked by their hashes and lengths alone, after an aggregate that leaves one row of equal pages; a window that
+    keeps few rows drops the others before the shuffle, so a host with a third of all pages sends no more than
+    4 * SAMPLE_PAGES rows from each task. Only the texts of the picked pages are shuffled.
     """
     html_text = F.col("html").cast("string")
-    usable = pages.select(host_of().alias("host"), html_text.alias("html")).filter("html IS NOT NULL AND html <> '' AND host <> ''").filter(F.length("html") <= SAMPLE_CHARS)
-    order = Window.partitionBy("host").orderBy(F.xxhash64("html"), "html")
-    # Equal pages follow each other; more rows are taken than needed so that different ones are left.
-    sample = usable.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= 4 * SAMPLE_PAGES).select("host", "html")
+    usable = pages.select(host_of().alias("host"), html_text.alias("html")).filter("html IS NOT NULL AND html <> '' AND host <> ''").withColumn("hash", F.xxhash64("html"))
+    different = usable.groupBy("host", "hash").agg(F.min(F.length("html")).alias("chars"))
+    order = Window.partitionBy("host").orderBy(F.greatest("chars", F.lit(SAMPLE_CHARS)), "hash")
+    first = different.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= 4 * SAMPLE_PAGES)
+    # Pages of middle length align best: short and very long ones lack or add parts.
+    middle = F.greatest(F.lit(0), F.floor((F.count(F.lit(1)).over(Window.partitionBy("host")) - SAMPLE_PAGES) / 2))
+    placed = first.withColumn("place", F.row_number().over(Window.partitionBy("host").orderBy("chars", "hash")) - middle)
+    picked = barrier(placed.filter(F.col("place").between(1, SAMPLE_PAGES)).select("host", "hash", "place"), "page-samples")
+    sample = usable.join(picked, ["host", "hash"]).groupBy("host", "place").agg(F.min("html").alias("html"))
 
     def induced(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        different = sorted(set(rows["html"]), key=lambda x: (len(x), x))
-        # Pages of middle length align best: short and very long ones lack or add parts.
-        middle = max(0, (len(different) - SAMPLE_PAGES) // 2)
-        path, constant = induce(different[middle : middle + SAMPLE_PAGES])
+        sys.setrecursionlimit(DEEPEST)
+        path, constant = induce(list(rows.sort_values("place")["html"]))
         return pd.DataFrame({"host": [key[0]], "path": [path], "constant": [constant]})
 
     return sample.groupBy("host").applyInPandas(induced, "host string, path string, constant array<string>")

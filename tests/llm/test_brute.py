@@ -202,6 +202,33 @@ def test_wrapper_keeps_all_of_the_content():
     assert extract.extract(copies[0], path, frozenset(constant)) == f"ab\n{('same ' * 50).strip()}"
 
 
+def test_wrapper_aligns_long_lists():
+    def page(x, n):
+        body = [f"<p>{x} {i} {x * 5}</p>" for i in range(n)]
+        return f"<article>{''.join(body[: n // 2])}<p>Subscribe now</p>{''.join(body[n // 2 :])}</article>"
+
+    pages = [page(x, n) for x, n in (("ab", 70), ("cd", 90), ("ef", 81), ("gh", 130))]
+    path, constant = extract.induce(pages)
+    assert constant == ["Subscribe now"] and extract.extract(pages[0], path, frozenset(constant)).count("\n") == 69
+    left, right = ([extract.Node("p", "p", aside=False) for _ in range(n)] for n in (95, 41))
+    cut = list(extract._stretches(left, right))
+    assert sum((a for a, _ in cut), []) == left and sum((b for _, b in cut), []) == right
+
+
+@pytest.mark.parametrize("copies,words", [(30, 60), (1, 20_000)])
+def test_wrapper_samples_different_pages(spark, copies, words):
+    texts = [f"<article><p>Share this page</p><p>{x * words}</p></article>" for x in ("ab ", "cd ", "ef ", "gh ")]
+    df = spark.createDataFrame([(i, f"http://a.b/{i}", t) for i, t in enumerate(texts * copies)], "page_id long, url string, html string")
+    out = {r.page_id: r.text for r in extract.extract_pages(df).collect()}
+    assert len(out) == 4 * copies and out[0] == ("ab " * words).strip() and not any("Share" in x for x in out.values())
+
+
+def test_wrapper_of_deep_pages(spark):
+    texts = [f"<article><p>Share this page</p>{'<b>' * 3000}<p>{x * 60}</p></article>" for x in ("ab ", "cd ", "ef ")]
+    df = spark.createDataFrame([(i, "http://a.b/c", t) for i, t in enumerate(texts)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in extract.extract_pages(df).collect()}[0] == ("ab " * 60).strip()
+
+
 @pytest.mark.parametrize("name,column,least", [("op5_language", "lang", 0.9), ("op6_compression_quality", "quality", 0.85), ("op10_toxicity", "toxic", 0.85)])
 def test_held_out_accuracy(spark, name, column, least):
     sf = "/root/testdata/sf0.01"
