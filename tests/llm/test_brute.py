@@ -164,6 +164,12 @@ def test_variable_fields_generalise(spark):
     assert out[0].n_dropped == 0 and all(out[i].text == f"own line number {chr(97 + i)} here" for i in range(1, 5) if i)
 
 
+def test_short_lines_recur(spark):
+    df = spark.createDataFrame([(i, f"{'abcd'[i]} text of its own\nRead more\nShare\n\n \t") for i in range(4)], "doc_id long, text string")
+    out = {r.doc_id: r for r in line_templates.drop_recurring_lines(df, least_tokens=1).collect()}
+    assert out[0].n_dropped == 0 and all(out[i].text == f"{'abcd'[i]} text of its own\n\n \t" and out[i].n_dropped == 2 for i in (1, 2, 3))
+
+
 def test_grammar_matches_clauses():
     rows = [(f"you are {x} idiot {y}", 1) for x in "abcdefgh" for y in "klmnop"] + [(f"you are {x} friend {y}", 0) for x in "abcdefgh" for y in "klmnop"]
     model = toxicity.ToxicityModel(rows)
