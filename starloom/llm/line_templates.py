@@ -30,6 +30,10 @@ def _lines(docs: DataFrame) -> DataFrame:
     return cut.select("doc_id", "version", "line", masked.alias("tokens"))
 
 
+def _whole(tokens: Column) -> Column:
+    return F.concat_ws(" ", F.size(tokens).cast("string"), tokens)
+
+
 def _templates(tokens: Column, least_tokens: int = LEAST_TOKENS) -> Column:
     """The templates of a line (null if it has too few tokens): its tokens, and for long lines its tokens with one section left open.
 
@@ -44,36 +48,42 @@ def _templates(tokens: Column, least_tokens: int = LEAST_TOKENS) -> Column:
         end = F.lit(DEPTH) + F.floor(((section + 1) * rest + SECTIONS - 1) / SECTIONS).cast("int")
         return F.concat_ws(" ", count.cast("string"), F.slice(tokens, 1, start), F.lit(_VARIABLE), section.cast("string"), F.slice(tokens, end + 1, count))
 
-    whole = F.array(F.concat_ws(" ", count.cast("string"), tokens))
+    whole = F.array(_whole(tokens))
     return F.when(count >= OPEN_TOKENS, F.concat(whole, F.transform(F.sequence(F.lit(0), F.lit(SECTIONS - 1)), opened))).when(count >= max(least_tokens, 1), whole)
 
 
-def recurring_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, least_tokens: int = LEAST_TOKENS) -> DataFrame:
+def recurring_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, least_tokens: int = LEAST_TOKENS, pair_tokens: int | None = None) -> DataFrame:
     """doc_id, version, lines: numbers of the lines whose template recurs and was in an earlier document.
 
     Templates of several documents are found by a pre-aggregated grouping, so a line in a third of all documents is one row
     per task; the joins back with the templates are ones that split.
     """
     # The outer form: explode makes Spark filter empty arrays beforehand, which works out the whole array once more.
-    keys = _lines(docs).select("doc_id", "version", "line", F.explode_outer(_templates(F.col("tokens"), least_tokens)).alias("template")).filter("template IS NOT NULL")
-    hashed = barrier(keys.select("doc_id", "version", "line", F.xxhash64("template").alias("k1"), F.xxhash64(F.lit("second"), "template").alias("k2")), "line-templates")
+    cut = _lines(docs).select("doc_id", "version", "line", *([] if pair_tokens is None else ["tokens"]), F.explode_outer(_templates(F.col("tokens"), least_tokens)).alias("template"))
+    pair = [] if pair_tokens is None else [((F.size("tokens") >= pair_tokens) & (F.col("template") == _whole(F.col("tokens")))).alias("pair")]
+    keys = cut.filter("template IS NOT NULL").select("doc_id", "version", "line", F.xxhash64("template").alias("k1"), F.xxhash64(F.lit("second"), "template").alias("k2"), *pair)
+    hashed = barrier(keys, "line-templates")
     # Most templates are in one document; only rows of the others go on.
     shared = hashed.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
     again = barrier(hashed.join(shared.select("k1", "k2", "first"), ["k1", "k2"]), "shared-templates")
-    in_docs = again.select("k1", "k2", "doc_id").distinct()
-    known = in_docs.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= least_docs)
+    # What is still there is in two documents at least.
+    own = ["k1", "k2", "pair"] if pair else ["k1", "k2"]
+    in_docs = again.select(*own, "doc_id").distinct()
+    enough = F.col("docs") >= least_docs
+    known = in_docs.groupBy(*own).agg(F.count(F.lit(1)).alias("docs")).filter(enough | F.col("pair") if pair else enough)
     again = again.join(known.select("k1", "k2"), ["k1", "k2"]).filter(F.col("doc_id") != F.col("first"))
     return again.groupBy("doc_id", "version").agg(F.collect_set("line").alias("lines"))
 
 
-def drop_recurring_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, least_tokens: int = LEAST_TOKENS) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, least_tokens: int = LEAST_TOKENS, pair_tokens: int | None = None) -> DataFrame:
     """doc_id, n_lines, n_dropped and text of every row, without lines whose template recurs.
 
     Lines are what ``\\n`` separates, tokens what ASCII white space separates; a token with a digit is a variable field. A
     template is a line with variable fields, and for lines of OPEN_TOKENS or more also the line with one of SECTIONS
     sections of its tokens left open, so lines that differ in neighbouring fields generalise to one template. Templates
     in ``least_docs`` documents or more recur; the document with the smallest id keeps its lines, all others lose them.
-    Lines with fewer than ``least_tokens`` tokens have no template and stay; 1 covers every line that has a token.
+    Whole lines of ``pair_tokens`` tokens or more recur from two documents on, if that is given. Lines with fewer than
+    ``least_tokens`` tokens have no template and stay; 1 covers every line that has a token.
 
     A null text gives null and no lines, an empty text one line. Rows with a null doc_id keep all lines and count for no
     template. Repeated rows are one document; rows with one id and several texts too, each with its own lines. Other
@@ -81,7 +91,7 @@ def drop_recurring_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, least_to
     """
     prepare(docs.sparkSession)
     own = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    gone = recurring_lines(own.filter("doc_id IS NOT NULL AND text IS NOT NULL"), least_docs, least_tokens)
+    gone = recurring_lines(own.filter("doc_id IS NOT NULL AND text IS NOT NULL"), least_docs, least_tokens, pair_tokens)
     all_rows = own.withColumn("version", F.xxhash64("text"))
     joined = all_rows.join(gone, ["doc_id", "version"], "left")
     lines = F.split("text", "\n")

@@ -170,6 +170,14 @@ def test_short_lines_recur(spark):
     assert out[0].n_dropped == 0 and all(out[i].text == f"{'abcd'[i]} text of its own\n\n \t" and out[i].n_dropped == 2 for i in (1, 2, 3))
 
 
+def test_long_lines_recur_in_two_documents(spark):
+    passage, other = (" ".join(f"{w}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)) for w in "xy")
+    # Lines that only agree in all sections but one are no pair.
+    data = [(1, f"{passage}\none short line"), (2, f"own\n{passage}\none short line"), (3, f"{other} one"), (4, f"{other} two")]
+    out = {r.doc_id: r for r in line_templates.drop_recurring_lines(spark.createDataFrame(data, "doc_id long, text string"), pair_tokens=50).collect()}
+    assert out[2].text == "own\none short line" and [out[i].n_dropped for i in (1, 2, 3, 4)] == [0, 1, 0, 0]
+
+
 def test_grammar_matches_clauses():
     rows = [(f"you are {x} idiot {y}", 1) for x in "abcdefgh" for y in "klmnop"] + [(f"you are {x} friend {y}", 0) for x in "abcdefgh" for y in "klmnop"]
     model = toxicity.ToxicityModel(rows)
