@@ -107,17 +107,18 @@ def benchmark_windows(benchmark: DataFrame, size: int) -> DataFrame:
                 windows += found
             yield pa.RecordBatch.from_arrays([pa.array(windows, pa.binary()), pa.array(ids, pa.string())], names=["words", "item"])
 
-    rows = benchmark.filter("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
+    # The set of ids has no null: windows of items without an id alone have an empty one.
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(batches, "words binary, item string").groupBy("words").agg(F.collect_set("item").alias("items"))
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """doc_id, n_words, spans (word positions, the end excluded) and items (sorted ids) of every row of ``docs``.
+    """doc_id, key (md5 of the text), n_words, spans (word positions, the end excluded) and items (sorted ids) of every row of ``docs``.
 
     The windows of ``benchmark`` (item_id, text) are the stated query set. They are searched for in every document, at
     most PASS_WINDOWS of them in one pass over the documents; what the passes find is put together per row. A window is
     ``size`` consecutive words, an item of fewer words is one window, an item without words has none. Items without an id
-    are left out. Null or empty texts have no words. Repeated rows are separate rows. Other columns are ignored.
+    are searched for like others, and not among the ids found. Null or empty texts have no words. Repeated rows are separate rows. Other columns are ignored.
     """
     spark = prepare(docs.sparkSession)
     windows = benchmark_windows(benchmark, size)
@@ -136,7 +137,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
             F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("copies").alias("copies")
         )
         found = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return found.select("doc_id", "n_words", "spans", "items")
+    return found.select("doc_id", "key", "n_words", "spans", "items")
 
 
 _FOUND = "doc_id long, key binary, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
@@ -193,8 +194,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """The rows of ``docs`` without any word of a benchmark passage, all columns.
 
-    The search answers with ids of hit documents, which are a small part of all; rows with a null doc_id can't be named
-    by an id and stay.
+    The search answers with ids and text digests of hit rows, which are a small part of all. Rows go by both, so one with a
+    null doc_id goes as well, and of several texts with one id only those with a passage go.
     """
-    hit = contamination(docs, benchmark, size).filter("contaminated AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_hit_id")).distinct()
-    return docs.join(hit, F.col("doc_id") == F.col("_hit_id"), "left_anti")
+    hit = find_passages(docs, benchmark, size).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_hit_id"), F.col("key").alias("_hit_key")).distinct()
+    own = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_hit_id")) & (own == F.col("_hit_key")), "left_anti")

@@ -125,6 +125,17 @@ def test_token_files_hold_the_library_ids(spark):
     assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in got} == want
 
 
+def test_contaminated_rows_go_one_by_one(spark):
+    passage, nameless = (" ".join(f"{w}{chr(97 + i)}" for i in range(12)) for w in "xy")
+    benchmark = spark.createDataFrame([(1, passage), (None, nameless)], "item_id long, text string")
+    data = [(1, passage), (1, "a clean text"), (None, f"so {passage}"), (None, "another clean text"), (2, f"so {nameless}"), (3, None), (3, passage), (None, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    left = decontaminate.drop_contaminated(df, benchmark).collect()
+    assert sorted(map(str, left)) == sorted(map(str, df.filter("text IS NULL OR text LIKE '%clean%'").collect()))
+    row = decontaminate.contamination(df, benchmark).filter("doc_id = 2").collect()[0]
+    assert row.contaminated and row.n_hit == 12 and row.n_items == 0
+
+
 def test_rule_counts(spark):
     rng = random.Random(5)
     texts = documents(4, 60) + ["a\nb\na\n\n\n", "x " * 30, "the&&& <b> $5 #1\nthe&&& <b> $5 #1\n \nq"]
