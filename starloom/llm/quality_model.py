@@ -18,8 +18,6 @@ from starloom.llm.linear import logistic, probability
 TRAIN_DOCS = 1_600
 #: Bytes of a piece; a text is compressed piece by piece, so that a dictionary counts as much at its end as at its start.
 PIECE_BYTES = 2_048
-#: Pieces that one document gives to a dictionary at most.
-SAMPLE_PIECES = 40
 DICTIONARY_BYTES = 65_536
 LEVEL = 3
 #: Scores from here on are predicted as good.
@@ -73,7 +71,7 @@ class CompressionModel:
 
 
 def _dictionary(texts: list[str]) -> bytes:
-    samples = [x for t in texts for x in pieces(t)[:SAMPLE_PIECES]]
+    samples = [x for t in texts for x in pieces(t)]
     if sum(map(len, samples)) < 4 * DICTIONARY_BYTES or len(samples) < 16:
         return b"".join(samples)[-DICTIONARY_BYTES:] if sum(map(len, samples)) >= 64 else b""
     return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()

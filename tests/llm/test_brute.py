@@ -9,7 +9,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from starloom.llm import decontaminate, extract, line_templates, mixing, near_dup, quality_rules, token_store, toxicity
+from starloom.llm import decontaminate, extract, line_templates, mixing, near_dup, quality_model, quality_rules, token_store, toxicity
 from starloom.llm.queries import ORACLES, QUERIES, tokenizer_path
 from compare import connect, differences
 
@@ -254,6 +254,15 @@ def test_wrapper_of_deep_pages(spark):
     assert {r.page_id: r.text for r in extract.extract_pages(df).collect()}[0] == ("ab " * 60).strip()
 
 
+def test_dictionary_learns_from_whole_texts():
+    rng = random.Random(3)
+    end = " ".join(rng.choice(WORDS) + rng.choice("abcdefgh") for _ in range(300))
+    texts = ["".join(rng.choice("0123456789") for _ in range(41 * quality_model.PIECE_BYTES)) + end for _ in range(8)]
+    held = quality_model.zstandard.ZstdCompressionDict(quality_model._dictionary(texts))
+    size = lambda **x: len(quality_model.zstandard.ZstdCompressor(level=3, **x).compress(end.encode()))
+    assert 2 * size(dict_data=held) < size()
+
+
 @pytest.mark.parametrize("name,column,least", [("op5_language", "lang", 0.9), ("op6_compression_quality", "quality", 0.85), ("op10_toxicity", "toxic", 0.85)])
 def test_held_out_accuracy(spark, name, column, least):
     sf = "/root/testdata/sf0.01"
