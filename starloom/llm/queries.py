@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from starloom.llm import decontaminate, extract, langid, line_templates, mixing, near_dup, quality_model, quality_rules, toxicity
+from starloom.llm import decontaminate, divergence, extract, langid, line_templates, mixing, near_dup, quality_model, quality_rules, secret_scan, spelling, toxicity
 from starloom.llm.common import table
 from starloom.llm.token_store import token_digest
 from starloom.session import scratch_path
@@ -128,3 +128,18 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@_query("op11_source_divergence", divergence.DIVERGENCE_SQL)
+def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+@_query("op12_spelling_variants", spelling.SPELLING_SQL)
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
+@_query("op13_secrets")
+def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets_digest(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
