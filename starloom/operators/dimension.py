@@ -14,6 +14,7 @@ from starloom.contracts import MAX_DATE, MIN_DATE, DimContract
 from starloom.functions.casting import literal, utc_now
 from starloom.operators.intervals import interval_lookup
 from starloom.operators.joins import LookupValue, not_exists_in
+from starloom.operators.keyfilter import split_by_keys
 from starloom.operators.ordered import SplitPolicy, lag_lead, running, split_points
 from starloom.operators.sequence import with_index
 from starloom.session import barrier
@@ -37,9 +38,12 @@ def load_dimension(
     ref_date: str | dt.datetime,
     run_time: dt.datetime | None = None,
     policy: SplitPolicy = SplitPolicy(),
+    highest_key: int | None = None,
 ) -> DataFrame:
     """Apply staged rows to a dimension and return the new dimension.
 
+    ``highest_key`` is the highest technical key in use where ``dim`` is only a part of the dimension.
+
     ``ref_date`` is the stage column with the date each row takes effect, or one date for the batch.
     A key may have several rows with different dates; they act in date order. Rows with a NULL
     natural key belong to the unknown member and are not loaded. A row dated before the open version
@@ -76,7 +80,8 @@ def load_dimension(
     if dim is not None:
         unknown = dim.where(F.col(c.technical_key) == c.unknown_key_value)
         known = dim.where(F.col(c.technical_key) != c.unknown_key_value)
-        highest = max(dim.agg(F.max(c.technical_key)).first()[0] or 0, highest)
+        last = dim.agg(F.max(c.technical_key)).first()[0] if highest_key is None else highest_key
+        highest = max(last or 0, highest)
         rows = known.select(
             *keys,
             *attributes,
@@ -183,6 +188,35 @@ def load_dimension(
     return apart.unionByName(kept).unionByName(added)
 
 
+def load_dimension_changes(
+    dim: DataFrame,
+    stage: DataFrame,
+    contract: DimContract,
+    ref_date: str | dt.datetime,
+    run_time: dt.datetime | None = None,
+    policy: SplitPolicy = SplitPolicy(),
+    highest_key: int | None = None,
+) -> DataFrame:
+    """:func:`load_dimension` for a batch that is small beside the dimension.
+
+    A bitmap of the staged keys tells the versions that the batch can't concern; these pass through without a
+    shuffle. Only the others, and the few that share a bit with a staged key, are shuffled and compared. The result is that
+    of :func:`load_dimension`; versions that pass through are not looked at for errors.
+    """
+    c = contract
+    if highest_key is None:
+        highest_key = dim.agg(F.max(c.technical_key)).first()[0] or 0
+    known = dim.where(F.col(c.technical_key) != c.unknown_key_value)
+    unknown = dim.where(F.col(c.technical_key) == c.unknown_key_value)
+    concerned, apart = split_by_keys(known, stage, list(c.natural_keys))
+    loaded = load_dimension(barrier(concerned, f"{c.table}-concerned"), stage, c, ref_date, run_time, policy, highest_key)
+    still = {n: F.coalesce(F.col(c.date_to) >= literal(MAX_DATE), F.lit(False)) for n, m in c.technical_columns.items() if m == "LastVersion"}
+    same = [still.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in loaded.schema]
+    # The unknown member keeps what it has.
+    kept = [F.col(f.name).cast(f.dataType).alias(f.name) for f in loaded.schema]
+    return unknown.select(*kept).unionByName(apart.select(*same)).unionByName(loaded)
+
+
 def _with_punch(rows: DataFrame, keys: list[str], names: Sequence[str], place: Column, whole_groups: bool) -> DataFrame:
     """Add ``_punch``: the last values of ``names`` where a staged row of the key changed one."""
     values = F.struct(*names)

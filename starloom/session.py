@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings the operators count on; all of them are safe to change on a live session.
@@ -68,6 +69,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def hadoop_path(spark: SparkSession, path: str) -> tuple:
+    """(file system, path) of a path, as the JVM has them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def claim(spark: SparkSession, path: str) -> bool:
+    """Make an empty file. Of several drivers that try, exactly one gets True, at once and without waiting."""
+    fs, at = hadoop_path(spark, path)
+    fs.mkdirs(at.getParent())
+    try:
+        if fs.getUri().getScheme() == "file":
+            # Hadoop's local file system looks first and creates then; this is one step.
+            local = spark._jvm.java.io.File(at.toUri().getPath()).toPath()
+            spark._jvm.java.nio.file.Files.createFile(local, spark.sparkContext._gateway.new_array(spark._jvm.java.nio.file.attribute.FileAttribute, 0))
+        else:
+            fs.create(at, False).close()
+    except Py4JJavaError as failed:
+        if "AlreadyExists" not in failed.java_exception.getClass().getName() and not fs.exists(at):
+            raise
+        return False
+    return True
+
+
 def drop_scratch(spark: SparkSession) -> bool:
     """Delete this application's scratch tables, once every result that reads them is written."""
     root = spark._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
