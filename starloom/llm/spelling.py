@@ -62,7 +62,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
         yield flushed()
 
     counted = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string")).mapInArrow(count, "word string, n bigint")
-    return counted.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_TIMES)
+    # Dealt out by an explicit number, which adaptive execution keeps: words are few and small, but each makes a dozen keys.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return counted.repartition(parts, "word").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_TIMES)
 
 
 def bigram_weights(words: DataFrame) -> dict[str, int]:
