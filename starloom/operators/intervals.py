@@ -52,8 +52,10 @@ def last_started(side: DataFrame, keys: Sequence[str], closed: bool, cuts: Split
         ),
         "interval-blocks",
     )
-    top = winners.agg(F.max("_level")).first()[0] or 0
-    segments = ranked.select(*where, "_rank", F.explode(F.sequence(F.lit(0), F.lit(top))).alias("_level"))
+    # The levels that a key's blocks have, 63 at most.
+    used = winners.groupBy(*keys).agg(F.collect_set("_level").alias("_levels"))
+    own = ranked.join(used, keys) if keys else ranked.crossJoin(F.broadcast(used))  # without keys: one row
+    segments = own.select(*where, "_rank", F.explode("_levels").alias("_level"))
     segments = segments.withColumn("_block", F.expr("shiftright(_rank, _level)")).join(
         winners, [*keys, "_level", "_block"], "left"
     )
@@ -78,9 +80,10 @@ def interval_lookup(
     matches. An interval without an upper bound never matches. ``equal`` may be empty. Point and bounds are compared in the
     wider of their types.
 
-    The intervals become consecutive stretches with one answer each; rows and stretches are put in one order per key and
-    each row takes the last stretch that began before it, so rows are never paired with intervals and a large key is cut
-    into chunks.
+    Rows are never paired with intervals. A sorted pass over the intervals finds the keys where one lies inside another.
+    For the other keys rows and intervals are put in one order, and each row looks at the interval that started last. For
+    those keys the intervals become consecutive stretches with one answer each, which take the intervals' place in that
+    order. In both, a large key is cut into chunks.
     """
     names = list(dict.fromkeys(v.name for v in values))
     keys = _names(equal)
@@ -96,15 +99,7 @@ def interval_lookup(
     )
     for k in keys:
         side = side.where(F.col(k).isNotNull())
-    stretches = last_started(barrier(side, "intervals"), keys, closed, cuts)
-    # A row at a bound comes after the stretch that begins with it, and before one that begins just after it.
-    begins = stretches.select(
-        *keys,
-        "_at",
-        F.when(F.col("_after") == 0, 0).otherwise(2).alias("_kind"),
-        F.lit(0).cast("long").alias("_spread"),
-        F.struct("_values").alias("_stretch"),
-    )
+    side = barrier(side, "intervals")
     rows = stream.select(
         *[F.col(c).alias(k) for c, k in zip(equal, keys)],
         F.col(at).cast(kind).alias("_at"),
@@ -112,16 +107,59 @@ def interval_lookup(
         spread(stream).alias("_spread"),
         F.struct(*[F.col(c) for c in stream.columns]).alias("_row"),
     )
-    both = begins.unionByName(rows, allowMissingColumns=True)
-    carried = running(both, keys, ["_at", "_kind", "_spread"], lasts={"_found": F.col("_stretch")}, cuts=cuts)
+    nested = _nested_keys(side, keys, cuts)
+    if nested is None:
+        found = _last_started_answers(rows, side, keys, closed, cuts)
+    elif not keys:
+        found = _stretch_answers(rows, side, keys, closed, cuts)
+    else:
+        found = _last_started_answers(rows.join(nested, keys, "left_anti"), side.join(nested, keys, "left_anti"), keys, closed, cuts).unionByName(
+            _stretch_answers(rows.join(nested, keys, "left_semi"), side.join(nested, keys, "left_semi"), keys, closed, cuts)
+        )
     outputs = {v.output for v in values}
-    found = F.col("_found._values")
-    return carried.where(F.col("_kind") == 1).select(
+    answer = F.col("_answer")
+    return found.select(
         *[F.col(f"_row.{c}").alias(c) for c in stream.columns if c not in outputs],
         *[
-            F.when(found.isNotNull(), found[v.name])
+            F.when(answer.isNotNull(), answer[v.name])
             .otherwise(F.lit(v.default).cast(table.schema[v.name].dataType))
             .alias(v.output)
             for v in values
         ],
     )
+
+
+def _nested_keys(side: DataFrame, keys: Sequence[str], cuts: SplitPolicy) -> DataFrame | None:
+    """The keys with an interval that ends before one that started earlier; None without any."""
+    reach = running(side.select(*keys, "_place", "_upper"), keys, ["_place"], maxs={"_reach": F.col("_upper")}, cuts=cuts)
+    nested = barrier(reach.where("_reach > _upper").select(*(keys or [F.lit(True).alias("_any")])).distinct(), "nested-keys")
+    return nested if nested.take(1) else None
+
+
+def _last_started_answers(rows: DataFrame, side: DataFrame, keys: Sequence[str], closed: bool, cuts: SplitPolicy) -> DataFrame:
+    """Rows with their ``_answer``, for keys whose intervals end in the order in which they start.
+
+    There, once the interval that started last has ended, all earlier ones have, so it is the only candidate.
+    """
+    begins = side.select(*keys, F.col("_lower").alias("_at"), F.lit(0).alias("_kind"), "_place", F.struct("_upper", "_values").alias("_last"))
+    both = begins.withColumn("_spread", F.lit(0).cast("long")).unionByName(rows, allowMissingColumns=True)
+    carried = running(both, keys, ["_at", "_kind", "_place", "_spread"], lasts={"_found": F.col("_last")}, cuts=cuts)
+    end = F.col("_found._upper")
+    holds = (F.col("_at") <= end) if closed else (F.col("_at") < end)
+    return carried.where(F.col("_kind") == 1).select("_row", F.when(holds, F.col("_found._values")).alias("_answer"))
+
+
+def _stretch_answers(rows: DataFrame, side: DataFrame, keys: Sequence[str], closed: bool, cuts: SplitPolicy) -> DataFrame:
+    """Rows with their ``_answer``, for any intervals: the last stretch that began before the row."""
+    stretches = last_started(side, keys, closed, cuts)
+    # A row at a bound comes after the stretch that begins with it, and before one that begins just after it.
+    begins = stretches.select(
+        *keys,
+        "_at",
+        F.when(F.col("_after") == 0, 0).otherwise(2).alias("_kind"),
+        F.lit(0).cast("long").alias("_spread"),
+        F.struct("_values").alias("_stretch"),
+    )
+    both = begins.unionByName(rows, allowMissingColumns=True)
+    carried = running(both, keys, ["_at", "_kind", "_spread"], lasts={"_found": F.col("_stretch")}, cuts=cuts)
+    return carried.where(F.col("_kind") == 1).select("_row", F.col("_found._values").alias("_answer"))

@@ -64,7 +64,11 @@ def merge_join(
 
 
 def join_rows(left: DataFrame, right: DataFrame, condition: Column | str) -> DataFrame:
-    """Theta join: every pair of rows that meets the condition. An empty side gives an empty result."""
+    """Theta join: every pair of rows that meets the condition. An empty side gives an empty result.
+
+    Any condition will do, so all rows are paired; where it puts a value of one side between two of the other, use
+    :func:`starloom.operators.bands.band_join`.
+    """
     side = _free_names(left, right)
     return left.join(side, F.expr(condition) if isinstance(condition, str) else condition, "inner")
 

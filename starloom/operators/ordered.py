@@ -186,17 +186,18 @@ def running(
     mins: Mapping[str, Column] | None = None,
     cuts: DataFrame | SplitPolicy | None = SplitPolicy(),
     reverse: bool = False,
+    maxs: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Add running sums, last-non-null values and minima from the start of each group to the row.
+    """Add running sums, last-non-null values, minima and maxima from the start of each group to the row.
 
     ``reverse`` runs from the end of the group instead.
     """
-    sums, lasts, mins = dict(sums or {}), dict(lasts or {}), dict(mins or {})
-    base, added = df.columns, [*sums, *lasts, *mins]
+    sums, lasts, mins, maxs = dict(sums or {}), dict(lasts or {}), dict(mins or {}), dict(maxs or {})
+    base, added = df.columns, [*sums, *lasts, *mins, *maxs]
     prepared = df.select(
         "*",
         *[F.coalesce(c.cast("long"), F.lit(0)).alias(f"_in_{n}") for n, c in sums.items()],
-        *[c.alias(f"_in_{n}") for n, c in [*lasts.items(), *mins.items()]],
+        *[c.alias(f"_in_{n}") for n, c in [*lasts.items(), *mins.items(), *maxs.items()]],
     )
     cuts = _auto(df, group, order, cuts)
     parts = [*group] if cuts is None else [*group, _CHUNK]
@@ -208,6 +209,7 @@ def running(
             *[F.sum(f"_in_{n}").over(window).alias(n) for n in sums],
             *[F.last(f"_in_{n}", ignorenulls=True).over(window).alias(n) for n in lasts],
             *[F.min(f"_in_{n}").over(window).alias(n) for n in mins],
+            *[F.max(f"_in_{n}").over(window).alias(n) for n in maxs],
         ]
 
     upto = Window.partitionBy(*parts).orderBy(*_ordered(order, reverse)).rowsBetween(Window.unboundedPreceding, 0)
@@ -215,7 +217,7 @@ def running(
     if cuts is None:
         return rows.select(*base, *added)
 
-    # One row per chunk: its total, last value and minimum, turned into what earlier chunks bring.
+    # One row per chunk: its total, last value, minimum and maximum, turned into what earlier chunks bring.
     here = F.struct(*[F.col(name) for name in order])
     latest = F.min_by if reverse else F.max_by
     totals = (
@@ -226,6 +228,7 @@ def running(
             *[F.sum(f"_in_{n}").alias(f"_in_{n}") for n in sums],
             *[latest(f"_in_{n}", F.when(F.col(f"_in_{n}").isNotNull(), here)).alias(f"_in_{n}") for n in lasts],
             *[F.min(f"_in_{n}").alias(f"_in_{n}") for n in mins],
+            *[F.max(f"_in_{n}").alias(f"_in_{n}") for n in maxs],
         )
     )
     before = (
@@ -248,4 +251,5 @@ def running(
         *[(F.col(n) + F.coalesce(F.col(f"_carried_{n}"), F.lit(0))).alias(n) for n in sums],
         *[F.coalesce(F.col(n), F.col(f"_carried_{n}")).alias(n) for n in lasts],
         *[F.least(F.col(n), F.col(f"_carried_{n}")).alias(n) for n in mins],
+        *[F.greatest(F.col(n), F.col(f"_carried_{n}")).alias(n) for n in maxs],
     )

@@ -14,7 +14,7 @@ from starloom.contracts import MAX_DATE, Check, DimContract
 from starloom.contracts import Column as TargetColumn
 from starloom.functions.casting import cast_to, literal, parse_datetime
 from starloom.operators.joins import not_exists_in
-from starloom.operators.ordered import SplitPolicy, lag_lead
+from starloom.operators.ordered import SplitPolicy, lag_lead, running, split_points
 
 
 @dataclass(frozen=True)
@@ -193,21 +193,36 @@ def fan_out(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFra
     return counted.where("rows_before > 0 AND rows_before <> rows_after")
 
 
-def interval_problems(dim: DataFrame, contract: DimContract, policy: SplitPolicy = SplitPolicy()) -> DataFrame:
-    """Versions a lookup cannot trust: no end date, an end before the start, or an overlap."""
+def interval_problems(
+    dim: DataFrame, contract: DimContract, policy: SplitPolicy = SplitPolicy(), neighbours_only: bool = False
+) -> DataFrame:
+    """Versions a lookup cannot trust: no end date, an end before the start, or an overlap.
+
+    Of two neighbours that overlap the earlier one is named. A version that starts inside an earlier, longer one is named
+    itself, however many versions lie between them; ``neighbours_only`` leaves these out.
+    """
     c = contract
     order = [c.date_from, c.version_field]
     known = dim.where(F.col(c.technical_key) != c.unknown_key_value)
-    rows = lag_lead(known, list(c.natural_keys), order, [("_next", c.date_from, "LEAD", 1)], policy)
-    end = F.col(c.date_to)
+    start, end = F.col(c.date_from), F.col(c.date_to)
+    group = list(c.natural_keys)
+    cuts = split_points(known, group, order, policy)
+    # A version that ends before it starts covers nothing.
+    reach = {"_reach": F.when(end > start, end)}
+    rows = running(known, group, order, maxs=reach, cuts=cuts)
+    rows = lag_lead(
+        rows, group, order, [("_next", c.date_from, "LEAD", 1), ("_before", "_reach", "LAG", 1), ("_last_end", c.date_to, "LAG", 1)], cuts
+    )
     problem = (
         F.when(end.isNull(), F.lit("open end is NULL"))
-        .when(end < F.col(c.date_from), F.lit("ends before it starts"))
+        .when(end < start, F.lit("ends before it starts"))
         .when(F.col("_next") < end, F.lit("overlaps the next version"))
+        .when((F.col("_before") > start) & ~F.coalesce(F.col("_last_end") > start, F.lit(False)), F.lit("lies in an earlier version"))
     )
-    return rows.withColumn("problem", problem).where(F.col("problem").isNotNull()).select(
-        *c.natural_keys, c.version_field, c.date_from, c.date_to, "problem"
-    )
+    named = rows.withColumn("problem", problem).where(F.col("problem").isNotNull())
+    if neighbours_only:
+        named = named.where(F.col("problem") != "lies in an earlier version")
+    return named.select(*c.natural_keys, c.version_field, c.date_from, c.date_to, "problem")
 
 
 def open_versions(dim: DataFrame, contract: DimContract) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from starloom.operators import aggregate, joins
+from starloom.operators import aggregate, bands, joins
 from starloom.operators.aggregate import Aggregate
 from starloom.operators.intervals import interval_lookup
 from starloom.operators.joins import LookupValue, Pivot
@@ -50,7 +50,44 @@ def merge_join_clash(spark, sf):
 def join_rows_theta(spark, sf):
     parts = table(spark, sf, "part").select("p_partkey", "p_size")
     regions = table(spark, sf, "region").select("r_regionkey")
-    return joins.join_rows(parts, regions, "p_size > 10 * r_regionkey AND p_size <= 10 * r_regionkey + 12")
+    return bands.band_join(parts, regions, "p_size", "10 * r_regionkey", "10 * r_regionkey + 12", "p_size > 10 * r_regionkey")
+
+
+@query(
+    "join_rows_any",
+    "SELECT a.n_nationkey, b.n_nationkey AS n_nationkey_1 FROM nation a, nation b WHERE (a.n_nationkey * b.n_nationkey) % 7 = 3",
+)
+def join_rows_any(spark, sf):
+    """A condition without a range: all pairs are tried."""
+    nations = table(spark, sf, "nation").select("n_nationkey")
+    return joins.join_rows(nations, nations, "(n_nationkey * n_nationkey_1) % 7 = 3")
+
+
+@query(
+    "join_rows_dates",
+    """SELECT l_orderkey, l_linenumber, o_orderkey FROM lineitem, orders
+       WHERE l_shipdate BETWEEN o_orderdate AND o_orderdate + INTERVAL 1 DAY AND l_quantity = 50 AND o_totalprice > 300 * l_extendedprice / l_quantity""",
+)
+def join_rows_dates(spark, sf):
+    """Large lines with all costly orders of the day before or the same day: a range and another comparison."""
+    lines = table(spark, sf, "lineitem").where("l_quantity = 50").select("l_orderkey", "l_linenumber", "l_shipdate", "l_quantity", "l_extendedprice")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    found = bands.band_join(
+        lines, orders, "l_shipdate", "o_orderdate", "o_orderdate + INTERVAL 1 DAY", "o_totalprice > 300 * l_extendedprice / l_quantity"
+    )
+    return found.select("l_orderkey", "l_linenumber", "o_orderkey")
+
+
+@query(
+    "overlap_join",
+    """WITH busy AS (SELECT user_id, min(ts) AS first, max(ts) AS last FROM events GROUP BY user_id HAVING count(*) <= 8)
+       SELECT a.user_id, b.user_id AS other FROM busy a JOIN busy b ON a.first <= b.last AND b.first <= a.last AND a.user_id < b.user_id""",
+)
+def overlap_join(spark, sf):
+    """Users with few events who were there at the same time."""
+    busy = table(spark, sf, "events").groupBy("user_id").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n")).where("n <= 8").drop("n")
+    found = bands.overlap_join(busy, busy, ("first", "last"), ("first_1", "last_1"), "user_id < user_id_1")
+    return found.select("user_id", F.col("user_id_1").alias("other"))
 
 
 @query(

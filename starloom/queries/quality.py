@@ -161,6 +161,31 @@ def check_intervals(spark, sf):
         "o_custkey", F.col("o_orderkey").alias("sk"), F.col("o_orderkey").alias("version"),
         F.col("o_orderdate").alias("lo"), end.alias("hi"),
     )
+    problems = quality.interval_problems(versions, contract, neighbours_only=True)
+    return problems.select("o_custkey", "version", day("lo").alias("lo"), "problem")
+
+
+@query(
+    "check_intervals_nested",
+    """WITH v AS (SELECT o_custkey, o_orderkey AS version, o_orderdate AS lo,
+                         o_orderdate + to_days(CASE o_orderpriority WHEN '5-LOW' THEN 0 WHEN '1-URGENT' THEN 700 ELSE 20 END) AS hi FROM orders),
+       n AS (SELECT *, lead(lo) OVER w AS next_lo, lag(hi) OVER w AS last_hi,
+                    max(hi) OVER (PARTITION BY o_custkey ORDER BY lo, version ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
+             FROM v WINDOW w AS (PARTITION BY o_custkey ORDER BY lo, version))
+       SELECT o_custkey, version, strftime(lo, '%Y-%m-%d') AS lo,
+              CASE WHEN next_lo < hi THEN 'overlaps the next version' ELSE 'lies in an earlier version' END AS problem
+       FROM n WHERE next_lo < hi OR (reach > lo AND last_hi <= lo)""",
+)
+def check_intervals_nested(spark, sf):
+    """Versions of very different lengths: short ones lie inside a long one that began several versions before."""
+    contract = DimContract(
+        "versions", "sk", ("o_custkey",), version_field="version", date_from="lo", date_to="hi", unknown_key_value=-1
+    )
+    days = F.when(F.col("o_orderpriority") == "5-LOW", 0).when(F.col("o_orderpriority") == "1-URGENT", 700).otherwise(20)
+    versions = table(spark, sf, "orders").select(
+        "o_custkey", F.col("o_orderkey").alias("sk"), F.col("o_orderkey").alias("version"), F.col("o_orderdate").alias("lo"),
+        (F.col("o_orderdate") + F.make_dt_interval(days)).alias("hi"),
+    )
     return quality.interval_problems(versions, contract).select("o_custkey", "version", day("lo").alias("lo"), "problem")
 
 

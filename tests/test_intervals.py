@@ -74,3 +74,33 @@ def test_no_single_task_without_a_group(spark):
     stream = spark.range(5000).select((F.col("id") % 60).alias("a"))
     plan = database_lookup(stream, side, {}, ("a", "<=", "b"), VALUE, ["v"])._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(_chunk" in plan
+
+
+@pytest.mark.parametrize("closed", [False, True])
+@pytest.mark.parametrize("cuts", [SplitPolicy(), SplitPolicy(1.0, 10)])
+def test_keys_without_nested_intervals(spark, closed, cuts):
+    """Overlaps, gaps and ties whose ends rise with the starts: one pass answers, also beside keys with nested ones."""
+    rng, rows = random.Random(6), []
+    for key in (0, 1, 2):
+        low = high = 0
+        for i in range(60):
+            low += rng.choice([0, 0, 1, 3, 9])
+            high = max(high, low + rng.choice([0, 1, 6]))
+            rows.append((key, low, high, 100 * key + i))
+    nested = [(5, 0, 200, 900), (5, 7, 9, 901), (5, 8, 8, 902)]
+    points = [(i, k, at) for i, (k, at) in enumerate((k, at) for k in (0, 1, 2, 5, 9, None) for at in [None, *[x / 2 for x in range(-4, 500)]])]
+    stream = spark.createDataFrame(points, "id long, k int, at double")
+    for side in (rows, rows + nested):
+        table = spark.createDataFrame(side, "key int, lo int, hi int, v int")
+        out = interval_lookup(stream, table, {"k": "key"}, "at", "lo", "hi", VALUE, closed, ["v"], cuts)
+        assert {r.id: r.v for r in out.collect()} == {i: brute(k, at, side, closed) for i, k, at in points}
+
+
+def test_one_deep_key_does_not_widen_the_others(spark):
+    """Levels are a key's own: a key with thousands of bounds leaves the rows of shallow keys as they are."""
+    from starloom.operators.intervals import last_started
+
+    deep = [(0, i, 9_000 - i, i) for i in range(4_000)]
+    shallow = [(k, 0, 10, k) for k in range(1, 500)] + [(k, 2, 5, k) for k in range(1, 500)]
+    side = spark.createDataFrame(deep + shallow, "key int, _lower int, _upper int, p int").select("key", "_lower", "_upper", F.struct("_lower", "p").alias("_place"), F.struct("p").alias("_values"))
+    assert last_started(side, ["key"], False, SplitPolicy()).where("key > 0").count() == 499 * 4

@@ -1,10 +1,12 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import types as T
 
 from starloom.contracts import Check, Column, DimContract
 from starloom.operators import quality
+from starloom.operators.ordered import SplitPolicy
 from starloom.operators.quality import Rule
 
 
@@ -93,6 +95,35 @@ def test_interval_problems(spark):
     assert got == {(1, 1): "overlaps the next version", (2, 1): "open end is NULL", (3, 1): "ends before it starts"}
 
 
+@pytest.mark.parametrize("policy", [SplitPolicy(), SplitPolicy(1.0, 8)])
+def test_nested_and_chained_intervals(spark, policy):
+    contract = DimContract("d", "sk", ("k",), attributes_scd1=())
+    rng, rows = random.Random(9), [(1, 0, 1, 1, 100), (2, 0, 2, 2, 3), (3, 0, 3, 50, 60), (4, 0, 4, 100, 200)]
+    for sk in range(10, 400):
+        low = rng.randrange(1, 300)
+        rows.append((sk, rng.randrange(1, 9), sk, low, rng.choice([None, low + rng.choice([-2, 0, 1, 4, 30, 150])])))
+    at = lambda n: None if n is None else dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    dim = spark.createDataFrame([(sk, k, v, at(a), at(b)) for sk, k, v, a, b in rows], "sk int, k int, version int, date_from timestamp_ntz, date_to timestamp_ntz")
+    want = {}
+    for key in {r[1] for r in rows}:
+        own = sorted((r for r in rows if r[1] == key), key=lambda r: (r[3], r[2]))
+        for i, (_, _, version, low, high) in enumerate(own):
+            ends = [r[4] for r in own[:i] if r[4] is not None and r[4] > r[3]]
+            last = own[i - 1][4] if i else None
+            if high is None:
+                want[key, version] = "open end is NULL"
+            elif high < low:
+                want[key, version] = "ends before it starts"
+            elif i + 1 < len(own) and own[i + 1][3] < high:
+                want[key, version] = "overlaps the next version"
+            elif ends and max(ends) > low and not (last is not None and last > low):
+                want[key, version] = "lies in an earlier version"
+    got = {(r["k"], r["version"]): r["problem"] for r in quality.interval_problems(dim, contract, policy).collect()}
+    assert got == want and got[0, 1] == "overlaps the next version" and got[0, 3] == "lies in an earlier version" and (0, 4) not in got
+    near = quality.interval_problems(dim, contract, policy, neighbours_only=True)
+    assert {(r["k"], r["version"]) for r in near.collect()} == {k for k, v in want.items() if v != "lies in an earlier version"}
+
+
 def test_fan_out_and_orphans(spark):
     left = spark.createDataFrame([(1,), (2,), (2,), (None,)], "k int")
     right = spark.createDataFrame([(1,), (1,)], "k2 int")
