@@ -80,14 +80,18 @@ def join_rows_dates(spark, sf):
 
 @query(
     "overlap_join",
-    """WITH busy AS (SELECT user_id, min(ts) AS first, max(ts) AS last FROM events GROUP BY user_id HAVING count(*) <= 8)
-       SELECT a.user_id, b.user_id AS other FROM busy a JOIN busy b ON a.first <= b.last AND b.first <= a.last AND a.user_id < b.user_id""",
+    """WITH spans AS (SELECT o_orderkey, o_orderpriority AS p, o_orderdate AS a, o_orderdate + to_days(CAST(o_orderkey % 3 AS INTEGER)) AS z FROM orders WHERE o_totalprice > 200000)
+       SELECT x.o_orderkey, y.o_orderkey AS other FROM spans x JOIN spans y ON x.a <= y.z AND y.a <= x.z AND x.p = '1-URGENT' AND y.p = '5-LOW'""",
 )
 def overlap_join(spark, sf):
-    """Users with few events who were there at the same time."""
-    busy = table(spark, sf, "events").groupBy("user_id").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n")).where("n <= 8").drop("n")
-    found = bands.overlap_join(busy, busy, ("first", "last"), ("first_1", "last_1"), "user_id < user_id_1")
-    return found.select("user_id", F.col("user_id_1").alias("other"))
+    """Large urgent orders with the large unhurried ones that were open on one of the same days."""
+    spans = table(spark, sf, "orders").where("o_totalprice > 200000").select(
+        "o_orderkey", "o_orderpriority", F.col("o_orderdate").alias("a"),
+        (F.col("o_orderdate") + F.make_dt_interval((F.col("o_orderkey") % 3).cast("int"))).alias("z"),
+    )
+    urgent = spans.where("o_orderpriority = '1-URGENT'").drop("o_orderpriority")
+    other = spans.where("o_orderpriority = '5-LOW'").select(F.col("o_orderkey").alias("other"), F.col("a").alias("b"), F.col("z").alias("y"))
+    return bands.overlap_join(urgent, other, ("a", "z"), ("b", "y")).select("o_orderkey", "other")
 
 
 @query(
