@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from starloom.contracts import INSERT, PUNCH, UPDATE, DimContract
+from starloom.contracts import INSERT, PUNCH, UPDATE, Check, DimContract
+from starloom.contracts import Column as TargetColumn
 from starloom.operators import dimension
 from starloom.operators.joins import union_streams
 from starloom.queries.registry import ORACLES, day, moment, query, table
 from starloom.queries.rows import customer_changes
 from starloom.queries.warehouse import D1, D2, RUN1, RUN2, _contract, _load, _shown, first_batch
 from starloom.session import scratch_path
-from starloom.sinks import keyed
+from starloom.sinks import checked, keyed
 
 BUCKETS = 16
 
@@ -129,3 +131,40 @@ def dim_load_buckets(spark, sf):
     dim = keyed.create_keyed(first, scratch_path(spark, "keyed-dim"), ["id_cliente"], BUCKETS)
     keyed.load_dimension_keyed(dim, _changed(spark, sf), contract, D2, RUN2)
     return _shown(dim.read(spark))
+
+
+TARGET = [
+    TargetColumn("c_custkey", T.LongType(), required=True),
+    TargetColumn("c_name", T.VarcharType(18)),
+    TargetColumn("c_nationkey", T.IntegerType(), required=True),
+    TargetColumn("c_acctbal", T.DecimalType(5, 2)),
+    TargetColumn("c_mktsegment", T.VarcharType(9), required=True),
+]
+
+
+@query(
+    "table_output_errors",
+    """WITH judged AS (
+         SELECT c_custkey, c_acctbal, c_nationkey, concat_ws(', ',
+           CASE WHEN length(c_name) > 18 THEN 'c_name: longer than 18' END,
+           CASE WHEN c_nationkey = 5 THEN 'c_nationkey: missing' WHEN c_nationkey > 20 THEN 'c_nationkey: outside its range' END,
+           CASE WHEN abs(c_acctbal) >= 999.995 THEN 'c_acctbal: not a decimal(5,2)' END,
+           CASE WHEN length(c_mktsegment) > 9 THEN 'c_mktsegment: longer than 9' END) AS errors FROM customer)
+       SELECT c_custkey, CASE WHEN errors = '' THEN 'accepted' ELSE 'rejected' END AS branch, errors,
+              CASE WHEN errors = '' THEN CAST(CAST(c_acctbal AS DECIMAL(15,2)) AS VARCHAR) ELSE '-' END AS balance,
+              (SELECT count(*) FROM judged WHERE errors = '') AS n_accepted, (SELECT count(*) FROM judged WHERE errors <> '') AS n_rejected FROM judged""",
+)
+def table_output_errors(spark, sf):
+    """A load that keeps refused rows with their reasons."""
+    path = scratch_path(spark, "checked")
+    customers = table(spark, sf, "customer").withColumn("c_nationkey", F.when(F.col("c_nationkey") != 5, F.col("c_nationkey")))
+    customers = customers.withColumn("c_acctbal", F.col("c_acctbal").cast("decimal(15,2)").cast("string"))
+    counts = checked.load_checked(customers, path, TARGET, [Check("c_nationkey", 0, 20)])
+    good = checked.accepted_rows(spark, path, TARGET).select(
+        "c_custkey", F.lit("accepted").alias("branch"), F.lit("").alias("errors"), F.col("c_acctbal").cast("string").alias("balance")
+    )
+    bad = checked.rejected_rows(spark, path, TARGET).select(
+        F.get_json_object("row", "$.c_custkey").cast("long").alias("c_custkey"), F.lit("rejected").alias("branch"),
+        F.array_join("errors", ", ").alias("errors"), F.lit("-").alias("balance"),
+    )
+    return good.unionByName(bad).withColumns({"n_accepted": F.lit(counts.accepted).cast("long"), "n_rejected": F.lit(counts.rejected).cast("long")})

@@ -204,7 +204,15 @@ def cast_failures(spark, sf):
     )
 
 
-@query("field_metadata")
+@query(
+    "field_metadata",
+    """WITH expected(name, want) AS (VALUES ('o_orderkey', 'bigint'), ('o_orderdate', 'date'), ('o_clerk', 'string')),
+       actual AS (SELECT column_name AS name, CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(column_type) END AS have
+                  FROM (DESCRIBE orders))
+       SELECT coalesce(e.name, a.name) AS "column", want AS expected, have AS actual,
+              CASE WHEN have IS NULL THEN 'missing' WHEN want IS NULL THEN 'unexpected' WHEN want <> have THEN 'type' ELSE 'ok' END AS state
+       FROM expected e FULL JOIN actual a ON e.name = a.name""",
+)
 def field_metadata(spark, sf):
     expected = T.StructType(
         [
@@ -353,7 +361,15 @@ def masked_examples(spark, sf):
     return p.select("column", F.array_join("masked_examples", "|").alias("examples"))
 
 
-@query("semantic_types")
+@query(
+    "semantic_types",
+    "WITH columns AS ("
+    + " UNION ALL ".join(f"SELECT '{t}' AS t, column_name AS name, column_type AS type FROM (DESCRIBE {t})" for t in ("customer", "orders", "lineitem", "events"))
+    + r""")
+       SELECT name AS "column", CASE WHEN name LIKE '%\_id' ESCAPE '\' THEN 'id' WHEN type IN ('BIGINT', 'INTEGER', 'DOUBLE') THEN 'metric'
+                                    WHEN name LIKE '%date' THEN 'date' ELSE 'category' END AS semantic_type,
+              NOT name LIKE '%\_id' ESCAPE '\' AS usable, t AS "table" FROM columns""",
+)
 def semantic_types(spark, sf):
     names = ["customer", "orders", "lineitem", "events"]
     return union_streams(

@@ -133,7 +133,65 @@ def source_sample(spark, sf):
     return readers.sample_rows(table(spark, sf, "orders"), 20)[0]
 
 
-@query("file_schema")
+@query("source_sample_property", "SELECT CAST(20 AS BIGINT) AS n_rows, CAST(20 AS BIGINT) AS n_from_table, 'fraction' AS drawn")
+def source_sample_property(spark, sf):
+    """A row sample is full, comes from the table, and says how it was drawn."""
+    orders = table(spark, sf, "orders")
+    rows, drawn = readers.sample_rows(orders, 20, 0.1)
+    found = rows.select("o_orderkey").distinct().join(orders, "o_orderkey", "left_semi")
+    counts = found.agg(F.count(F.lit(1)).alias("n_from_table"))
+    return rows.agg(F.count(F.lit(1)).alias("n_rows")).crossJoin(counts).withColumn("drawn", F.lit(drawn))
+
+
+@query(
+    "source_sample_pages",
+    """SELECT 'file' AS drawn, count(DISTINCT o_custkey % 120) AS n_whole_blocks, CAST(0 AS BIGINT) AS n_broken_blocks FROM orders""",
+)
+def source_sample_pages(spark, sf):
+    """Half of a table's files: each is there with all of its rows or with none."""
+    path = scratch_path(spark, "pages")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", (F.col("o_custkey") % 120).alias("part"))
+    orders.repartition(8, "part").write.partitionBy("part").parquet(path)
+    drawn, kind = readers.sample_blocks(spark, path, 0.5, seed=3)
+    sizes = drawn.groupBy("_file").agg(F.count(F.lit(1)).alias("n"), F.max("part").alias("part"))
+    parts = spark.read.parquet(path).groupBy("part").agg(F.count(F.lit(1)).alias("all")).join(sizes, "part", "left")
+    whole = F.coalesce("n", F.lit(0)).isin(F.lit(0), F.col("all"))
+    return parts.agg(F.count_if(whole).alias("n_whole_blocks"), F.count_if(~whole).alias("n_broken_blocks")).withColumn("drawn", F.lit(kind))
+
+
+@query(
+    "text_header_lines",
+    "SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders",
+)
+def text_header_lines(spark, sf):
+    """Three header lines go from each of several files."""
+    path = scratch_path(spark, "headers")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    line = F.concat_ws(";", F.col("o_orderkey"), F.col("o_orderpriority"), F.col("o_totalprice"))
+    # One row per file, whose lines are its header and its orders; a customer's orders are a small group.
+    bodies = orders.repartitionByRange(8, "o_orderkey").select(F.spark_partition_id().alias("file"), "o_orderkey", line.alias("line"))
+    heads = spark.range(8).select(F.col("id").cast("int").alias("file"), F.explode(F.array(*[F.lit(x) for x in ("Pedidos", "", "clave;prioridad;total")])).alias("line"), F.lit(None).cast("long").alias("o_orderkey"))
+    heads = heads.withColumn("at", F.when(F.col("line") == "Pedidos", 0).when(F.col("line") == "", 1).otherwise(2)).join(bodies.select("file").distinct(), "file", "left_semi")
+    both = bodies.withColumn("at", F.lit(3)).unionByName(heads)
+    both.repartition(8, "file").sortWithinPartitions("file", "at", "o_orderkey").select("file", "line").write.partitionBy("file").text(path)
+    fields = [Field("o_orderkey", "Integer"), Field("o_orderpriority"), Field("o_totalprice", "Number")]
+    return readers.read_text(spark, path, fields, header_lines=3).select("o_orderkey", "o_orderpriority", F.col("o_totalprice").cast("double").alias("o_totalprice"))
+
+
+@query(
+    "file_schema",
+    """WITH c AS (
+         SELECT count(*) AS n, unnest([
+           {'name': 'o_orderkey', 'type': 'integer', 'd': count(DISTINCT o_orderkey), 'nulls': count(*) - count(o_orderkey), 'hint': NULL},
+           {'name': 'o_custkey', 'type': 'integer', 'd': count(DISTINCT o_custkey), 'nulls': count(*) - count(o_custkey), 'hint': NULL},
+           {'name': 'o_orderstatus', 'type': 'string', 'd': count(DISTINCT o_orderstatus), 'nulls': count(*) - count(o_orderstatus), 'hint': 'enum'},
+           {'name': 'o_totalprice', 'type': 'number', 'd': count(DISTINCT o_totalprice), 'nulls': count(*) - count(o_totalprice), 'hint': NULL},
+           {'name': 'o_orderdate', 'type': 'string', 'd': count(DISTINCT o_orderdate), 'nulls': count(*) - count(o_orderdate), 'hint': 'DD/MM/YYYY or MM/DD/YYYY'},
+           {'name': 'o_orderpriority', 'type': 'string', 'd': count(DISTINCT o_orderpriority), 'nulls': count(*) - count(o_orderpriority), 'hint': 'enum'}]) AS x
+         FROM orders)
+       SELECT x.name AS "column", x.type AS canonical_type, 'default' AS layout, 100.0::DOUBLE * x.nulls / n AS null_pct, x.d AS distinct_count,
+              CASE x.hint WHEN 'enum' THEN concat('enum-like (', x.d, ' distinct values)') ELSE x.hint END AS format_hint FROM c""",
+)
 def file_schema(spark, sf):
     path = scratch_path(spark, "infer")
     orders = table(spark, sf, "orders")

@@ -6,7 +6,7 @@ import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +14,7 @@ from starloom.contracts import spark_type
 from starloom.functions.casting import DATE_LAYOUTS, cast_to, parse_decimal_comma
 from starloom.functions.text import normalise
 from starloom.operators.profiling import profile
+from starloom.session import barrier
 
 
 @dataclass(frozen=True)
@@ -152,10 +153,18 @@ def read_text(
     decimal: str = ".",
     group: str = ",",
 ) -> DataFrame:
-    """A delimited text file; blank lines are left out and fields are trimmed as declared."""
-    if header_lines not in (0, 1):
-        raise ValueError("a splittable text file can have at most one header line")
-    raw = _delimited(spark, path, fields, separator, enclosure, bool(header_lines), encoding)
+    """A delimited text file; blank lines are left out and fields are trimmed as declared.
+
+    ``header_lines`` lines go from the top of every file; files stay splittable, also if they have several.
+    """
+    if header_lines in (0, 1):
+        raw = _delimited(spark, path, fields, separator, enclosure, bool(header_lines), encoding)
+    else:
+        lines = numbered_lines(spark, path, encoding, upto=header_lines)
+        body = lines.where(F.col("line").isNull() & (F.trim("value") != ""))
+        schema = ", ".join(f"`{f.name}` string" for f in fields)
+        parsed = F.from_csv("value", schema, {"sep": separator, "quote": enclosure, "escape": enclosure})
+        raw = body.select(parsed.alias("_fields")).select("_fields.*")
     if skip_empty:
         blank = F.lit(True)
         for f in fields:
@@ -164,6 +173,30 @@ def read_text(
     return _typed(raw, fields, decimal, group, "")
 
 
+def numbered_lines(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8", upto: int | None = None) -> DataFrame:
+    """(value, file, line): the lines of text files, numbered from 1 within each file, read in splits.
+
+    With ``upto`` only the first so many lines of a file have a number, the others NULL.
+
+    Lines of a split come one after another, so a line's number is that of the split's first line plus its distance.
+    A first pass counts the lines of every split, which reads no line's text; the counts before a split are added up per
+    file. Both passes plan the same splits of the same list of files.
+    """
+    read = spark.read.option("encoding", encoding).text(path)
+    at = F.monotonically_increasing_id()
+    placed = read.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_split"), at.alias("_at"))
+    splits = barrier(placed.groupBy("file", "_split").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_lines")), "splits")
+    before = Window.partitionBy("file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.withColumn("_before", F.coalesce(F.sum("_lines").over(before), F.lit(0))).drop("_lines")
+    if upto is not None:
+        # Hardly more than the first split of each file.
+        starts = starts.where(F.col("_before") < upto)
+    starts = barrier(starts, "split-starts")
+    joined = placed.join(starts, ["file", "_split"], "left")
+    number = F.col("_before") + F.col("_at") - F.col("_first") + 1
+    return joined.select("value", "file", (number if upto is None else F.when(number <= upto, number)).alias("line"))
+
+
 def json_fields(df: DataFrame, source: str, fields: Sequence[Field], remove: bool = False) -> DataFrame:
     """Typed columns from JSON paths of a text column; a missing leaf is NULL."""
     added = {
@@ -203,6 +236,37 @@ def sample_rows(df: DataFrame, limit: int = 20, fraction: float = 0.01, seed: in
     return df.orderBy(F.rand(seed)).limit(limit), "random"
 
 
+#: Whole files are drawn where that gives so many at least; otherwise their blocks are.
+DRAWN_FILES = 8
+_GRAIN = 1 << 30
+
+
+def sample_blocks(spark: SparkSession, path: str, fraction: float = 0.01, seed: int = 0) -> tuple[DataFrame, str]:
+    """All rows of about ``fraction`` of a Parquet table's blocks, with ``_file`` and ``_block``, and what a block is.
+
+    Like a sample of pages: cheap, and biased where neighbouring rows are alike. The draw is a hash of the block's place, so
+    it is the same each time. A table of many files is drawn by ``file``, and the files that are not drawn
+    are not opened; one of few files by ``block``, the stretch of a file that one task reads, which saves the work
+    after the scan but not the reading.
+    """
+    df = spark.read.parquet(path)
+    drawn = lambda *place: F.pmod(F.xxhash64(*place, F.lit(seed)), F.lit(_GRAIN)) < int(fraction * _GRAIN)
+    file, start = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    named = df.select("*", file.alias("_file"), start.alias("_block"))
+    if len(df.inputFiles()) * fraction >= DRAWN_FILES:
+        return named.where(drawn(file)), "file"
+    return named.where(drawn(file, start)), "block"
+
+
+def sample_pages(spark: SparkSession, path: str, limit: int = 20, fraction: float = 0.01, seed: int = 0) -> tuple[DataFrame, str]:
+    """At most ``limit`` rows of drawn blocks and the sample's bias: page_level, or row_level for a table so small that no block was drawn."""
+    rows, _ = sample_blocks(spark, path, fraction, seed)
+    rows = rows.drop("_file", "_block").limit(limit)
+    if not rows.isEmpty():
+        return rows, "page_level"
+    return spark.read.parquet(path).orderBy(F.rand(seed)).limit(limit), "row_level"
+
+
 # -- schema inference ----------------------------------------------------------------------------
 
 # Delimiters that are recognised, and lines looked at to recognise them.
