@@ -14,6 +14,7 @@ from starloom.contracts import MAX_DATE, MIN_DATE, DimContract
 from starloom.functions.casting import literal, utc_now
 from starloom.operators.intervals import interval_lookup
 from starloom.operators.joins import LookupValue, not_exists_in
+from starloom.operators.keyblocks import KeyBlocks
 from starloom.operators.keyfilter import split_by_keys
 from starloom.operators.ordered import SplitPolicy, lag_lead, running, split_points
 from starloom.operators.sequence import with_index
@@ -39,10 +40,12 @@ def load_dimension(
     run_time: dt.datetime | None = None,
     policy: SplitPolicy = SplitPolicy(),
     highest_key: int | None = None,
+    blocks: KeyBlocks | None = None,
 ) -> DataFrame:
     """Apply staged rows to a dimension and return the new dimension.
 
-    ``highest_key`` is the highest technical key in use where ``dim`` is only a part of the dimension.
+    ``highest_key`` is the highest technical key in use where ``dim`` is only a part of the dimension. New versions are
+    numbered from there on without gaps, or from ``blocks`` where several loads may run at once.
 
     ``ref_date`` is the stage column with the date each row takes effect, or one date for the batch.
     A key may have several rows with different dates; they act in date order. Rows with a NULL
@@ -179,11 +182,11 @@ def load_dimension(
         *extra,
     )
     if dim is None:
-        return _number(result.drop(c.technical_key), c, highest).select(*result.columns)
+        return _number(result.drop(c.technical_key), c, highest, blocks).select(*result.columns)
     # Written once: the rows that keep their key and the rows that get one come from the same pass.
     result = barrier(result, c.table)
     kept = result.where(F.col(c.technical_key).isNotNull())
-    added = _number(result.where(F.col(c.technical_key).isNull()).drop(c.technical_key), c, highest)
+    added = _number(result.where(F.col(c.technical_key).isNull()).drop(c.technical_key), c, highest, blocks)
     apart = unknown.select(*[F.col(n).cast(result.schema[n].dataType).alias(n) for n in result.columns])
     return apart.unionByName(kept).unionByName(added)
 
@@ -196,6 +199,7 @@ def load_dimension_changes(
     run_time: dt.datetime | None = None,
     policy: SplitPolicy = SplitPolicy(),
     highest_key: int | None = None,
+    blocks: KeyBlocks | None = None,
 ) -> DataFrame:
     """:func:`load_dimension` for a batch that is small beside the dimension.
 
@@ -209,7 +213,7 @@ def load_dimension_changes(
     known = dim.where(F.col(c.technical_key) != c.unknown_key_value)
     unknown = dim.where(F.col(c.technical_key) == c.unknown_key_value)
     concerned, apart = split_by_keys(known, stage, list(c.natural_keys))
-    loaded = load_dimension(barrier(concerned, f"{c.table}-concerned"), stage, c, ref_date, run_time, policy, highest_key)
+    loaded = load_dimension(barrier(concerned, f"{c.table}-concerned"), stage, c, ref_date, run_time, policy, highest_key, blocks)
     still = {n: F.coalesce(F.col(c.date_to) >= literal(MAX_DATE), F.lit(False)) for n, m in c.technical_columns.items() if m == "LastVersion"}
     same = [still.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in loaded.schema]
     # The unknown member keeps what it has.
@@ -233,8 +237,10 @@ def _with_punch(rows: DataFrame, keys: list[str], names: Sequence[str], place: C
     return rows.join(punched, _all([F.col(k) == F.col(f"_p_{k}") for k in keys]), "left")
 
 
-def _number(new: DataFrame, c: DimContract, highest: int) -> DataFrame:
-    """Technical keys after the highest one in use, by natural key and version."""
+def _number(new: DataFrame, c: DimContract, highest: int, blocks: KeyBlocks | None = None) -> DataFrame:
+    """Technical keys after the highest one in use, or from reserved blocks, by natural key and version."""
+    if blocks is not None:
+        return blocks.number(new, [*c.natural_keys, c.version_field], c.technical_key)
     return with_index(new, [*c.natural_keys, c.version_field], c.technical_key, start=highest + 1)
 
 

@@ -7,12 +7,13 @@ from pyspark.sql import types as T
 
 from starloom.contracts import INSERT, PUNCH, UPDATE, Check, DimContract
 from starloom.contracts import Column as TargetColumn
-from starloom.operators import dimension
+from starloom.operators import dimension, keyblocks, merge, profiling, upkeep
 from starloom.operators.joins import union_streams
+from starloom.operators.ordered import lag_lead
 from starloom.queries.registry import ORACLES, day, moment, query, table
 from starloom.queries.rows import customer_changes
 from starloom.queries.warehouse import D1, D2, RUN1, RUN2, _contract, _load, _shown, first_batch
-from starloom.session import scratch_path
+from starloom.session import barrier, scratch_path
 from starloom.sinks import checked, keyed
 
 BUCKETS = 16
@@ -168,3 +169,75 @@ def table_output_errors(spark, sf):
         F.array_join("errors", ", ").alias("errors"), F.lit("-").alias("balance"),
     )
     return good.unionByName(bad).withColumns({"n_accepted": F.lit(counts.accepted).cast("long"), "n_rejected": F.lit(counts.rejected).cast("long")})
+
+
+@query(
+    "mart_refresh",
+    """WITH late AS (SELECT max(o_orderdate) - INTERVAL 60 DAY AS d FROM orders),
+       after AS (
+         SELECT o_orderpriority, o_orderstatus, CASE WHEN o_orderdate >= d THEN 2 * CAST(o_totalprice AS DECIMAL(15,2)) ELSE CAST(o_totalprice AS DECIMAL(15,2)) END AS price
+         FROM orders, late WHERE NOT (o_orderpriority = '5-LOW' AND CAST(o_totalprice AS DECIMAL(15,2)) > 400000)
+         UNION ALL SELECT 'SUPPLIER', 'N', CAST(s_acctbal AS DECIMAL(15,2)) FROM supplier)
+       SELECT o_orderpriority, o_orderstatus, count(*) AS n_rows, CAST(CAST(sum(price) AS DECIMAL(15,2)) AS VARCHAR) AS sum_price, count(price) AS n_price,
+              CAST(CAST(min(price) AS DECIMAL(15,2)) AS VARCHAR) AS min_price, CAST(CAST(max(price) AS DECIMAL(15,2)) AS VARCHAR) AS max_price
+       FROM after GROUP BY ALL""",
+)
+def mart_refresh(spark, sf):
+    """A summary after corrections, new rows and deletions, from the changed rows alone."""
+    price = F.col("o_totalprice").cast("decimal(15,2)").alias("price")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_orderdate", price)
+    last = F.broadcast(orders.agg((F.max("o_orderdate") - F.expr("INTERVAL 60 DAYS")).alias("_d")))  # one row
+    corrected = orders.join(last, F.col("o_orderdate") >= F.col("_d")).withColumn("price", (F.col("price") * 2).cast("decimal(15,2)")).drop("_d")
+    new = table(spark, sf, "supplier").select(
+        (-F.col("s_suppkey")).alias("o_orderkey"), F.lit("SUPPLIER").alias("o_orderpriority"), F.lit("N").alias("o_orderstatus"),
+        F.lit(None).cast("timestamp_ntz").alias("o_orderdate"), F.col("s_acctbal").cast("decimal(15,2)").alias("price"),
+    )
+    batch = corrected.unionByName(new)
+    mart = upkeep.Mart(("o_orderpriority", "o_orderstatus"), sums=("price",), extremes=("price",))
+    state = barrier(mart.build(orders), "mart")
+    after = barrier(merge.upsert(orders, batch, ["o_orderkey"]), "fact")
+    state = mart.refresh(state, upkeep.upsert_changes(orders, batch, ["o_orderkey"]), after)
+    # The large unhurried orders, by what they cost before the corrections.
+    gone = orders.where("o_orderpriority = '5-LOW' AND price > 400000").select("o_orderkey")
+    tests = [("o_orderkey", "=", "o_orderkey")]
+    state = mart.refresh(state, upkeep.delete_changes(after, gone, tests), merge.delete_matching(after, gone, tests))
+    return state.withColumns({n: F.col(n).cast("decimal(15,2)").cast("string") for n in ("sum_price", "min_price", "max_price")})
+
+
+@query(
+    "profile_merged",
+    """WITH o AS (SELECT o_orderkey::VARCHAR AS o_orderkey, o_custkey::VARCHAR AS o_custkey, o_orderstatus, CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderpriority END AS o_orderpriority FROM orders),
+       c AS (UNPIVOT (SELECT coalesce(o_orderkey, '') AS o_orderkey, coalesce(o_custkey, '') AS o_custkey, coalesce(o_orderstatus, '') AS o_orderstatus,
+                             coalesce(o_orderpriority, '') AS o_orderpriority FROM o) ON COLUMNS(*) INTO NAME "column" VALUE v)
+       SELECT "column", count(*) AS total_count, count(*) FILTER (v = '') AS null_count, min(length(nullif(v, '')))::INTEGER AS min_length,
+              max(length(nullif(v, '')))::INTEGER AS max_length, true AS near_exact FROM c GROUP BY "column\"""",
+)
+def profile_merged(spark, sf):
+    """The profile of three loads from what each of them left; the distinct counts are within 5 % of the exact ones."""
+    orders = table(spark, sf, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias("o_orderpriority"), "o_orderdate"
+    )
+    loads = [orders.where("o_orderdate < TIMESTAMP_NTZ '1997-01-01'"), orders.where("o_orderdate >= TIMESTAMP_NTZ '1997-01-01' AND o_orderdate < TIMESTAMP_NTZ '2000-01-01'"), orders.where("o_orderdate >= TIMESTAMP_NTZ '2000-01-01'")]
+    names = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+    stored = [barrier(profiling.profile_sketches(load, names), "sketches") for load in loads]
+    exact = profiling.population_stats(orders, names).select("column", "distinct_count")
+    near = F.abs(F.col("distinct_estimate") - F.col("distinct_count")) <= 0.05 * F.col("distinct_count")
+    return profiling.merged_profile(*stored).join(exact, "column").select(
+        "column", "total_count", "null_count", "min_length", "max_length", near.alias("near_exact")
+    )
+
+
+@query(
+    "keys_of_two_loads",
+    """SELECT count(*) AS n_rows, count(*) AS n_keys, true AS rise_with_order FROM
+       (SELECT c_custkey FROM customer UNION ALL SELECT s_suppkey FROM supplier)""",
+)
+def keys_of_two_loads(spark, sf):
+    """Two loads that number their rows at the same time share no key."""
+    blocks = keyblocks.KeyBlocks(scratch_path(spark, "key-blocks"), first=1000, size=64)
+    one = blocks.number(table(spark, sf, "customer").select(F.col("c_custkey").alias("id")), ["id"], "sk")
+    two = blocks.number(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id")), ["id"], "sk")
+    both = barrier(one.withColumn("load", F.lit(1)).unionByName(two.withColumn("load", F.lit(2))), "numbered")
+    follows = lag_lead(both, ["load"], ["id"], [("_before", "sk", "LAG", 1)])
+    rise = F.bool_and(F.col("_before").isNull() | (F.col("_before") < F.col("sk")))
+    return follows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("sk").alias("n_keys"), rise.alias("rise_with_order"))
