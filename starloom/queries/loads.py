@@ -189,7 +189,7 @@ def mart_refresh(spark, sf):
     last = F.broadcast(orders.agg((F.max("o_orderdate") - F.expr("INTERVAL 60 DAYS")).alias("_d")))  # one row
     corrected = orders.join(last, F.col("o_orderdate") >= F.col("_d")).withColumn("price", (F.col("price") * 2).cast("decimal(15,2)")).drop("_d")
     new = table(spark, sf, "supplier").select(
-        (-F.col("s_suppkey")).alias("o_orderkey"), F.lit("SUPPLIER").alias("o_orderpriority"), F.lit("N").alias("o_orderstatus"),
+        (-1 - F.col("s_suppkey")).alias("o_orderkey"), F.lit("SUPPLIER").alias("o_orderpriority"), F.lit("N").alias("o_orderstatus"),
         F.lit(None).cast("timestamp_ntz").alias("o_orderdate"), F.col("s_acctbal").cast("decimal(15,2)").alias("price"),
     )
     batch = corrected.unionByName(new)

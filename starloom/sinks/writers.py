@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,10 +49,21 @@ def publish(df: DataFrame, name: str, bucket_by: Sequence[str] = (), buckets: in
     if bucket_by and buckets:
         writer = writer.bucketBy(buckets, *bucket_by).sortBy(*bucket_by)
     writer.saveAsTable(table)
-    spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM {table}")
+    _repoint(spark, name, table)
     return table
 
 
+def _repoint(spark: SparkSession, name: str, table: str) -> None:
+    """Let the view show ``table``. Of two drivers that both make a view that was not there, one has to try again."""
+    for tries in reversed(range(5)):
+        try:
+            spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM {table}")
+            return
+        except AnalysisException as clash:
+            if not tries or clash.getCondition() != "TABLE_OR_VIEW_ALREADY_EXISTS":
+                raise
+
+
 def _versions(spark: SparkSession, name: str) -> list[int]:
     database, _, short = name.rpartition(".")
     tables = spark.catalog.listTables(database or spark.catalog.currentDatabase(), f"{short}__v*")
