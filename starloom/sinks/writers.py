@@ -54,13 +54,13 @@ def publish(df: DataFrame, name: str, bucket_by: Sequence[str] = (), buckets: in
 
 
 def _repoint(spark: SparkSession, name: str, table: str) -> None:
-    """Let the view show ``table``. Of two drivers that both make a view that was not there, one has to try again."""
+    """Let the view show ``table``. Of drivers that make or change a view at once, some have to try again."""
     for tries in reversed(range(5)):
         try:
             spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM {table}")
             return
-        except AnalysisException as clash:
-            if not tries or clash.getCondition() != "TABLE_OR_VIEW_ALREADY_EXISTS":
+        except AnalysisException:
+            if not tries:
                 raise
 
 
