@@ -35,6 +35,14 @@ def text_pass(df: DataFrame, columns: list[str | Column], schema: str, work: Cal
     return df.select(*columns).mapInArrow(batches, schema)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores until ``df`` has no column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo five; rows with 0 are held out of every training."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5

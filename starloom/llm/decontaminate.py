@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starloom.llm.common import prepare, text_pass
+from starloom.llm.common import free_name, prepare, text_pass
+from starloom.session import barrier
 
 #: Words in a search block.
 BLOCK = 2
@@ -121,7 +122,8 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
     are searched for like others, and not among the ids found. Null or empty texts have no words. Repeated rows are separate rows. Other columns are ignored.
     """
     spark = prepare(docs.sparkSession)
-    windows = benchmark_windows(benchmark, size)
+    # Written once: counted here and read by every pass.
+    windows = barrier(benchmark_windows(benchmark, size), "windows")
     passes = max(1, -(-windows.count() // PASS_WINDOWS))
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     found = None
@@ -197,6 +199,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10) ->
     The search answers with ids and text digests of hit rows, which are a small part of all. Rows go by both, so one with a
     null doc_id goes as well, and of several texts with one id only those with a passage go.
     """
-    hit = find_passages(docs, benchmark, size).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_hit_id"), F.col("key").alias("_hit_key")).distinct()
+    hit_id, hit_key = free_name(docs, "_hit_id"), free_name(docs, "_hit_key")
+    hit = find_passages(docs, benchmark, size).filter(F.size("spans") > 0).select(F.col("doc_id").alias(hit_id), F.col("key").alias(hit_key)).distinct()
     own = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_hit_id")) & (own == F.col("_hit_key")), "left_anti")
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col(hit_id)) & (own == F.col(hit_key)), "left_anti")

@@ -16,8 +16,6 @@ from starloom.llm.linear import linear_svm, probability
 UNKNOWN = "und"
 #: Documents of each language that the model is fitted on, those with the smallest md5 of their id.
 TRAIN_DOCS = 400
-#: Bytes of a training text that are used; predictions read whole texts.
-TRAIN_BYTES = 20_000
 #: Hash buckets of the byte n-grams.
 BUCKET_BITS = 12
 BUCKETS = 1 << BUCKET_BITS
@@ -56,19 +54,24 @@ def grams(text: str) -> np.ndarray:
     return np.concatenate(out)
 
 
+def shares(text: str) -> np.ndarray:
+    """How much of a text's n-grams each bucket has."""
+    own = grams(text)
+    return (np.bincount(own, minlength=BUCKETS) / max(len(own), 1)).astype(np.float32)
+
+
 class LanguageModel:
     """Machines between each two families, and between each two languages of a family."""
 
-    def __init__(self, rows: list[tuple[str, str]]):
-        """From (text, language) rows."""
+    def __init__(self, rows: list[tuple[np.ndarray, str]]):
+        """From (shares of the buckets in a text, language) rows."""
         self.languages = sorted({lang for _, lang in rows})
         family = {lang: FAMILY_OF.get(lang, lang) for lang in self.languages}
         self.families = sorted(set(family.values()))
         self.members = {f: [x for x in self.languages if family[x] == f] for f in self.families}
         counts = np.zeros((len(rows), BUCKETS), dtype=np.float32)
-        for i, (text, _) in enumerate(rows):
-            own = grams(text)
-            counts[i] = np.bincount(own, minlength=BUCKETS) / max(len(own), 1)
+        for i, (own, _) in enumerate(rows):
+            counts[i] = own
         # Frequent buckets weigh less, as in a distance between distributions.
         scale = 1 / np.sqrt(counts.sum(axis=0) / max(len(rows), 1) + np.float32(1e-5))
         counts *= scale
@@ -108,13 +111,24 @@ class LanguageModel:
 
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> LanguageModel:
-    """A model from at most ``train_docs`` documents of each language outside the held-out fold."""
+    """A model from at most ``train_docs`` documents of each language outside the held-out fold, whole texts.
+
+    Texts are counted where they lie; the driver gets the shares of the buckets, 16 KB for each of these documents.
+    """
+    prepare(docs.sparkSession)
     known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold() != 0)).select("doc_id", "lang").distinct()
     picked = smallest_ids(known, train_docs, "lang").select(F.col("doc_id").alias("_picked"), F.col("lang").alias("_lang"))
     texts = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
     rows = texts.join(F.broadcast(picked), (F.col("doc_id") == F.col("_picked")) & (F.col("lang") == F.col("_lang")))
-    cut = rows.select(F.substring("text", 1, TRAIN_BYTES).alias("text"), "lang", "doc_id").collect()
-    return LanguageModel(sorted((r.text, r.lang) for r in cut if _LETTER.search(r.text)))
+
+    def work(part: pa.RecordBatch) -> pa.RecordBatch:
+        found = [(shares(text).tobytes(), lang) for text, lang in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if _LETTER.search(text)]
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([x for _, x in found], pa.string())], names=["shares", "lang"])
+
+    counted = text_pass(rows, [F.col("text").cast("string"), F.col("lang").cast("string")], "shares binary, lang string", work).collect()
+    # In one order, so that the same documents give the same model.
+    ordered = sorted((r.lang, bytes(r.shares)) for r in counted)
+    return LanguageModel([(np.frombuffer(x, dtype=np.float32), lang) for lang, x in ordered])
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:

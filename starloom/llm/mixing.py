@@ -16,6 +16,9 @@ PIECE_DIGITS = 3
 #: A period has at least so many slots per source, so that a source of little weight costs the others little.
 SLOTS_PER_SOURCE = 4
 
+#: Sources that one schedule can have.
+MOST_SOURCES = 4_000
+
 _KEY = "_source_key"
 
 
@@ -39,7 +42,10 @@ def target_units(counts: DataFrame, weights: dict[str, float] | None) -> DataFra
     else:
         counts = counts.withColumn("weight", F.sqrt(F.col("docs").cast("double")))
     every = Window.partitionBy()
-    sized = counts.withColumn("period", F.greatest(F.lit(PERIOD), SLOTS_PER_SOURCE * F.count(F.lit(1)).over(every)).cast("long"))
+    many = F.raise_error(F.lit(f"more than {MOST_SOURCES} sources: group small ones first")).cast("long")
+    sources = F.count(F.lit(1)).over(every)
+    sources = F.when(sources > MOST_SOURCES, many).otherwise(sources)
+    sized = counts.withColumn("period", F.greatest(F.lit(PERIOD), SLOTS_PER_SOURCE * sources).cast("long"))
     share = F.when(F.sum("weight").over(every) > 0, F.col("weight") / F.sum("weight").over(every)).otherwise(1 / F.count(F.lit(1)).over(every))
     exact = sized.withColumn("exact", (F.col("period") - F.count(F.lit(1)).over(every)) * share)
     whole = exact.withColumn("whole", F.floor("exact")).withColumn("left", F.col("period") - F.count(F.lit(1)).over(every) - F.sum("whole").over(every))
@@ -84,12 +90,23 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str =
 
     A null source is a source of its own, rows with a null doc_id are ordered as if it were empty text, repeated rows are
     separate rows, and an empty table gives an empty one. Columns of ``docs`` with one of the new names are replaced.
-    There is one row per source in the tables that are gathered: sources are what a user names weights for.
+    There is one row per source in the tables that are gathered: sources are what a user names weights for. A schedule takes
+    steps in proportion to the square of their number, so more than MOST_SOURCES are an error.
     """
-    new = ["mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_place", "mix_balanced"]
-    base = docs.drop(*new)
+    rows = docs.drop(*_NEW)
+    placed = _placed(rows, weights, source, block_docs)
+    return placed.select(*[F.col("_row")[c].alias(c) for c in rows.columns], *_NEW)
+
+
+_NEW = ["mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_place", "mix_balanced"]
+
+
+def _placed(docs: DataFrame, weights: dict[str, float] | None, source: str, block_docs: int) -> DataFrame:
+    """Each row as one struct ``_row``, whose columns can't clash with those in use here, and its new columns."""
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    keyed = base.select("*", _key(source).alias(_KEY), digest.alias("_md5"), F.substring(digest, 1, PIECE_DIGITS).alias("_piece"), spread(base).alias("_tie"))
+    keyed = docs.select(
+        F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), _key(source).alias(_KEY), digest.alias("_md5"), F.substring(digest, 1, PIECE_DIGITS).alias("_piece"), spread(docs).alias("_tie")
+    )
     pieces = docs.select(_key(source).alias(_KEY), F.substring(digest, 1, PIECE_DIGITS).alias("_piece")).groupBy(_KEY, "_piece").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy(_KEY).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = pieces.select(_KEY, "_piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
@@ -98,17 +115,17 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str =
     blocks = F.ceil(F.col("docs") / block_docs)
     dry = schedule.filter(F.col("nth") == blocks % F.col("units")).select((F.floor(blocks / F.col("units")) * F.col("period") + F.col("slot")).alias("dry"))
     plan = schedule.crossJoin(F.broadcast(dry.agg(F.min("dry").alias("_dry")))).select(F.col(_KEY).alias("_k"), "units", "period", "nth", "slot", "_dry")
-    inside = Window.partitionBy(_KEY, "_piece").orderBy("_md5", "doc_id", "_tie")
+    inside = Window.partitionBy(_KEY, "_piece").orderBy("_md5", "_id", "_tie")
     numbered = keyed.join(offsets, [_KEY, "_piece"]).withColumn("_index", F.col("_before") + F.row_number().over(inside) - 1)
     block = F.floor(F.col("_index") / block_docs)
     cut = numbered.withColumn("mix_block", block).withColumn("mix_place", (F.col("_index") % block_docs).cast("long"))
+    # At most MOST_SOURCES rows, and SLOTS_PER_SOURCE as many in the plan, one per slot of a period.
     sized = F.broadcast(plan.select("_k", "units", "period", "_dry").distinct())
     weighed = cut.join(sized, F.col(_KEY) == F.col("_k")).drop("_k")
-    # The plan has one row per slot of a period.
     placed = weighed.join(F.broadcast(plan.select("_k", "nth", "slot")), (F.col(_KEY) == F.col("_k")) & (F.col("mix_block") % F.col("units") == F.col("nth")))
     slot = F.floor(F.col("mix_block") / F.col("units")) * F.col("period") + F.col("slot")
     return placed.select(
-        *[F.col(c) for c in base.columns],
+        "_row",
         "mix_block",
         F.floor(F.col("mix_block") * F.col("period") / F.col("units")).alias("mix_release"),
         F.ceil((F.col("mix_block") + 1) * F.col("period") / F.col("units")).alias("mix_deadline"),
@@ -119,9 +136,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str =
 
 
 def mixed_order(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """The rows of ``docs`` sorted into the mixture: files in the order of their names hold it."""
+    """The rows of ``docs`` sorted into the mixture, all columns: files in the order of their names hold it."""
     order = ["mix_slot", "mix_place"]
-    return mix(docs, weights).repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
+    placed = _placed(docs, weights, "source", BLOCK_DOCS).repartitionByRange(*order).sortWithinPartitions(*order)
+    return placed.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 MIX_SQL = f"""

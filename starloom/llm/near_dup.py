@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from starloom.llm.common import components, prepare, text_pass
+from starloom.llm.common import components, free_name, prepare, text_pass
 from starloom.llm.shingles import common, mixed, shingle_set
 from starloom.session import barrier
 
@@ -264,5 +264,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that :func:`near_duplicates` keeps, one document for each group, all columns."""
-    gone = near_duplicates(docs, words, percent).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(gone.withColumnRenamed("doc_id", "_gone_id"), F.col("doc_id") == F.col("_gone_id"), "left_anti")
+    name = free_name(docs, "_gone_id")
+    gone = near_duplicates(docs, words, percent).filter("NOT kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
