@@ -25,11 +25,35 @@ STEM_LETTERS = (4, 12)
 THRESHOLD = 0.5
 CACHE_WORDS = 500_000
 
+#: What a directed insult counts, as a multiple of a plain one.
+DIRECTED = 1.5
+#: What a negated or reported insult leaves, as a share of a plain one; only the heaviest of a text counts, and never
+#: more than half of what the threshold takes.
+REST = 0.1
+#: What a threat counts, as a multiple of what the threshold takes; unless at least so many training texts with a threat and
+#: no insult say otherwise by their labels.
+THREAT_COUNTS = 1.5
+THREAT_EVIDENCE = 20
+
 # Closed word classes of the grammar in four languages.
-THREATS = "kill murder hurt destroy strangle töten umbringen schlagen vernichten tuer frapper détruire matar golpear destruir".split()
-TARGETS = "you your yours he she him her they them du dich dir euch ihr sie er tu toi vous il elle ils tú usted él ella ellos".split()
-NEGATIONS = "not never no nobody isn't aren't wasn't don't nicht nie kein keine niemand ne pas jamais aucun nunca jamás ningún".split()
-REPORTS = "said says say saying told wrote called quoted sagte sagt schrieb nannte dit disait écrit appelé dijo dice escribió llamó".split()
+THREATS = (
+    "kill killed killing murder murdered hurt destroy strangle shoot stab beat burn "
+    "töten töte umbringen umbringe schlagen schlage vernichten vernichte erwürgen erschießen verprügeln "
+    "tuer tue tuerai frapper frapperai détruire détruirai étrangler poignarder brûler "
+    "matar mataré mato golpear golpearé destruir destruiré estrangular quemar"
+).split()
+TARGETS = (
+    "you your yours he she him her they them du dich dir dein deine euch euer ihr sie er ihn ihm "
+    "tu toi te ton ta vous votre il elle ils elles lui leur tú ti usted ustedes él ella ellos ellas"
+).split()
+NEGATIONS = (
+    "not never no nobody isn't aren't wasn't weren't don't doesn't didn't won't cannot nicht nie niemals kein keine keinen niemand "
+    "ne pas jamais aucun aucune nunca jamás ningún ninguna tampoco"
+).split()
+REPORTS = (
+    "said says say saying told wrote called calls quoted claimed sagte sagt sagten schrieb nannte behauptete "
+    "dit disait disent écrit appelé prétend dijo dice decía escribió llamó afirmó"
+).split()
 
 # Symbols that the lexicon writes and the clause transducer reads.
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, STOP = range(7)
@@ -127,16 +151,32 @@ START = (0, (False, 0, 0, 0))
 
 
 class ToxicityModel:
-    """Learned stems, and the weight of each kind of match."""
+    """Learned stems, what a threat counts, and how the strength of a text's matches becomes a score.
+
+    A text's strength adds up its insults, each with the weight of its stem; a directed one counts DIRECTED times, a
+    negated or reported one leaves REST. The score is a logistic function of the logarithm of the strength and never falls
+    where that rises, so labels set how much evidence it takes, and the grammar what counts as evidence.
+    """
 
     def __init__(self, rows: list[tuple[str, int]]):
         """From (text, label) rows; label 1 is toxic."""
         self.stems = learned_stems(rows)
         labels = np.array([y for _, y in rows], dtype=np.float64)
         self.rate = float(labels.mean()) if len(rows) else 0.0
-        self.weights = None
-        if 0 < self.rate < 1:
-            self.weights = logistic(np.array([self.facts(t) for t, _ in rows]), labels, penalty=1e-4)
+        self.line: tuple[float, float] | None = None
+        self.enough = self.threat = 0.0
+        if not 0 < self.rate < 1:
+            return
+        found = [self.matches(t) for t, _ in rows]
+        self.enough = math.inf  # while fitting, what a negated insult leaves is not bounded by the threshold
+        strength = np.log1p([self.strength(x) for x in found])
+        slope, level = logistic(strength[:, None], labels, penalty=1e-4)
+        # Without insults to learn from, threats still have to reach the threshold.
+        self.line = (float(slope), float(level)) if slope > 0 else (1.0, float(level))
+        self.enough = math.expm1(max(math.log(THRESHOLD / (1 - THRESHOLD)) - self.line[1], 0.0) / self.line[0])
+        alone = [y for x, (_, y) in zip(found, rows, strict=True) if {k for k, _ in x} == {"threat"}]
+        harmless = len(alone) >= THREAT_EVIDENCE and 2 * sum(alone) < len(alone)
+        self.threat = 0.0 if harmless else THREAT_COUNTS * self.enough
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in ("_words", "_grammar")}
@@ -152,19 +192,26 @@ class ToxicityModel:
             return []
         return [x for clause in _CLAUSE.split(text) for x in self._grammar.run(words_of(clause), START)]
 
-    def facts(self, text: str | None) -> list[float]:
-        """For each kind whether it is there and the logarithm of its weighted count; directed insults are insults too."""
-        sums = dict.fromkeys(KINDS, 0.0)
-        for kind, weight in self.matches(text) if text else ():
-            sums[kind] += max(weight, 1.0)
-            if kind == "directed":
-                sums["insult"] += max(weight, 1.0)
-        return [x for kind in KINDS for x in (float(sums[kind] > 0), math.log1p(sums[kind]))]
+    def strength(self, matches: list[tuple[str, float]]) -> float:
+        """What all matches of a text amount to."""
+        total = left = 0.0
+        for kind, weight in matches:
+            weight = max(weight, 1.0)
+            if kind == "insult":
+                total += weight
+            elif kind == "directed":
+                total += DIRECTED * weight
+            elif kind == "threat":
+                total += self.threat
+            else:
+                left = max(left, REST * weight)
+        return total + min(left, self.enough / 2)
 
     def score(self, text: str | None) -> float:
-        if self.weights is None:
+        if self.line is None:
             return self.rate
-        return float(probability(np.array(self.facts(text)) @ self.weights[:-1] + self.weights[-1]))
+        slope, level = self.line
+        return float(probability(np.float64(slope * math.log1p(self.strength(self.matches(text) if text else [])) + level)))
 
 
 def learned_stems(rows: list[tuple[str, int]]) -> dict[bytes, float]:
