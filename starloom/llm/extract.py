@@ -23,9 +23,14 @@ SAMPLE_PAGES = 6
 #: Pages that must agree on a text for it to be template.
 LEAST_PAGES = 3
 #: Children of a node that are aligned at once; longer lists are cut where both have an equal child, and into stretches.
-ALIGNED_CHILDREN = 40
-#: Characters of a page beyond which it is a sample only if its host has too few shorter ones, the shortest first.
-SAMPLE_CHARS = 60_000
+ALIGNED_CHILDREN = 200
+#: Share of the varying text of an element that one of its containers holds if that is where the content is.
+DOMINANT = 0.6
+#: What the largest of the other containers may hold, as a share of that one, where no name tells what they are.
+SMALL = 0.25
+#: A list below the content is a menu if so much of its text is in links, and if it has so many on each page.
+LINK_SHARE = 0.7
+LINKS = 3
 #: Elements inside each other that an alignment can follow.
 DEEPEST = 1_000_000
 
@@ -50,6 +55,9 @@ ASIDE = re.compile(
 #: Elements that name the article, and those a content path ends in without them: what is below others is part of a text.
 NAMED = ("article", "main")
 CONTAINERS = frozenset((*NAMED, "html", "body", "div", "section", "center"))
+#: Elements whose text never shows, and those that menus are made of.
+HARD = RAW | frozenset("head button select option svg canvas object".split())
+MENUS = frozenset("div section ul ol table p dl".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
@@ -60,10 +68,10 @@ _WHITE = re.compile(r"\s+")
 class Node:
     """An element, or a text if ``tag`` is empty."""
 
-    __slots__ = ("tag", "mark", "children", "text", "aside")
+    __slots__ = ("tag", "mark", "children", "text", "aside", "named")
 
-    def __init__(self, tag: str, mark: str = "", text: str = "", aside: bool = False):
-        self.tag, self.mark, self.children, self.text, self.aside = tag, mark, [], text, aside
+    def __init__(self, tag: str, mark: str = "", aside: bool = False, named: bool = False, text: str = ""):
+        self.tag, self.mark, self.children, self.text, self.aside, self.named = tag, mark, [], text, aside, named
 
 
 def parse(source: str) -> Node:
@@ -98,8 +106,7 @@ def parse(source: str) -> Node:
             _end(stack, {"p"}, {"button", "td", "th", "li", "div", "section", "article", "blockquote"})
         elif tag in ENDED_BY:
             _end(stack, *ENDED_BY[tag])
-        mark, aside = _mark(tag, found[3])
-        node = Node(tag, mark, aside=aside)
+        node = Node(tag, *_mark(tag, found[3]))
         stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*(?:>|$)", re.I).search(source, at)
@@ -119,19 +126,18 @@ def _end(stack: list[Node], ended: set[str], limits: set[str]) -> None:
             return _end(stack, ended, limits) if len(ended) > 1 else None
 
 
-def _mark(tag: str, attributes: str) -> tuple[str, bool]:
-    """(tag with class and id without digits, whether it stands beside the article)."""
+def _mark(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """(tag with class and id without digits, whether it stands beside the article, whether its class or id says so)."""
     if "=" not in attributes and "hidden" not in attributes:
-        return tag, tag in SKIPPED
+        return tag, tag in SKIPPED, False
     own = {}
     for name, one, two, three in _ATTRIBUTE.findall(attributes):
         own.setdefault(name.lower(), one or two or three)
     named = " ".join(own[k] for k in ("class", "id") if own.get(k))
     aside = tag in SKIPPED or "hidden" in own or own.get("aria-hidden") == "true" or own.get("role", "").lower() in ROLES or "display:none" in own.get("style", "").replace(" ", "").lower()
-    if tag not in ("html", "body", "article", "main") and named and ASIDE.search(named):
-        aside = True
+    told = tag not in ("html", "body", "article", "main") and bool(named and ASIDE.search(named))
     # Slashes and line ends separate marks and paths.
-    return f"{tag}.{re.sub(r'[/\s]+', ' ', re.sub(r'[0-9]+', '', named)).lower()}" if named else tag, aside
+    return f"{tag}.{re.sub(r'[/\s]+', ' ', re.sub(r'[0-9]+', '', named)).lower()}" if named else tag, aside or told, told
 
 
 # ---------------------------------------------------------------- wrappers
@@ -243,17 +249,18 @@ def _tidy(text: str) -> str:
     return _WHITE.sub(" ", html.unescape(text)).strip()
 
 
-def induce(pages: list[str]) -> tuple[str, list[str]]:
-    """(path of the content, its constant texts) from different pages of a host.
+def induce(pages: list[str]) -> tuple[str, list[str], list[str]]:
+    """(path of the content, its constant texts, paths of menus in it) from different pages of a host.
 
     Every page is aligned with the first one. A text of the first page that each other page has at the matched place is
-    constant: template. All other text is a slot. The content is every article or main element with slot text on any of the
-    pages, as paths joined by line ends; where these elements hold little of it, the smallest container that holds all slot
-    text of all pages which no element beside the article holds.
+    constant: template. All other text is a slot. How much slot text that is no link each element path has on all the pages
+    tells where the content is: from the root on, the container that holds most of it is entered, until an element
+    has such text of its own or several containers share it (:func:`_content`). Where that can't be told, the content is the
+    smallest container of all slot text which no element beside the article holds.
     """
     trees = [parse(x) for x in pages]
     if not trees:
-        return "", []
+        return "", [], []
     first = trees[0]
     same = Counter()
     for other in trees[1:]:
@@ -264,24 +271,114 @@ def induce(pages: list[str]) -> tuple[str, list[str]]:
     constant = {id(n) for _, n in _walk(first) if not n.tag and others + 1 >= LEAST_PAGES and same[id(n)] == others}
     template = {_tidy(n.text) for _, n in _walk(first) if id(n) in constant}
     pages_texts = [list(_texts(t)) for t in trees]
-    slots = [(at, text) for texts in pages_texts for at, text in texts if text not in template]
-    mass: Counter[str] = Counter()
-    for at, text in slots:
-        if (outer := _outermost(at)) is not None:
-            mass[outer] += len(text)
-    if mass and sum(mass.values()) >= 0.3 * sum(len(text) for _, text in slots):
-        path = "\n".join(sorted(mass))
-    else:
-        # Copies of one article differ in a few words; the article is not only these.
-        alike = sum(len(text) for _, text in pages_texts[0] if text in template)
-        path = _above([at for at, _ in (slots if 2 * alike <= sum(len(text) for _, text in pages_texts[0]) else sum(pages_texts, []))])
+    # Copies of one article differ in a few words; the article is not only these.
+    alike = sum(len(text) for _, text in pages_texts[0] if text in template)
+    copies = 2 * alike > sum(len(text) for _, text in pages_texts[0])
+    facts = Facts(trees, frozenset() if copies else frozenset(template))
+    path = facts.content() if others + 1 >= LEAST_PAGES else None
+    if path is None:
+        slots = [(at, text) for texts in pages_texts for at, text in texts if text not in template]
+        mass = Counter()
+        for at, text in slots:
+            if (outer := _outermost(at)) is not None:
+                mass[outer] += len(text)
+        if mass and sum(mass.values()) >= 0.3 * sum(len(text) for _, text in slots):
+            path = "\n".join(sorted(mass))
+        else:
+            path = _above([at for at, _ in (sum(pages_texts, []) if copies else slots)])
     paths = path.split("\n")
     inside = [n for at, n in _walk(first) if not n.tag and any(at.startswith(f"{p}/") for p in paths)]
     texts = sorted({_tidy(n.text) for n in inside if id(n) in constant})
     # Pages that agree on most of their content are copies of one article; they say nothing of the template.
     if 2 * sum(map(len, texts)) > sum(len(_tidy(n.text)) for n in inside):
         texts = []
-    return path, texts
+    return path, texts, facts.menus(path)
+
+
+class Facts:
+    """What the sample pages of a host have at each element path: slot text outside links, text in links, links, all text.
+
+    Text that never shows (scripts, styles, forms' parts) isn't counted. What stands in elements beside the article counts as
+    text of its own path, but not for the elements around it.
+    """
+
+    def __init__(self, trees: list[Node], template: frozenset[str]):
+        self.pages = len(trees)
+        # Slot text outside links, and the part of it that is in no container further down.
+        self.slots, self.direct, self.linked, self.links, self.all = Counter(), Counter(), Counter(), Counter(), Counter()
+        self.kids: dict[str, set[str]] = {}
+        self.titles: Counter[str] = Counter()
+        self.told = False
+        self.outer: Counter[str] = Counter()
+        for tree in trees:
+            self._count(tree, template)
+
+    def _count(self, tree: Node, template: frozenset[str]) -> None:
+        heads = [_tidy(" ".join(x.text for _, x in _walk(n) if not x.tag)) for _, n in _walk(tree) if n.tag == "h1"]
+        title = heads[0] if heads else None
+        # (node, path, paths of the elements around it, innermost container, whether in a link)
+        stack = [(tree, "", ("",), "", False)]
+        while stack:
+            node, at, around, box, link = stack.pop()
+            for c in node.children:
+                if not c.tag:
+                    text = _tidy(c.text)
+                    if not text:
+                        continue
+                    for p in around:
+                        self.all[p] += len(text)
+                        self.linked[p] += link * len(text)
+                    if not link and text not in template:
+                        for p in around:
+                            self.slots[p] += len(text)
+                            self.titles[p] += text == title
+                        self.direct[box] += len(text)
+                        if (outer := _outermost(at)) is not None:
+                            self.outer[outer] += len(text)
+                    continue
+                self.told = self.told or c.named
+                if c.tag in HARD or (c.aside and c.tag not in NAMED):
+                    continue
+                path = f"{at}/{c.mark}"
+                inner = link or c.tag == "a"
+                if c.tag == "a":
+                    for p in (*around, path):
+                        self.links[p] += 1
+                inside = box
+                if c.tag in CONTAINERS:
+                    self.kids.setdefault(box, set()).add(path)
+                    inside = path
+                stack.append((c, path, (*around, path), inside, inner))
+
+    def content(self) -> str | None:
+        """The path of the content, or paths joined by line ends; None if the pages have no slot text."""
+        at = ""
+        if not self.slots[at]:
+            return None
+        while not self.direct[at]:
+            boxes = sorted((p for p in self.kids.get(at, ()) if self.slots[p]), key=lambda p: (-self.slots[p], p))
+            if not boxes or self.slots[boxes[0]] < DOMINANT * self.slots[at]:
+                break
+            best, rest = boxes[0], boxes[1:]
+            if best.rsplit("/", 1)[-1].split(".")[0] in NAMED:
+                return "\n".join(sorted(self.outer))
+            if rest and (self.told or any(self.titles[p] for p in rest) or self.slots[rest[0]] > SMALL * self.slots[best]):
+                # Names would have told what stands beside the article, so these are parts of it.
+                break
+            at = best
+        if self.outer and sum(self.outer.values()) >= 0.3 * self.slots[at]:
+            return "\n".join(sorted(self.outer))
+        return at
+
+    def menus(self, path: str) -> list[str]:
+        """Paths below the content whose text is nearly all links, on every page many; not below article elements."""
+        if any(_outermost(p) for p in path.split("\n")):
+            return []
+        found = [
+            p for p, n in self.links.items()
+            if p.startswith(f"{path}/") and p.rsplit("/", 1)[-1].split(".")[0] in MENUS and n >= LINKS * self.pages and self.linked[p] >= LINK_SHARE * self.all[p]
+        ]
+        return sorted(p for p in found if not any(p.startswith(f"{q}/") for q in found))
 
 
 def _texts(tree: Node) -> Iterator[tuple[str, str]]:
@@ -316,11 +413,14 @@ def _above(paths: list[str]) -> str:
     return "/".join(low[:shared])
 
 
-def extract(source: str | None, path: str = "", constant: frozenset[str] = frozenset()) -> str:
+def extract(source: str | None, path: str = "", constant: frozenset[str] = frozenset(), menus: frozenset[str] = frozenset()) -> str:
     """The article's blocks, joined by newlines: below the wrapper's path, or else what looks like the article."""
     if not source:
         return ""
     tree = parse(source)
+    if menus:
+        for at, node in _walk(tree):
+            node.aside = node.aside or at in menus
     found = _at(tree, path) if path else []
     if not found or not any(_has_text(n) for n in found):
         found = _named(tree, "article") or _named(tree, "main") or _named(tree, "body") or [tree]
@@ -399,7 +499,7 @@ def host_of(url: str = "url") -> Column:
 
 
 def induce_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, path, constant): one row per host, from a bounded sample of its different pages.
+    """(host, path, constant, menus): one row per host, from a bounded sample of its different pages.
 
     Pages are picked by their hashes and lengths alone, after an aggregate that leaves one row of equal pages; a window that
     keeps few rows drops the others before the shuffle, so a host with a third of all pages sends no more than
@@ -408,7 +508,7 @@ def induce_wrappers(pages: DataFrame) -> DataFrame:
     html_text = F.col("html").cast("string")
     usable = pages.select(host_of().alias("host"), html_text.alias("html")).filter("html IS NOT NULL AND html <> '' AND host <> ''").withColumn("hash", F.xxhash64("html"))
     different = usable.groupBy("host", "hash").agg(F.min(F.length("html")).alias("chars"))
-    order = Window.partitionBy("host").orderBy(F.greatest("chars", F.lit(SAMPLE_CHARS)), "hash")
+    order = Window.partitionBy("host").orderBy("hash")
     first = different.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= 4 * SAMPLE_PAGES)
     # Pages of middle length align best: short and very long ones lack or add parts.
     middle = F.greatest(F.lit(0), F.floor((F.count(F.lit(1)).over(Window.partitionBy("host")) - SAMPLE_PAGES) / 2))
@@ -418,10 +518,10 @@ def induce_wrappers(pages: DataFrame) -> DataFrame:
 
     def induced(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         sys.setrecursionlimit(DEEPEST)
-        path, constant = induce(list(rows.sort_values("place")["html"]))
-        return pd.DataFrame({"host": [key[0]], "path": [path], "constant": [constant]})
+        path, constant, menus = induce(list(rows.sort_values("place")["html"]))
+        return pd.DataFrame({"host": [key[0]], "path": [path], "constant": [constant], "menus": [menus]})
 
-    return sample.groupBy("host").applyInPandas(induced, "host string, path string, constant array<string>")
+    return sample.groupBy("host").applyInPandas(induced, "host string, path string, constant array<string>, menus array<string>")
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -434,11 +534,15 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """
     prepare(pages.sparkSession)
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host_of().alias("host"))
-    joined = own.join(induce_wrappers(pages), "host", "left").select("page_id", "url", "html", "path", "constant")
+    # Written, so that Spark knows their size: wrappers of few hosts are broadcast by its own threshold and pages stay where
+    # they are; for many hosts the join is one of two plain shuffles, in which a host with very many pages is split.
+    wrappers = barrier(induce_wrappers(pages), "wrappers")
+    joined = own.join(wrappers, "host", "left").select("page_id", "url", "html", "path", "constant", "menus")
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            texts = [extract(h, p or "", frozenset(c or ())) for h, p, c in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+            wrapped = zip(*(part.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True)
+            texts = [extract(h, p or "", frozenset(c or ()), frozenset(m or ())) for h, p, c, m in wrapped]
             out = [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
             yield pa.RecordBatch.from_arrays(out, names=["page_id", "url", "text", "n_chars"])
 

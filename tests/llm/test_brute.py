@@ -201,7 +201,7 @@ def test_grammar_matches_clauses():
 
 def test_wrapper_finds_constant_and_slots():
     pages = [f"<body><div class='top'>Site name</div><div class='body'><p>Share this page</p><p>{x * 40}</p><p>{x * 30} tail</p></div></body>" for x in ("ab ", "cd ", "ef ", "gh ")]
-    path, constant = extract.induce(pages)
+    path, constant, _ = extract.induce(pages)
     assert path == "/body/div.body" and constant == ["Share this page"]
     assert extract.extract(pages[0], path, frozenset(constant)) == f"{('ab ' * 40).strip()}\n{('ab ' * 30).strip()} tail"
 
@@ -210,20 +210,20 @@ def test_wrapper_keeps_all_of_the_content():
     words = ("ab ", "cd ", "ef ", "gh ")
     parts = lambda x: (f"title {x}".strip(), f"lead {x}".strip(), (x * 90).strip())
     pages = ["<body><div class='top'>Site name</div><div class='content'><h1>{}</h1><p class='lead'>{}</p><div class='text'><p>{}</p></div></div></body>".format(*parts(x)) for x in words]
-    path, constant = extract.induce(pages)
+    path, constant, _ = extract.induce(pages)
     assert [extract.extract(p, path, frozenset(constant)) for p in pages] == ["\n".join(parts(x)) for x in words]
     # The first page is one quotation, others have text around it.
     quoted = [f"<body><div class='c'><blockquote>{x * 90}</blockquote>{f'<p>{x * 9}</p>' if i else ''}</div></body>" for i, x in enumerate(words)]
-    path, constant = extract.induce(quoted)
+    path, constant, _ = extract.induce(quoted)
     assert path == "/body/div.c" and extract.extract(quoted[1], path, frozenset(constant)) == f"{('cd ' * 90).strip()}\n{('cd ' * 9).strip()}"
     # Articles of different classes, one of them on no sample page.
     several = [f"<body><article class='one'>{x * 90}</article><article class='two w/2'>{x * 20}</article></body>" for x in words]
-    path, constant = extract.induce(several)
+    path, constant, _ = extract.induce(several)
     other = several[0].replace("</body>", "<article class='three'>more</article></body>")
     assert extract.extract(other, path, frozenset(constant)) == f"{('ab ' * 90).strip()}\n{('ab ' * 20).strip()}\nmore"
     # Copies of one article that differ in a date.
     copies = [f"<body><div class='c'><div class='date'>{x}</div><p>{'same ' * 50}</p></div></body>" for x in words]
-    path, constant = extract.induce(copies)
+    path, constant, _ = extract.induce(copies)
     assert extract.extract(copies[0], path, frozenset(constant)) == f"ab\n{('same ' * 50).strip()}"
 
 
@@ -233,9 +233,9 @@ def test_wrapper_aligns_long_lists():
         return f"<article>{''.join(body[: n // 2])}<p>Subscribe now</p>{''.join(body[n // 2 :])}</article>"
 
     pages = [page(x, n) for x, n in (("ab", 70), ("cd", 90), ("ef", 81), ("gh", 130))]
-    path, constant = extract.induce(pages)
+    path, constant, _ = extract.induce(pages)
     assert constant == ["Subscribe now"] and extract.extract(pages[0], path, frozenset(constant)).count("\n") == 69
-    left, right = ([extract.Node("p", "p", aside=False) for _ in range(n)] for n in (95, 41))
+    left, right = ([extract.Node("p", "p") for _ in range(n)] for n in (95, 41))
     cut = list(extract._stretches(left, right))
     assert sum((a for a, _ in cut), []) == left and sum((b for _, b in cut), []) == right
 
