@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -14,6 +15,8 @@ from starloom.llm.common import fold, prepare, smallest_ids, text_pass
 from starloom.llm.linear import linear_svm, probability
 
 UNKNOWN = "und"
+#: A text is in no learned language if less than this share of its letters occurs in any training text.
+KNOWN_LETTERS = 0.5
 #: Documents of each language that the model is fitted on, those with the smallest md5 of their id.
 TRAIN_DOCS = 400
 #: Hash buckets of the byte n-grams.
@@ -63,8 +66,9 @@ def shares(text: str) -> np.ndarray:
 class LanguageModel:
     """Machines between each two families, and between each two languages of a family."""
 
-    def __init__(self, rows: list[tuple[np.ndarray, str]]):
-        """From (shares of the buckets in a text, language) rows."""
+    def __init__(self, rows: list[tuple[np.ndarray, str]], letters: str = ""):
+        """From (shares of the buckets in a text, language) rows and the letters of these texts."""
+        self.letters = frozenset(letters)
         self.languages = sorted({lang for _, lang in rows})
         family = {lang: FAMILY_OF.get(lang, lang) for lang in self.languages}
         self.families = sorted(set(family.values()))
@@ -109,6 +113,12 @@ class LanguageModel:
         language, surer = self._winner(family, self.members[family], margins)
         return language, sure * surer
 
+    def readable(self, text: str) -> bool:
+        """Whether the text is in letters that training texts have; the machines tell languages apart, not scripts."""
+        own = Counter(text)
+        known = sum(n for c, n in own.items() if c in self.letters)
+        return known >= KNOWN_LETTERS * sum(n for c, n in own.items() if _LETTER.match(c))
+
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> LanguageModel:
     """A model from at most ``train_docs`` documents of each language outside the held-out fold, whole texts.
@@ -122,13 +132,15 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> LanguageModel:
     rows = texts.join(F.broadcast(picked), (F.col("doc_id") == F.col("_picked")) & (F.col("lang") == F.col("_lang")))
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        found = [(shares(text).tobytes(), lang) for text, lang in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if _LETTER.search(text)]
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([x for _, x in found], pa.string())], names=["shares", "lang"])
+        texts = [(text, lang) for text, lang in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if _LETTER.search(text)]
+        found = [pa.array([shares(text).tobytes() for text, _ in texts], pa.binary()), pa.array([lang for _, lang in texts], pa.string())]
+        letters = pa.array(["".join(sorted(c for c in set(text) if _LETTER.match(c))) for text, _ in texts], pa.string())
+        return pa.RecordBatch.from_arrays([*found, letters], names=["shares", "lang", "letters"])
 
-    counted = text_pass(rows, [F.col("text").cast("string"), F.col("lang").cast("string")], "shares binary, lang string", work).collect()
+    counted = text_pass(rows, [F.col("text").cast("string"), F.col("lang").cast("string")], "shares binary, lang string, letters string", work).collect()
     # In one order, so that the same documents give the same model.
     ordered = sorted((r.lang, bytes(r.shares)) for r in counted)
-    return LanguageModel([(np.frombuffer(x, dtype=np.float32), lang) for lang, x in ordered])
+    return LanguageModel([(np.frombuffer(x, dtype=np.float32), lang) for lang, x in ordered], "".join(r.letters for r in counted))
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -152,14 +164,20 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def keep_languages(docs: DataFrame, model: LanguageModel, least: float = 0.0) -> DataFrame:
-    """The rows of ``docs`` whose text is in a learned language, with a score of ``least`` or more, all columns."""
+    """The rows of ``docs`` whose text is in a learned language, with a score of ``least`` or more, all columns.
+
+    Texts without a letter, and texts most of whose letters no training text has, are in none. Without any learned language
+    nothing stays.
+    """
     spark = prepare(docs.sparkSession)
     held = spark.sparkContext.broadcast(model)
     place = docs.columns.index("text")
 
     def batches(parts):
         for part in parts:
-            found = [held.value.predict(x) for x in part.column(place).to_pylist()]
-            yield part.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+            texts = part.column(place).to_pylist()
+            found = [held.value.predict(x) for x in texts]
+            keep = [lang != UNKNOWN and score >= least and held.value.readable(x) for x, (lang, score) in zip(texts, found, strict=True)]
+            yield part.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(batches, docs.schema)

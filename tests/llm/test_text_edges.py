@@ -119,3 +119,10 @@ def test_language_stage_drops_texts_without_letters(spark, docs):
 
 def test_extra_column_of_the_mixture_is_replaced(spark, docs):
     assert mixing.mix(docs.withColumn("mix_slot", F.lit("x"))).schema["mix_slot"].dataType.simpleString() == "bigint"
+
+
+def test_language_stage_drops_unlearned_scripts(spark, docs):
+    strange = ["Привет, как дела? Это русский текст о погоде", "这是一个中文句子", "Καλημέρα κόσμε", "mostly English words and one слово", "Ünïcödé lättérs ôf thé sàmé scrïpt, mostly plain ones"]
+    more = spark.createDataFrame([(100 + i, t, None, "x", 0, 0.0, "", 0, "") for i, t in enumerate(strange)], SCHEMA)
+    left = corpus_pipeline.known_language(spark, docs.union(more), "").select("doc_id").collect()
+    assert {r.doc_id for r in left if r.doc_id and r.doc_id >= 100} == {103, 104}
