@@ -2,6 +2,9 @@
 
 Each stage gets a session, what its predecessor kept and the folder of the given tables. What it returns is written as
 Parquet below the shared folder and read again as the next stage's documents.
+
+In every stage an empty table gives an empty table, repeated rows are rows like any other unless stated, and further columns
+stay as they are whatever their names. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -16,25 +19,38 @@ from starloom.session import scratch_path, tune
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the given documents teach; texts without a letter go."""
+    """Documents in a language that the given documents teach.
+
+    Texts that are null or have no letter go, and those most of whose letters no training text has. Null ids and nulls in
+    lang or source are no reason to go. If no document tells its language, none stays.
+    """
     tune(prepare(spark))
     return langid.keep_languages(docs, langid.fit(docs))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more.
+
+    Texts without a word, and rows without an id, are in no group and stay. Rows with one id stay or go together.
+    """
     tune(prepare(spark))
     return near_dup.drop_near_duplicates(docs, words=5, percent=80)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without ten words in a row of a benchmark item."""
+    """Documents without ten words in a row of a benchmark item.
+
+    Rows go by id and text, those without an id too. Null texts, null items and items without a word give no match.
+    """
     tune(prepare(spark))
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in files that hold them in the order of the mixture."""
+    """All documents, in files that hold them in the order of the mixture.
+
+    A null source is a source of its own; a null id counts as an empty one. Equal rows lie next to each other.
+    """
     tune(prepare(spark))
     return mixing.mixed_order(docs)
 
@@ -43,6 +59,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each document's ids are among the ids of the token files, which follow the order of the mixture.
 
     Readers may open files in any order, so the order is taken from the schedule again; it depends on the documents alone.
+    Null and empty texts have only the end id.
     """
     tune(prepare(spark))
     ordered = mixing.mix(docs.select("doc_id", "text", "source"))
