@@ -166,38 +166,69 @@ def _hubs(members: DataFrame) -> DataFrame:
     return barrier(members.join(best.select("bucket", (-F.col("top.minus")).alias("hub")), "bucket"), "nd-members")
 
 
+def _sharing(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes of one hub in different components that may share enough of the given shingles.
+
+    ``rows`` has hub ``b``, node ``a``, its component (root), its number of shingles (size_a), how many others it can share
+    at most (base), how many of the given ones it has to share at least with whatever partner (missing), and a row for
+    each given ``shingle``. With each node's shingles ordered by how many nodes of the hub have them, rarest first, a node
+    that needs m of its e shingles shares one of its e - m + 1 rarest. The rarest shingle that two nodes share is followed
+    in both by all others they share, so where too few follow the pair is out.
+    """
+    counted = rows.groupBy("b", "shingle").agg(F.count(F.lit(1)).alias("nodes"), F.min("root").alias("low"), F.max("root").alias("high"))
+    # Shingles of one component are in no pair that is wanted: they neither count as shared nor take a place.
+    common_ones = rows.join(counted.filter("low < high").select("b", "shingle", "nodes"), ["b", "shingle"])
+    # Both windows are bounded by a node's own shingles, which were one array.
+    own_ones = Window.partitionBy("b", "a")
+    ranked = common_ones.withColumn("able", F.count(F.lit(1)).over(own_ones)).withColumn("rank", F.row_number().over(own_ones.orderBy("nodes", "shingle")))
+    rare = barrier(ranked.filter("rank <= able - missing + 1").select("b", "shingle", "a", "root", "size_a", "base", (F.col("able") - F.col("rank") + 1).alias("left")), "nd-rare")
+    one, two = (rare.select("b", "shingle", F.col("a").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("root", "size_a", "base", "left")]) for n in "xy")
+    met = one.join(two, ["b", "shingle"]).filter("x > y AND root_x <> root_y")
+    sized = met.filter(F.least("size_a_x", "size_a_y") * 100 >= F.greatest("size_a_x", "size_a_y") * percent)
+    need = F.ceil(percent * (F.col("size_a_x") + F.col("size_a_y")) / (100 + percent)) - F.least("base_x", "base_y")
+    return sized.filter(F.least("left_x", "left_y") >= need).select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+
+def _own_shingles(nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """``nodes`` (b, a, root, size_a) with a row for each shingle of the node's whole set."""
+
+    def work(part: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(text, words).view(np.int64) for text in part.column(4).to_pylist()]
+        at = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]), pa.int64())
+        shingles = pa.array(np.concatenate(sets) if sets else np.empty(0, dtype=np.int64), pa.int64())
+        return pa.RecordBatch.from_arrays([*(part.column(i).take(at) for i in range(4)), shingles], names=["b", "a", "root", "size_a", "shingle"])
+
+    with_text = nodes.join(texts.select(F.col("doc_id").alias("a"), "text"), "a")
+    return text_pass(with_text, ["b", "a", "root", "size_a", "text"], "b long, a long, root long, size_a long, shingle long", work)
+
+
 def _beside_hubs(families: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs (a, b) of nodes of one hub in different components that can reach the threshold.
 
     ``families`` has hub, node and the node's component (root). Let x and y share s(x) and s(y) shingles with the hub.
     To be linked they must share ``percent / (100 + percent) * (size(x) + size(y))`` shingles, at most the smaller s of
     which the hub has. So either that suffices, which only nodes with few shingles allow, or they share as many others as
-    are missing. Then, with each node's other shingles ordered by how many nodes of the hub have them, they share one of
-    the rarest: a node that needs m of its e others is found by its e - m + 1 rarest. Edits that many copies share by
-    chance are among the frequent ones, so pairs come from edits that are shared because the texts are related.
+    are missing. The former are paired by their whole sets, the latter by what they have beside the hub, both by their
+    rarest shingles (:func:`_sharing`). Edits that many copies share by chance are among the frequent ones, so
+    pairs come from edits that are shared because the texts are related.
     """
     compared = _compared(families.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")), texts, words, extra=True)
     own = compared.join(families.select(F.col("hub").alias("b"), F.col("node").alias("a"), "root"), ["a", "b"])
     hubs = families.filter("node = hub").select(F.col("hub").alias("b"), F.col("root").alias("hub_root"))
     least = own.groupBy("b").agg(F.min("size_a").alias("least"))
+    needed = F.ceil(percent * (F.col("size_a") + F.col("least")) / (100 + percent))
     reach = F.floor(F.col("shared") * (100 + percent) / percent) - F.col("size_a")
-    missing = F.ceil(percent * (F.col("size_a") + F.col("least")) / (100 + percent)) - F.col("shared")
-    facts = barrier(own.join(least, "b").join(hubs, "b").withColumn("reach", reach).withColumn("missing", F.greatest(missing, F.lit(1))), "nd-families")
-    x = facts.filter("root <> hub_root AND reach >= least").select("b", F.col("a").alias("x"), F.col("root").alias("root_x"), "reach")
-    y = facts.select("b", F.col("a").alias("y"), F.col("root").alias("root_y"), F.col("size_a").alias("size_y"))
-    short = x.join(y, "b").filter("root_x <> root_y AND size_y <= reach").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    missing = F.greatest(needed - F.col("shared"), F.lit(1))
+    facts = barrier(own.join(least, "b").join(hubs, "b").withColumn("reach", reach).withColumn("missing", missing), "nd-families")
+    # Nodes that what the hub has may suffice for, and those that are small enough to be their partners.
+    able = (F.col("root") != F.col("hub_root")) & (F.col("reach") >= F.col("least"))
+    top = facts.filter(able).groupBy("b").agg(F.max("reach").alias("top"))
+    few = barrier(facts.join(top, "b").filter(able | (F.col("size_a") <= F.col("top"))).select("b", "a", "root", "size_a", needed.alias("missing")), "nd-few")
+    whole = _own_shingles(few.drop("missing"), texts, words).join(few.select("b", "a", "missing"), ["b", "a"]).withColumn("base", F.lit(0).cast("long"))
     # The outer form keeps Spark from working the array out twice.
-    others = facts.select("b", "a", "root", "missing", F.size("extra").alias("others"), F.explode_outer("extra").alias("shingle")).filter("shingle IS NOT NULL AND missing <= others")
-    counted = others.groupBy("b", "shingle").agg(F.count(F.lit(1)).alias("nodes"), F.min("root").alias("low"), F.max("root").alias("high"))
-    # Shingles of one component are in no pair that is wanted: they neither count as shared nor take a place.
-    common_ones = others.drop("others").join(counted.filter("low < high").select("b", "shingle", "nodes"), ["b", "shingle"])
-    # Both windows are bounded by a node's own shingles, which were one array.
-    own_ones = Window.partitionBy("b", "a")
-    ranked = common_ones.withColumn("able", F.count(F.lit(1)).over(own_ones)).withColumn("rank", F.row_number().over(own_ones.orderBy("nodes", "shingle")))
-    rare = barrier(ranked.filter("rank <= able - missing + 1").select("b", "shingle", "a", "root"), "nd-rare")
-    left, right = (rare.select("b", "shingle", F.col("a").alias(n), F.col("root").alias(f"root_{n}")) for n in "xy")
-    related = left.join(right, ["b", "shingle"]).filter("x > y AND root_x <> root_y").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    return short.union(related)
+    columns = ["b", "a", "root", "size_a", F.col("shared").alias("base"), "missing"]
+    others = facts.select(*columns, F.size("extra").alias("others"), F.explode_outer("extra").alias("shingle")).filter("shingle IS NOT NULL AND missing <= others")
+    return _sharing(whole, percent).union(_sharing(others.drop("others"), percent))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
