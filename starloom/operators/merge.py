@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from starloom.operators.intervals import interval_lookup
+from starloom.operators.joins import LookupValue
 from starloom.session import barrier
 
 
@@ -127,13 +129,16 @@ def delete_matching(
 ) -> DataFrame:
     """Remove target rows for which some source row meets every ``(target, operator, source)`` test.
 
-    Equality tests and at most one other comparison: whether any source value of a key is larger,
-    smaller or different shows in its minimum and maximum, so the source becomes one row per key.
+    * Equality tests and one other comparison: whether any source value of a key is larger, smaller or different shows in
+      its minimum and maximum, so the source becomes one row per key.
+    * ``>=`` one source value and ``<`` or ``<=`` another: the source rows are intervals, and each target row looks for one that
+      holds it (:func:`~starloom.operators.intervals.interval_lookup`), with or without equality tests.
+    * Other comparisons together need an equality test; distinct source rows of a key are compared with its target rows.
     """
     equal = [(t, s) for t, op, s in keys if op == "="]
     other = [(t, op, s) for t, op, s in keys if op != "="]
     if len(other) > 1:
-        raise ValueError("delete on equality and at most one other comparison")
+        return _delete_by_several(target, source, equal, other)
     names = [f"_d{i}" for i in range(len(equal))]
     side = source.select(
         *[F.col(s).alias(n) for n, (_, s) in zip(names, equal)], *[F.col(s).alias("_v") for _, _, s in other]
@@ -153,3 +158,29 @@ def delete_matching(
     else:
         side = barrier(side, "delete")
     return target.join(side, meets, "left_anti")
+
+
+def _delete_by_several(
+    target: DataFrame, source: DataFrame, equal: Sequence[tuple[str, str]], other: Sequence[tuple[str, str, str]]
+) -> DataFrame:
+    by = {op: (t, s) for t, op, s in other}
+    upper = "<" if "<" in by else "<="
+    if len(other) == 2 and ">=" in by and upper in by and by[">="][0] == by[upper][0]:
+        (column, low), (_, high) = by[">="], by[upper]
+        # Fresh names, as source columns may be called like target columns.
+        side = source.select(*[F.col(s).alias(f"_d{i}") for i, (_, s) in enumerate(equal)], F.col(low).alias("_low"), F.col(high).alias("_high"), F.lit(True).alias("_hit"))
+        on = {t: f"_d{i}" for i, (t, _) in enumerate(equal)}
+        found = interval_lookup(target, side, on, column, "_low", "_high", [LookupValue("_hit", "_deleted")], closed=upper == "<=")
+        return found.where(F.col("_deleted").isNull()).select(*target.columns)
+    if not equal:
+        raise ValueError("several comparisons other than a range need an equality test")
+    compare = {
+        "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<>": lambda a, b: a != b,
+    }
+    side = source.select(
+        *[F.col(s).alias(f"_d{i}") for i, (_, s) in enumerate(equal)], *[F.col(s).alias(f"_v{i}") for i, (_, _, s) in enumerate(other)]
+    )
+    side = barrier(side.distinct(), "delete")
+    meets = [F.col(t) == F.col(f"_d{i}") for i, (t, _) in enumerate(equal)]
+    meets += [compare[op](F.col(t), F.col(f"_v{i}")) for i, (t, op, _) in enumerate(other)]
+    return target.join(side, functools.reduce(lambda a, b: a & b, meets), "left_anti")

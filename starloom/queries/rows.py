@@ -346,6 +346,23 @@ def delete_older(spark, sf):
     return merge.delete_matching(orders, cutoffs, [("o_orderdate", "<", "cutoff")]).select("o_orderkey")
 
 
+@query(
+    "delete_range",
+    """SELECT o_orderkey FROM orders o WHERE NOT EXISTS (
+         SELECT 1 FROM orders u WHERE u.o_orderpriority = '1-URGENT' AND u.o_custkey = o.o_custkey
+           AND o.o_orderdate >= u.o_orderdate + INTERVAL 1 DAY AND o.o_orderdate < u.o_orderdate + INTERVAL 60 DAY)""",
+)
+def delete_range(spark, sf):
+    """Orders within two months after an urgent order of their customer: an equality and a range."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    at = F.col("o_orderdate")
+    spans = orders.where("o_orderpriority = '1-URGENT'").select(
+        "o_custkey", (at + F.expr("INTERVAL 1 DAY")).alias("low"), (at + F.expr("INTERVAL 60 DAYS")).alias("high")
+    )
+    tests = [("o_custkey", "=", "o_custkey"), ("o_orderdate", ">=", "low"), ("o_orderdate", "<", "high")]
+    return merge.delete_matching(orders, spans, tests).select("o_orderkey")
+
+
 # -- projection and casts ------------------------------------------------------------------------
 
 

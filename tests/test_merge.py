@@ -111,3 +111,33 @@ def test_currency_uses_the_latest_rate(spark):
     ).selectExpr("*", "cast(10 as decimal(15,2)) as amount")
     got = {r["id"]: r["usd"] for r in convert_currency(df, "amount", "cur", "at", rates, "usd").collect()}
     assert {k: v if v is None else float(v) for k, v in got.items()} == {1: None, 2: 11.0, 3: 12.0, 4: None}
+
+
+@pytest.mark.parametrize("tests", [
+    [("k", "=", "k"), ("v", ">=", "low"), ("v", "<", "high")], [("v", ">=", "low"), ("v", "<=", "high")], [("k", "=", "k"), ("v", ">=", "low"), ("v", "<=", "high")],
+    [("k", "=", "k"), ("v", ">", "low"), ("v", "<>", "high")], [("k", "=", "k"), ("v", ">", "low"), ("w", "<", "high")], [("k", "=", "k"), ("v", ">=", "low"), ("w", "<=", "high"), ("v", "<>", "k")],
+])
+def test_delete_by_several_comparisons(spark, tests):
+    import operator
+    import random
+
+    rng = random.Random(7)
+    some = lambda n: rng.choice([None, *range(n)])
+    target = [(i, some(4), some(30), some(30)) for i in range(200)] + [(7, 1, 5, 5)] * 2
+    source = [(some(4), low, None if low is None else low + rng.randrange(-2, 6)) for low in (some(30) for _ in range(25))]
+    ops = {"=": operator.eq, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge, "<>": operator.ne}
+
+    def meets(t, s):
+        t, s = dict(zip(("id", "k", "v", "w"), t)), dict(zip(("k", "low", "high"), s))
+        return all(t[a] is not None and s[b] is not None and ops[op](t[a], s[b]) for a, op, b in tests)
+
+    want = [t for t in target if not any(meets(t, s) for s in source)]
+    df = merge.delete_matching(spark.createDataFrame(target, "id int, k int, v int, w int"), spark.createDataFrame(source, "k int, low int, high int"), tests)
+    assert df.columns == ["id", "k", "v", "w"] and sorted(map(str, df.collect())) == sorted(f"Row(id={a}, k={b}, v={c}, w={d})" for a, b, c, d in want)
+    assert 0 < len(want) < len(target)
+
+
+def test_delete_by_comparisons_that_need_an_equality(spark):
+    df = spark.createDataFrame([(1, 2)], "a int, b int")
+    with pytest.raises(ValueError, match="equality"):
+        merge.delete_matching(df, df, [("a", "<", "a"), ("b", ">", "b")])
