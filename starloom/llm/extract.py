@@ -22,6 +22,8 @@ from starloom.session import barrier
 SAMPLE_PAGES = 6
 #: Pages that must agree on a text for it to be template.
 LEAST_PAGES = 3
+#: Parts of a host's pages that samples are picked from first.
+HOST_PARTS = 8
 #: Children of a node that are aligned at once; longer lists are cut where both have an equal child, and into stretches.
 ALIGNED_CHILDREN = 200
 #: Share of the varying text of an element that one of its containers holds if that is where the content is.
@@ -508,8 +510,11 @@ def induce_wrappers(pages: DataFrame) -> DataFrame:
     html_text = F.col("html").cast("string")
     usable = pages.select(host_of().alias("host"), html_text.alias("html")).filter("html IS NOT NULL AND html <> '' AND host <> ''").withColumn("hash", F.xxhash64("html"))
     different = usable.groupBy("host", "hash").agg(F.min(F.length("html")).alias("chars"))
+    # First within parts of a host, so that no task gets what every task has kept of a host with very many pages.
+    parted = Window.partitionBy("host", F.pmod(F.shiftright("hash", 8), F.lit(HOST_PARTS))).orderBy("hash")
+    near = different.withColumn("at", F.row_number().over(parted)).filter(F.col("at") <= 4 * SAMPLE_PAGES)
     order = Window.partitionBy("host").orderBy("hash")
-    first = different.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= 4 * SAMPLE_PAGES)
+    first = near.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= 4 * SAMPLE_PAGES)
     # Pages of middle length align best: short and very long ones lack or add parts.
     middle = F.greatest(F.lit(0), F.floor((F.count(F.lit(1)).over(Window.partitionBy("host")) - SAMPLE_PAGES) / 2))
     placed = first.withColumn("place", F.row_number().over(Window.partitionBy("host").orderBy("chars", "hash")) - middle)
