@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from starloom.operators.keyblocks import claim_next
 from starloom.operators.sequence import with_index
-from starloom.session import shared_dir
 
 
 def write_table(
@@ -40,10 +39,11 @@ def publish(df: DataFrame, name: str, bucket_by: Sequence[str] = (), buckets: in
 
     The new version may be computed from the current one: readers see the old table until the view
     is replaced. Bucketing on the natural key lets later loads and lookups skip a shuffle. The version number is reserved
-    in the shared folder, so of two drivers that publish at once none fails; the view shows what the later one wrote.
+    in the warehouse, so of two drivers that publish at once none fails; the view shows what the later one wrote.
     """
     spark = df.sparkSession
-    version = claim_next(spark, f"{shared_dir(spark).rstrip('/')}/starloom/versions/{name}", max([0, *_versions(spark, name)]) + 1)
+    numbers = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_versions/{name}"
+    version = claim_next(spark, numbers, max([0, *_versions(spark, name)]) + 1)
     table = f"{name}__v{version}"
     writer = df.write.mode("errorifexists").format("parquet")
     if bucket_by and buckets:
