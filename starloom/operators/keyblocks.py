@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -11,6 +13,9 @@ from pyspark.sql import functions as F
 from starloom.operators.sequence import with_index
 from starloom.session import barrier, claim, hadoop_path
 
+#: Files of reserved blocks: the first block, and how many where there are several.
+_RUN = re.compile(r"(\d+)(?:-(\d+))?")
+
 
 def _numbers(spark: SparkSession, folder: str) -> list[int]:
     fs, at = hadoop_path(spark, folder)
@@ -31,16 +36,28 @@ def claim_next(spark: SparkSession, folder: str, least: int = 1) -> int:
 class KeyBlocks:
     """The keys of one table, from ``first`` on, in blocks of ``size``; ``folder`` is shared by all loads of the table.
 
-    A block belongs to whoever makes its file. Keys of a block that a load does not use up, or of one that died, stay
-    unused; keys are unique and rise within a load, but have gaps.
+    A load reserves all its blocks at once, as a run of consecutive ones: one file, named by the run's first block and
+    their number. Keys of a block that a load does not use up, or of one that died, stay unused; keys are unique and rise
+    within a load, but have gaps.
     """
 
     folder: str
     first: int = 1
     size: int = 100_000
 
-    def reserve(self, spark: SparkSession, count: int) -> list[int]:
-        """First keys of blocks with room for ``count`` keys."""
+    def _runs(self, spark: SparkSession) -> list[tuple[int, int]]:
+        """(first block, block after the last one) of every file. A name that is a number alone is one block."""
+        fs, at = hadoop_path(spark, self.folder)
+        found = [_RUN.fullmatch(s.getPath().getName()) for s in fs.listStatus(at)]
+        return [(int(m[1]), int(m[1]) + int(m[2] or 1)) for m in found if m]
+
+    def reserve(self, spark: SparkSession, count: int) -> int | None:
+        """The first of ``count`` consecutive keys that nobody else gets, None for a count of 0.
+
+        A run is taken after the last one in the folder, and the folder is read again afterwards: of two loads whose runs
+        overlap, at least the later one then sees the other's file. Who sees an overlap leaves its own run unused and
+        tries a place further on, chosen at random so that two loads don't meet again. Nobody waits.
+        """
         # All loads have to cut the numbers alike.
         cut = f"cut-{self.first}-{self.size}"
         fs, at = hadoop_path(spark, self.folder)
@@ -48,14 +65,20 @@ class KeyBlocks:
         other = [n for s in fs.listStatus(at) if (n := s.getPath().getName()).startswith("cut-") and n != cut]
         if other:
             raise ValueError(f"{self.folder}: other loads use {other[0]}, this one {cut}")
-        blocks = -(-count // self.size)
-        return [self.first + claim_next(spark, self.folder, 0) * self.size for _ in range(blocks)]
+        blocks, apart = -(-count // self.size), 0
+        if not blocks:
+            return None
+        while True:
+            start = max([0, *(end for _, end in self._runs(spark))]) + random.randint(0, apart)
+            own = (start, start + blocks)
+            if claim(spark, f"{self.folder}/{start}-{blocks}"):
+                met = [run for run in self._runs(spark) if run[0] < own[1] and own[0] < run[1]]
+                if met == [own]:
+                    return self.first + start * self.size
+            apart = 2 * apart + blocks
 
     def number(self, df: DataFrame, order: Sequence[str | Column], output: str) -> DataFrame:
         """Keys for the rows of ``df`` by ``order``, from freshly reserved blocks."""
         placed = barrier(with_index(df, order, "_at"), "keys")
-        starts = self.reserve(df.sparkSession, placed.count())
-        if not starts:
-            return placed.select(*df.columns, F.lit(None).cast("long").alias(output))
-        block = F.element_at(F.array(*[F.lit(s).cast("long") for s in starts]), (F.floor(F.col("_at") / self.size) + 1).cast("int"))
-        return placed.select(*df.columns, (block + F.col("_at") % self.size).alias(output))
+        start = self.reserve(df.sparkSession, placed.count())
+        return placed.select(*df.columns, (F.lit(start).cast("long") + F.col("_at")).alias(output))

@@ -114,3 +114,43 @@ def test_published_versions_at_once(spark):
     tables = sorted(t.name for t in spark.catalog.listTables(pattern="published_at_once__v*"))
     assert not failed and len(tables) == 3 and sorted(spark.table(t).count() for t in tables) == [1, 2, 3]
     assert spark.table("published_at_once").count() in (1, 2, 3)
+
+
+def test_many_blocks_are_one_file(spark, tmp_path):
+    blocks = keyblocks.KeyBlocks(f"{tmp_path}/keys", first=5, size=4)
+    assert blocks.reserve(spark, 0) is None
+    starts = [blocks.reserve(spark, n) for n in (200_000, 1, 9)]
+    assert starts == [5, 200_005, 200_009]
+    assert len([p for p in (tmp_path / "keys").iterdir() if p.name[0].isdigit()]) == 3
+
+
+def test_runs_reserved_at_once_share_no_key(spark, tmp_path):
+    got, lock = [], threading.Lock()
+    blocks = keyblocks.KeyBlocks(f"{tmp_path}/keys", first=1, size=10)
+
+    def take(n):
+        for count in (n, 1, 3 * n):
+            start = blocks.reserve(spark, count)
+            with lock:
+                got.extend(range(start, start + count))
+
+    threads = [threading.Thread(target=take, args=(n,)) for n in (7, 25, 40, 101)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert len(got) == sum(4 * n + 1 for n in (7, 25, 40, 101)) and len(set(got)) == len(got)
+
+
+def test_a_run_that_another_load_took_meanwhile_is_left(spark, tmp_path, monkeypatch):
+    blocks = keyblocks.KeyBlocks(f"{tmp_path}/keys", first=0, size=10)
+    real, other = keyblocks.claim, []
+
+    def claim(spark, path):
+        # A load that read the folder at the same time takes three blocks from the same place.
+        if path.endswith("/0-2"):
+            other.append(real(spark, f"{tmp_path}/keys/0-3"))
+        return real(spark, path)
+
+    monkeypatch.setattr(keyblocks, "claim", claim)
+    assert blocks.reserve(spark, 20) >= 30 and other == [True]
