@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_CHUNK, _CUTS = "_chunk", "_cuts"
+_CHUNK, _CUTS, _STEPS = "_chunk", "_cuts", "_steps"
 _POINTS_PER_CHUNK = 20
 
 
@@ -106,16 +106,24 @@ def split_points(
 
 
 def _chunked(df: DataFrame, group: Sequence[str], order: Sequence[str], cuts: DataFrame) -> DataFrame:
-    """Add the chunk number of each row; NULL for rows of groups that are not cut."""
-    side = cuts.select(*[F.col(name).alias(f"_cut_{name}") for name in group], _CUTS)
+    """Add the chunk number of each row, how many cuts are not after it; NULL for rows of groups that are not cut."""
+    # Halving steps, so that a row costs a logarithm of the cuts: the powers of two up to their number, largest first.
+    powers = F.filter(F.transform(F.sequence(F.lit(30), F.lit(0)), lambda n: F.pow(F.lit(2.0), n).cast("int")), lambda p: p <= F.size(_CUTS))
+    side = cuts.select(*[F.col(name).alias(f"_cut_{name}") for name in group], _CUTS, powers.alias(_STEPS))
     match = F.lit(True)
     for name in group:
         match = match & F.col(name).eqNullSafe(F.col(f"_cut_{name}"))
     here = F.struct(*[F.col(name) for name in order])
     # The side table is bounded by split_points.
     joined = df.join(F.broadcast(side), match, "left")
-    chunk = F.when(F.col(_CUTS).isNotNull(), F.size(F.filter(_CUTS, lambda cut: cut <= here)))
-    return joined.withColumn(_CHUNK, chunk).drop(_CUTS, *[f"_cut_{name}" for name in group])
+
+    def halve(passed: Column, step: Column) -> Column:
+        # Cuts ascend: if the one at this step is not after the row, all before it are not either.
+        beyond = (passed + step <= F.size(_CUTS)) & (F.get(_CUTS, passed + step - 1) <= here)
+        return F.when(beyond, passed + step).otherwise(passed)
+
+    chunk = F.when(F.col(_CUTS).isNotNull(), F.aggregate(_STEPS, F.lit(0), halve))
+    return joined.withColumn(_CHUNK, chunk).drop(_CUTS, _STEPS, *[f"_cut_{name}" for name in group])
 
 
 def _ordered(order: Sequence[str], reverse: bool = False) -> list[Column]:

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from starloom.operators import ordered
 from starloom.operators.ordered import SplitPolicy, lag_lead, running, split_points
 from starloom.operators.sequence import add_sequence, with_index
 
@@ -117,3 +118,18 @@ def test_sequence_starts_over_past_its_maximum(spark):
 def test_offsets_must_be_positive(spark):
     with pytest.raises(ValueError):
         lag_lead(spark.range(2), [], ["id"], [("x", "id", "LAG", 0)])
+
+
+def test_chunks_are_found_by_halving(spark):
+    """Each row is compared with a few cuts, not with all of them."""
+    rnd = random.Random(4)
+    ats = sorted({rnd.randrange(5000) for _ in range(1500)})
+    cuts = spark.createDataFrame([("a", [(x,) for x in ats]), ("b", [(7,)]), ("c", [])], "g string, _cuts array<struct<at:int>>")
+    rows = [(g, at) for g in ("a", "b", "c", "d", None) for at in [None, -1, *range(0, 5100, 3)]]
+    out = ordered._chunked(spark.createDataFrame(rows, "g string, at int"), ["g"], ["at"], cuts)
+    have = {"a": ats, "b": [7], "c": []}
+    for r in out.collect():
+        expected = sum(r.at is not None and x <= r.at for x in have[r.g]) if r.g in have else None
+        assert r._chunk == expected, r
+    assert out.columns == ["g", "at", "_chunk"]
+    assert "filter(_cuts" not in out._jdf.queryExecution().optimizedPlan().toString()
