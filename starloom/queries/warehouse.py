@@ -13,7 +13,7 @@ from starloom.operators.joins import union_streams
 from starloom.operators.sequence import with_index
 from starloom.plans import cleaning, inventory, sales
 from starloom.queries.registry import day, moment, query, table
-from starloom.session import scratch_path
+from starloom.session import barrier, scratch_path
 from starloom.sinks.writers import written
 
 D1, D2, D3 = dt.datetime(2024, 1, 1), dt.datetime(2024, 2, 1), dt.datetime(2024, 3, 1)
@@ -304,7 +304,10 @@ def fact_load(spark, sf):
     )
     orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id_orden"), "o_custkey", "o_orderdate")
     refs = [fact.DimensionRef(dim, contract, {"o_custkey": "id_cliente"}, "fk_cliente", "o_orderdate")]
-    keyed = fact.resolve_keys(lines.join(orders, "id_orden"), refs).drop("o_custkey", "o_orderdate")
+    # The customer is looked up once per order that has lines and written, before orders meet the lines of either load.
+    ordered = orders.join(lines.select("id_orden"), "id_orden", "left_semi")
+    headers = barrier(fact.resolve_keys(ordered, refs).drop("o_custkey", "o_orderdate"), "headers")
+    keyed = lines.join(headers, "id_orden")
     grain = ["id_orden", "nro_linea", "id_producto", "id_proveedor", "fecha_envio"]
     early = keyed.where("fecha_envio < TIMESTAMP_NTZ '1999-01-01'")
     late = keyed.where("fecha_envio >= TIMESTAMP_NTZ '1998-01-01'")

@@ -141,3 +141,20 @@ def test_delete_by_comparisons_that_need_an_equality(spark):
     df = spark.createDataFrame([(1, 2)], "a int, b int")
     with pytest.raises(ValueError, match="equality"):
         merge.delete_matching(df, df, [("a", "<", "a"), ("b", ">", "b")])
+
+
+def test_second_fact_load_looks_up_no_key_again(spark, tmp_path):
+    from starloom.queries import QUERIES
+
+    spark.sql("SELECT 0L AS c_custkey, 'n' AS c_name, 6000D AS c_acctbal, 's' AS c_mktsegment UNION ALL SELECT 1, 'm', -5D, 't'").write.parquet(f"{tmp_path}/customer.parquet")
+    orders = "SELECT id AS o_orderkey, id % 3 AS o_custkey, TIMESTAMP_NTZ '1997-12-30' + make_dt_interval(int(id * 90)) AS o_orderdate FROM range(6)"
+    # An order without lines and without a date is never looked up.
+    spark.sql(f"{orders} UNION ALL SELECT 99, 0, NULL").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql(
+        "SELECT id % 6 AS l_orderkey, int(id) AS l_linenumber, 1L AS l_partkey, 2L AS l_suppkey, 1.5D AS l_extendedprice,"
+        " TIMESTAMP_NTZ '1997-12-31' + make_dt_interval(int(id % 6 * 91)) AS l_shipdate FROM range(12)"
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = QUERIES["fact_load"](spark, str(tmp_path))
+    keys = {r.id_orden: r.fk_cliente for r in out.collect()}
+    assert out.count() == 12 and keys == {0: 1, 1: 0, 2: 0, 3: 2, 4: 0, 5: 0}
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
