@@ -7,13 +7,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starloom.llm.common import fold, smallest_ids
+from starloom.llm.common import fold
+from starloom.operators.ordered import running
+from starloom.session import barrier
 
 #: Buckets of the multinomials: words and pairs of words are hashed into them.
 BUCKETS = 16_384
-#: Documents whose trusted labels are used, those with the smallest md5 of their id: half of them make the target
-#: multinomial, the other half, which that has not seen, sets the threshold.
-TRUSTED_DOCS = 10_000
 #: Added to the count of each bucket.
 SMOOTHING = 1.0
 #: Share of trusted documents outside the target multinomial that may score below the threshold.
@@ -37,21 +36,37 @@ def _features(docs: DataFrame) -> DataFrame:
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
-    """(_trusted, _counted): ids of at most TRUSTED_DOCS documents labelled good, outside the held-out fold, and which half they are in."""
+    """(_trusted, _counted): ids of all documents labelled good, outside the held-out fold, and which half they are in."""
     good = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull() & (fold() != 0)).select("doc_id").distinct()
     half = F.crc32(F.concat(F.lit("half:"), F.col("doc_id").cast("string")).cast("binary")) % 2 == 0
-    return smallest_ids(good, TRUSTED_DOCS).select(F.col("doc_id").alias("_trusted"), half.alias("_counted"))
+    return good.select(F.col("doc_id").alias("_trusted"), half.alias("_counted"))
+
+
+def _percentile(scores: DataFrame, share: float) -> float | None:
+    """The exact ``share`` point of the column score, between two neighbours in proportion; NULLs are left out.
+
+    One row per distinct score and a running count in order, so no task holds all scores; two numbers reach the driver.
+    """
+    each = barrier(scores.filter("score IS NOT NULL").groupBy("score").agg(F.count(F.lit(1)).alias("n")), "scores")
+    total = each.agg(F.sum("n").alias("n")).first().n
+    if total is None:
+        return None
+    at = share * (total - 1)
+    # Rows up to a score: the first score with more than i rows is the one at place i.
+    upto = running(each, [], ["score"], sums={"upto": F.col("n")})
+    low, high = upto.agg(*[F.min(F.when(F.col("upto") > place, F.col("score"))) for place in (math.floor(at), math.ceil(at))]).first()
+    return low + (at - math.floor(at)) * (high - low)
 
 
 def fit_ratio(docs: DataFrame, labels: DataFrame) -> tuple[list[float], float]:
     """(log ratio of each bucket, threshold): trusted target against all documents.
 
-    The target counts one half of the trusted documents. The threshold comes from the other half, because a document
+    The target counts one half of all trusted documents. The threshold comes from the other half, because a document
     scores higher where its own n-grams were counted. The raw multinomial counts every document; counts meet as one row per bucket and task. What reaches the driver is
     one number per bucket.
     """
-    ids = F.broadcast(trusted_ids(labels))
-    flagged = _features(docs.select("doc_id", "text")).join(ids, F.col("doc_id") == F.col("_trusted"), "left")
+    ids = trusted_ids(labels)
+    flagged = _features(docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_trusted"), "left"))
     # The outer form: explode makes Spark filter empty arrays beforehand, which works out the whole array once more.
     grams = flagged.select(F.explode_outer("_grams").alias("bucket"), F.coalesce("_counted", F.lit(False)).cast("long").alias("good"))
     counted = grams.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("good")).collect()
@@ -61,11 +76,10 @@ def fit_ratio(docs: DataFrame, labels: DataFrame) -> tuple[list[float], float]:
         good[row.bucket] += row.good
     all_raw, all_good = math.fsum(raw), math.fsum(good)
     ratio = [math.log(g / all_good) - math.log(r / all_raw) for g, r in zip(good, raw, strict=True)]
-    unseen = F.broadcast(trusted_ids(labels).filter("NOT _counted"))
+    unseen = ids.filter("NOT _counted")
     trusted = docs.select("doc_id", "text").join(unseen, F.col("doc_id") == F.col("_trusted"), "left_semi")
-    scored = _features(trusted).select(F.when(F.size("words") >= LEAST_WORDS, _ratio(ratio)).alias("score"))
-    limit = scored.agg(F.percentile("score", F.lit(TRUSTED_BELOW)).alias("p")).first().p
-    return ratio, -math.inf if limit is None else float(limit)
+    limit = _percentile(_features(trusted).select(F.when(F.size("words") >= LEAST_WORDS, _ratio(ratio)).alias("score")), TRUSTED_BELOW)
+    return ratio, -math.inf if limit is None else limit
 
 
 def _ratio(ratio: list[float]) -> Column:

@@ -204,3 +204,18 @@ def test_too_many_sources_are_an_error(spark, monkeypatch):
     assert mixing.mix(few).count() == 2
     with pytest.raises(Exception, match="more than 2 sources"):
         mixing.mix(few.union(few.selectExpr("doc_id", "'c' AS source"))).collect()
+
+
+def test_all_trusted_documents_count(spark):
+    labels = spark.range(15_000).selectExpr("id AS doc_id", "1 AS quality")
+    expected = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(15_000))
+    assert quality_rules.trusted_ids(labels).count() == expected > 10_000
+
+
+@pytest.mark.parametrize("share", [0.0, 0.005, 0.37, 1.0])
+def test_percentile_over_many_scores(spark, share):
+    rng = random.Random(3)
+    scores = [rng.choice([rng.gauss(0, 1), -0.5, 2.0]) for _ in range(501)]
+    frame = spark.createDataFrame([(s,) for s in [*scores, None]], "score double").repartition(6)
+    assert quality_rules._percentile(frame, share) == pytest.approx(np.percentile(scores, 100 * share), abs=1e-12)
+    assert quality_rules._percentile(frame.filter("score IS NULL"), share) is None
