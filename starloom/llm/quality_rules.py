@@ -47,7 +47,8 @@ def _percentile(scores: DataFrame, share: float) -> float | None:
 
     One row per distinct score and a running count in order, so no task holds all scores; two numbers reach the driver.
     """
-    each = barrier(scores.filter("score IS NOT NULL").groupBy("score").agg(F.count(F.lit(1)).alias("n")), "scores")
+    # Written first: a filter on what makes a score would work out its arrays again for every word.
+    each = barrier(scores, "scores").filter("score IS NOT NULL").groupBy("score").agg(F.count(F.lit(1)).alias("n"))
     total = each.agg(F.sum("n").alias("n")).first().n
     if total is None:
         return None
