@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starloom.llm.common import fold
+from starloom.operators.keyfilter import split_by_keys
 from starloom.operators.ordered import running
 from starloom.session import barrier
 
@@ -42,6 +43,13 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return good.select(F.col("doc_id").alias("_trusted"), half.alias("_counted"))
 
 
+def _texts_of(text: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``text`` that may have one of the ids, with _there: whether they do; rows that have none)."""
+    near, others = split_by_keys(text, ids, ["doc_id"], ["_trusted"])
+    # Only texts that the bitmap lets through are shuffled. The hint keeps the plan the same at every size.
+    return near.hint("merge").join(ids, F.col("doc_id") == F.col("_trusted"), "left").select("doc_id", "text", F.col("_trusted").isNotNull().alias("_there")), others
+
+
 def _percentile(scores: DataFrame, share: float) -> float | None:
     """The exact ``share`` point of the column score, between two neighbours in proportion; NULLs are left out.
 
@@ -66,19 +74,20 @@ def fit_ratio(docs: DataFrame, labels: DataFrame) -> tuple[list[float], float]:
     scores higher where its own n-grams were counted. The raw multinomial counts every document; counts meet as one row per bucket and task. What reaches the driver is
     one number per bucket.
     """
-    ids = trusted_ids(labels)
-    flagged = _features(docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_trusted"), "left"))
+    text, ids = docs.select("doc_id", "text"), barrier(trusted_ids(labels), "trusted-ids")
+    counted, unseen = (ids.filter(F.col("_counted") == half).select("_trusted") for half in (True, False))
+    target, others = _texts_of(text, counted)
+    flagged = _features(target.unionByName(others.select("doc_id", "text", F.lit(False).alias("_there"))))
     # The outer form: explode makes Spark filter empty arrays beforehand, which works out the whole array once more.
-    grams = flagged.select(F.explode_outer("_grams").alias("bucket"), F.coalesce("_counted", F.lit(False)).cast("long").alias("good"))
-    counted = grams.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("good")).collect()
+    grams = flagged.select(F.explode_outer("_grams").alias("bucket"), F.col("_there").cast("long").alias("good"))
+    met = grams.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("good")).collect()
     raw, good = [SMOOTHING] * BUCKETS, [SMOOTHING] * BUCKETS
-    for row in counted:
+    for row in met:
         raw[row.bucket] += row.raw
         good[row.bucket] += row.good
     all_raw, all_good = math.fsum(raw), math.fsum(good)
     ratio = [math.log(g / all_good) - math.log(r / all_raw) for g, r in zip(good, raw, strict=True)]
-    unseen = ids.filter("NOT _counted")
-    trusted = docs.select("doc_id", "text").join(unseen, F.col("doc_id") == F.col("_trusted"), "left_semi")
+    trusted = _texts_of(text, unseen)[0].filter("_there")
     limit = _percentile(_features(trusted).select(F.when(F.size("words") >= LEAST_WORDS, _ratio(ratio)).alias("score")), TRUSTED_BELOW)
     return ratio, -math.inf if limit is None else limit
 

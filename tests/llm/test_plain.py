@@ -219,3 +219,19 @@ def test_percentile_over_many_scores(spark, share):
     frame = spark.createDataFrame([(s,) for s in [*scores, None]], "score double").repartition(6)
     assert quality_rules._percentile(frame, share) == pytest.approx(np.percentile(scores, 100 * share), abs=1e-12)
     assert quality_rules._percentile(frame.filter("score IS NULL"), share) is None
+
+
+def test_only_texts_that_may_be_trusted_are_shuffled(spark):
+    """The bitmap keeps other texts out of the join; what it lets through by chance is told apart exactly."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ids = spark.range(100, 140).selectExpr("id AS _trusted")
+        texts = spark.createDataFrame([(i, f"t{i}") for i in range(4_000)] + [(None, "n"), (101, "again"), (102, None)], "doc_id long, text string")
+        near, others = quality_rules._texts_of(texts, ids)
+        got = near.collect()
+        assert sorted(r.text or "" for r in got if r._there) == sorted([f"t{i}" for i in range(100, 140)] + ["again", ""])
+        assert {r._there for r in got} <= {True, False} and len(got) < 200
+        assert sorted(map(str, near.select("doc_id", "text").union(others).collect())) == sorted(map(str, texts.collect()))
+        assert "hashpartitioning" not in others._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
