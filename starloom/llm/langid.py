@@ -66,27 +66,32 @@ def shares(text: str) -> np.ndarray:
 class LanguageModel:
     """Machines between each two families, and between each two languages of a family."""
 
-    def __init__(self, rows: list[tuple[np.ndarray, str]], letters: str = ""):
-        """From (shares of the buckets in a text, language) rows and the letters of these texts."""
+    def __init__(self, rows: list[tuple[str, bytes]], letters: str = ""):
+        """From (language, shares of the buckets in a text) rows, which the list loses one by one, and the letters of these texts.
+
+        Texts are held once, as rows of one matrix whose last column is the offset's.
+        """
         self.letters = frozenset(letters)
-        self.languages = sorted({lang for _, lang in rows})
-        family = {lang: FAMILY_OF.get(lang, lang) for lang in self.languages}
+        lang = np.array([x for x, _ in rows])
+        self.languages = sorted({x for x, _ in rows})
+        family = {x: FAMILY_OF.get(x, x) for x in self.languages}
         self.families = sorted(set(family.values()))
         self.members = {f: [x for x in self.languages if family[x] == f] for f in self.families}
-        counts = np.zeros((len(rows), BUCKETS), dtype=np.float32)
-        for i, (own, _) in enumerate(rows):
-            counts[i] = own
+        wide = np.ones((len(rows), BUCKETS + 1), dtype=np.float32)
+        while rows:
+            own = rows.pop()[1]
+            wide[len(rows), :-1] = np.frombuffer(own, dtype=np.float32)
+        counts = wide[:, :-1]
         # Frequent buckets weigh less, as in a distance between distributions.
-        scale = 1 / np.sqrt(counts.sum(axis=0) / max(len(rows), 1) + np.float32(1e-5))
+        scale = 1 / np.sqrt(counts.sum(axis=0) / max(len(lang), 1) + np.float32(1e-5))
         counts *= scale
-        lang = np.array([x for _, x in rows])
-        kin = np.array([family[x] for x in lang]) if len(rows) else lang
+        kin = np.array([family[x] for x in lang]) if len(lang) else lang
         self.pairs: list[tuple[str, str, str]] = []
         columns, offsets = [], []
         for level, names, truth in [("", self.families, kin), *((f, self.members[f], lang) for f in self.families)]:
             for one, two in combinations(names, 2):
                 mine = (truth == one) | (truth == two)
-                w, b = linear_svm(counts[mine], np.where(truth[mine] == one, 1.0, -1.0))
+                w, b = linear_svm(wide if mine.all() else wide[mine], np.where(truth[mine] == one, 1.0, -1.0))
                 self.pairs.append((level, one, two))
                 columns.append(w * scale)
                 offsets.append(b)
@@ -138,9 +143,11 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> LanguageModel:
         return pa.RecordBatch.from_arrays([*found, letters], names=["shares", "lang", "letters"])
 
     counted = text_pass(rows, [F.col("text").cast("string"), F.col("lang").cast("string")], "shares binary, lang string, letters string", work).collect()
+    letters = "".join(r.letters for r in counted)
     # In one order, so that the same documents give the same model.
-    ordered = sorted((r.lang, bytes(r.shares)) for r in counted)
-    return LanguageModel([(np.frombuffer(x, dtype=np.float32), lang) for lang, x in ordered], "".join(r.letters for r in counted))
+    rows = sorted((r.lang, r.shares) for r in counted)
+    del counted
+    return LanguageModel(rows, letters)
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:

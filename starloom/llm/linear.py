@@ -5,15 +5,14 @@ from __future__ import annotations
 import numpy as np
 
 
-def linear_svm(rows: np.ndarray, signs: np.ndarray, penalty: float = 1e-4, steps: int = 150) -> tuple[np.ndarray, float]:
+def linear_svm(wide: np.ndarray, signs: np.ndarray, penalty: float = 1e-4, steps: int = 150) -> tuple[np.ndarray, float]:
     """Weights and offset of a linear support vector machine: squared hinge loss by accelerated gradient steps.
 
-    Classes weigh the same whatever their number of rows.
+    ``wide`` has a row for each example and a last column of ones. Classes weigh the same whatever their number of rows.
     """
-    kind = rows.dtype.type
+    kind = wide.dtype.type
     signs = signs.astype(kind)
     share = np.where(signs > 0, 0.5 / max((signs > 0).sum(), 1), 0.5 / max((signs <= 0).sum(), 1)).astype(kind)
-    wide = np.concatenate([rows, np.ones((len(rows), 1), kind)], axis=1)
     # Largest curvature of the loss, by a few power iterations.
     probe = np.ones(wide.shape[1], kind) / kind(np.sqrt(wide.shape[1]))
     bound = 1.0
@@ -25,7 +24,8 @@ def linear_svm(rows: np.ndarray, signs: np.ndarray, penalty: float = 1e-4, steps
     w = ahead = np.zeros(wide.shape[1], kind)
     for step in range(steps):
         slack = np.maximum(0, 1 - signs * (wide @ ahead))
-        grad = -2 * wide.T @ (share * signs * slack)
+        # Twice the factor, not twice the matrix, which would be copied.
+        grad = wide.T @ (-2 * (share * signs * slack))
         grad[:-1] += kind(penalty) * ahead[:-1]
         new = ahead - rate * grad
         ahead, w = new + (new - w) * kind(step / (step + 3)), new

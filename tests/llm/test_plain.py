@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -221,6 +222,20 @@ def test_percentile_over_many_scores(spark, share):
     assert quality_rules._percentile(frame.filter("score IS NULL"), share) is None
 
 
+def test_training_rows_are_held_once():
+    rng = np.random.default_rng(4)
+    rows = sorted((lang, rng.random(langid.BUCKETS, dtype=np.float32).tobytes()) for lang in ("de", "en", "fr", "es") for _ in range(100))
+    size = sum(len(x) for _, x in rows)
+    tracemalloc.start()
+    try:
+        model = langid.LanguageModel(rows)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # One matrix and the half of it that two languages of a family take; the rows themselves are given up.
+    assert not rows and len(model.pairs) == 3 and most < 1.8 * size
+
+
 def test_only_texts_that_may_be_trusted_are_shuffled(spark):
     """The bitmap keeps other texts out of the join; what it lets through by chance is told apart exactly."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
